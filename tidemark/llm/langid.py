@@ -14,17 +14,19 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held_out, materialise
 
 #: Bound on the rows that are learned from (a sample by hash) and on the n-grams kept per language.
-SAMPLE, GRAMS = 20_000, 20_000
-PENALTY = 12.0
+SAMPLE, GRAMS = 8_000, 20_000
+#: Cost of a switch, and the most that one word can say for or against a language.
+PENALTY, MOST = 12.0, 4.0
 #: Share of a language's letters that must be in a script for it to be a candidate there.
 SCRIPT_SHARE = 0.01
 LONGEST = 64
@@ -48,23 +50,29 @@ SCRIPTS = {
 }
 
 
+@lru_cache(maxsize=None)
+def script_of_letter(c: str) -> str:
+    return next((s for s, r in SCRIPTS.items() if any(a <= ord(c) <= b for a, b in r)), "other")
+
+
 def script_of(word: str) -> str:
-    """The script of the first letter."""
-    for c in word:
-        if c.isalpha():
-            o = ord(c)
-            return next((s for s, r in SCRIPTS.items() if any(a <= o <= b for a, b in r)), "other")
-    return ""
+    """The script of the first letter of a word of letters."""
+    return script_of_letter(word[0])
 
 
 def grams(word: str) -> list[str]:
-    """Character n-grams of two to four with the word's borders, and the short word itself."""
+    """Character trigrams with the word's borders."""
     w = f"^{word}$"
-    return [w[i : i + k] for k in (2, 3, 4) for i in range(len(w) - k + 1)]
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
+_EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "…“”‘’«»¿¡–—"
 
 
 def plain(token: str) -> str:
-    return "".join(filter(str.isalpha, token.lower()))[:LONGEST]
+    """The token's letters, lower-cased."""
+    w = token.strip(_EDGE).lower()
+    return w[:LONGEST] if w.isalpha() else "".join(filter(str.isalpha, w))[:LONGEST]
 
 
 @dataclass
@@ -79,14 +87,13 @@ class Model:
         if not words:
             return np.zeros((0, len(self.langs)))
         get, last = self.known.get, len(self.scores) - 1
-        ids = [[get(g, last) for g in grams(w)] for w in words]
-        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate([np.array(x, dtype=np.int64) for x in ids])
+        flat = np.array([get(w[i : i + 3], last) for w in (f"^{w}$" for w in words) for i in range(len(w) - 2)], dtype=np.int64)
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out = np.add.reduceat(self.scores[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
         for i, w in enumerate(words):
             if (s := self.scripts.get(script_of(w))) is not None:
                 out[i] += s
-        return np.clip(out, -8.0, 8.0)
+        return np.clip(out, -MOST, MOST)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -114,8 +121,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = sorted(totals)
     if not langs:
         return Model([], {}, np.zeros((1, 0)), {})
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.where(~F.col("gram").startswith("\x00")).withColumn("nth", nth).where(F.col("nth") <= GRAMS).select("gram").distinct()
     rows = counts.join(top, "gram").groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()  # bounded: GRAMS per language

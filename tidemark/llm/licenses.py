@@ -83,8 +83,13 @@ class Scanner:
         for i, own in stretches.items():
             for a, b in own:
                 for m in self.patterns[i].finditer(text, a, b):
-                    out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(out)
+                    out.append((sum(m.fuzzy_counts) / len(self.notices[i][0]), m.start(), m.end(), i, sum(m.fuzzy_counts)))
+        # Of overlapping matches the one with the least share of errors stays.
+        best: list[tuple[int, int, int, int]] = []
+        for _, a, b, i, errors in sorted(out, key=lambda m: (m[0], m[1] - m[2], m[1], m[3])):
+            if all(b <= x[1] or a >= x[2] for x in best):
+                best.append((i, a, b, errors))
+        return sorted(best, key=lambda m: m[1])
 
     def scan(self, text: str | None) -> dict:
         ws = words_of(text)

@@ -16,7 +16,9 @@ empty manifest; a null id stays null in the manifest.
 from __future__ import annotations
 
 import base64
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,40 +56,20 @@ class Vocabulary:
 
 
 class Encoder:
-    """Token ids as bytes. Text is cut before each space that starts a pretoken; cut pieces that were seen are looked up."""
-
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000) -> None:
-        import re
+    """Token ids as bytes."""
 
+    def __init__(self, vocabulary: Vocabulary) -> None:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.raw.splitlines() if line)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.kind = np.dtype("<u2" if vocabulary.width == 2 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.most = most
-        # A space inside a run of white space is not always the start of a pretoken.
-        self.uncut = re.compile(r"\s \s")
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype=self.kind).tobytes()
+        self.kind = "H" if vocabulary.width == 2 else "I"
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.uncut.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = [self.plain(first)]
-        for piece in rest:
-            x = known.get(piece)
-            if x is None:
-                x = known[piece] = self.plain(f" {piece}")
-            out.append(x)
-        return b"".join(out)
+        ids = array(self.kind, self.encode(text) if text else [])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 _ENCODERS: dict[int, Encoder] = {}
