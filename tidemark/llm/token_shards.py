@@ -1,16 +1,18 @@
 """Training-order materialisation: token sequences at keyed pseudo-random global slots, in fixed-stride binary shards.
 
 1. Documents are tokenised and packed, task by task, into sequences of `length` tokens; each document ends with the end token.
-   The packed sequences are written once, so their numbering (task, place) is fixed from then on.
-2. A sequence's number, 0 to N-1, goes through a keyed Feistel permutation with cycle-walking to its slot.
-3. Sequences are range-partitioned by shard (slot // per_shard), sorted by slot, and written: record i of a shard starts at
-   byte i * stride, so any slot can be sought, and reading can resume at any slot.
+2. A sequence's number (task, place) goes through a keyed Feistel permutation with cycle-walking over all possible numbers
+   (a bound from the texts' bytes, so nothing has to be counted, written and read again before the shuffle).
+   The permuted numbers are distinct; their order is the training order.
+3. Range partitions of the permuted numbers are the shards. Each is sorted and written: record i starts at byte i * stride,
+   so any record can be sought. A sequence's global slot is the number of records in the shards before, plus i;
+   slots are 0 to N-1 without gaps, and reading can resume at any slot.
 Shard files are written under another name and moved into place, so repeated or lost tasks leave whole files.
 
 A record: number of tokens (uint32), then `length` tokens (uint16, or uint32 for vocabularies over 65,536), padded with the end token.
 
 Defined results: null and empty texts give the end token alone; repeated rows are packed each; no rows give no shards and an
-empty manifest; a null id stays null in the manifest.
+empty manifest; a null id stays null in the manifest. The order depends on the key and on how the input is split into tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from tidemark.llm.common import materialise, new_folder
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pretokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 8192, 20_240_601, 6
+LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 16_384, 20_240_601, 6
+#: More tasks than any job has; numbers are task * places + place.
+TASKS = 1 << 20
 _U = np.uint64
 
 
@@ -105,7 +109,7 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def squeeze(tokens: bytes, width: int) -> bytes:
+def squeeze(tokens: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(tokens)
 
 
@@ -113,64 +117,53 @@ def unsqueeze(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-PACKED = "part int, place bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"
+PACKED = "shard int, number bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"
 
 
-def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed sequences; doc_ids and starts tell which documents a sequence holds and where each begins (0: or goes on)."""
+def pack(docs: DataFrame, vocabulary: Vocabulary, places: int, shards: int, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Packed sequences with their permuted number and shard; doc_ids and starts tell which documents a sequence holds and where
+    each begins (0: or goes on). places: more than the sequences of any task."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
         encode, stride = encoder(v), length * v.width
         end = np.array([v.end], dtype="<u2" if v.width == 2 else "<u4").tobytes()
-        part, place = TaskContext.get().partitionId(), 0
-        held, ids, starts = bytearray(), [], []
+        task, place, domain = TaskContext.get().partitionId(), 0, TASKS * places
+        held, ids, starts, rows = bytearray(), [], [], []
 
-        def take(k: int) -> tuple:
-            nonlocal place
+        def take(k: bytearray) -> None:
             n = len(k) // v.width
-            row = (part, place, n, list(ids), list(starts), squeeze(bytes(k) + end * (length - n), v.width))
-            place += 1
-            return row
+            rows.append((n, list(ids), list(starts), squeeze(bytes(k) + end * (length - n))))
+
+        def frame() -> pd.DataFrame:
+            nonlocal place
+            out = pd.DataFrame(rows, columns=["n_tokens", "doc_ids", "starts", "tokens"])
+            number = feistel(task * places + np.arange(place, place + len(rows)), domain, key)
+            out.insert(0, "number", number)
+            out.insert(0, "shard", [int(x) * shards // domain for x in number])
+            place += len(rows)
+            rows.clear()
+            return out
 
-        columns = ["part", "place", "n_tokens", "doc_ids", "starts", "tokens"]
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                own = encode(text) + end
                 ids.append(doc_id)
                 starts.append(len(held) // v.width)
-                held += own
+                held += encode(text) + end
                 while len(held) >= stride:
-                    rows.append(take(held[:stride]))
+                    take(held[:stride])
                     del held[:stride]
                     ids, starts = ([doc_id], [0]) if held else ([], [])
                 if len(rows) >= 2000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                    yield frame()
         if held:
-            yield pd.DataFrame([take(held)], columns=columns)
-
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialise(slim.mapInPandas(packed, PACKED), "tokens-packed")
-
-
-def assign_slots(packed: DataFrame, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, int]:
-    """packed with slot and shard, and N. The numbers of the tasks' sequences are added up over the tasks (one row each)."""
-    parts = packed.groupBy("part").agg(F.count("*").alias("n"))
-    first = materialise(parts.select("part", "n", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first")), "tokens-parts")
-    n = first.agg(F.sum("n")).first()[0] or 0
-
-    @F.pandas_udf("bigint")
-    def slot(numbers: pd.Series) -> pd.Series:
-        return pd.Series(feistel(numbers.to_numpy(), n, key))
+            take(held)
+        if rows:
+            yield frame()
 
-    out = packed.join(first.select("part", "first"), "part").withColumn("slot", slot(F.col("first") + F.col("place"))).drop("first", "part", "place")
-    return out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("bigint")), n
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(packed, PACKED)
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -182,12 +175,14 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary_path: st
     slot, shard, byte_offset, n_tokens, doc_ids, starts, path; one row per sequence."""
     vocabulary = Vocabulary.load(vocabulary_path)
     folder = folder or new_folder(docs.sparkSession, "shards")
-    slots, n = assign_slots(pack(docs, vocabulary, length, **columns), per_shard, key)
-    shards = max(1, -(-n // per_shard))
+    text = columns.get("text_col", "text")
+    most = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0  # a token has a byte at least
+    places = most // length + 2
+    shards = max(1, -(-places // per_shard))
     stride = 4 + length * vocabulary.width
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_shard, stream, made = None, None, ""
+        open_shard, stream, made, record = None, None, "", 0
 
         def close() -> None:
             if stream is not None:
@@ -197,34 +192,43 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary_path: st
         store, path = arrow_fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         for batch in batches:
+            records = []
             for shard, k, tokens in zip(batch["shard"], batch["n_tokens"], batch["tokens"], strict=True):
                 if shard != open_shard:
                     close()
-                    open_shard, made = shard, f"{path}/.making-{uuid.uuid4().hex}"
+                    open_shard, made, record = shard, f"{path}/.making-{uuid.uuid4().hex}", 0
                     stream = store.open_output_stream(made)
                 stream.write(int(k).to_bytes(4, "little") + unsqueeze(tokens))
-            yield batch.drop(columns="tokens")
+                records.append(record)
+                record += 1
+            yield batch.drop(columns=["tokens", "number"]).assign(record=records)
         close()
 
-    ordered = slots.repartitionByRange(shards, "shard").sortWithinPartitions("slot").select("slot", "shard", "n_tokens", "doc_ids", "starts", "tokens")
-    manifest = materialise(ordered.mapInPandas(write, "slot bigint, shard bigint, n_tokens int, doc_ids array<bigint>, starts array<int>"), "manifest", f"{folder}/manifest")
+    ordered = pack(docs, vocabulary, places, shards, length, key, **columns).repartitionById(shards, "shard").sortWithinPartitions("shard", "number")
+    manifest = materialise(ordered.mapInPandas(write, "shard int, n_tokens int, doc_ids array<bigint>, starts array<int>, record bigint"), "manifest", f"{folder}/manifest")
+    counts = manifest.groupBy("shard").agg(F.count("*").alias("n"))
+    first = counts.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))  # a row per shard
     where = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
-    return manifest.select("slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "n_tokens", "doc_ids", "starts", where.alias("path"))
+    out = manifest.join(first, "shard")
+    return out.select((F.col("first") + F.col("record")).alias("slot"), "shard", (F.col("record") * stride).alias("byte_offset"), "n_tokens", "doc_ids", "starts", where.alias("path"))
 
 
-def read_slots(folder: str, first: int = 0, count: int | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> Iterator[tuple[int, np.ndarray]]:
+def read_slots(folder: str, first: int = 0, count: int | None = None, length: int = LENGTH, width: int = 2) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, tokens) in order from slot `first`: a seek, then sequential reads; the way to resume training."""
     store, path = arrow_fs.FileSystem.from_uri(folder)
-    stride, slot = 4 + length * width, first
-    while count is None or slot < first + count:
-        name = shard_path(path, slot // per_shard)
-        if store.get_file_info(name).type != arrow_fs.FileType.File:
-            return
-        with store.open_input_file(name) as f:
-            f.seek(slot % per_shard * stride)
-            while (count is None or slot < first + count) and len(record := f.read(stride)) == stride:
-                n = int.from_bytes(record[:4], "little")
-                yield slot, np.frombuffer(record, "<u2" if width == 2 else "<u4", n, 4)
-                slot += 1
-            if slot % per_shard:
-                return
+    stride, slot = 4 + length * width, 0
+    files = [f for f in store.get_file_info(arrow_fs.FileSelector(path)) if f.base_name.startswith("shard-")]
+    for info in sorted(files, key=lambda f: f.base_name):
+        n = info.size // stride
+        if slot + n <= first:
+            slot += n
+            continue
+        with store.open_input_file(info.path) as f:
+            at = max(0, first - slot)
+            f.seek(at * stride)
+            for i in range(slot + at, slot + n):
+                if count is not None and i >= first + count:
+                    return
+                record = f.read(stride)
+                yield i, np.frombuffer(record, "<u2" if width == 2 else "<u4", int.from_bytes(record[:4], "little"), 4)
+        slot += n
