@@ -70,7 +70,7 @@ def cut_keys(sizes: DataFrame, targets: DataFrame, n_rows: int, repeats: int = R
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("before") + F.col("inside")) / F.col("target"))
     # Global order by finish time: sums per range of finish times, then the order within the range where the budget ends.
     ranges = max(1, repeats * n_rows // BUCKET_ROWS)
-    copies = copies.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)))
+    copies = copies.withColumn("range", F.floor(F.col("finish") * ranges))
     copies = copies.select("skey", "key", "size", "epoch", "finish", "range", "budget")
     copies = materialise(copies, "mix-copies")
     sums = copies.groupBy("range").agg(F.sum("size").alias("in_range"))
