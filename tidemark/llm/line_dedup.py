@@ -230,41 +230,45 @@ class LineIndex:
 
         return docs.withColumn(out, flag(F.col(text_col)))
 
-    def frequent_lines(self, docs: DataFrame, text_col: str = "text", out: str = "frequent") -> DataFrame:
-        """docs and an array of the keys of their frequent lines, confirmed against the counts (null: none)."""
-        keys, text_key, flagged = free_name(docs, out), free_name(docs, "text_key"), free_name(docs, "flagged_keys")
-        marked = self._flagged(docs, text_col, flagged)
-        certain = materialise(marked.where(F.col(flagged).isNotNull()).select(F.explode(flagged).alias("key")).distinct().join(self.counts.where(F.col("n") >= self.min_docs), "key", "left_semi"), "lines-frequent")
-        if certain.count() * 64 <= BROADCAST_BYTES:
-            # Few enough to be told to every task: no text is shuffled.
-            known = self.spark.sparkContext.broadcast({bytes(r.key) for r in certain.toLocalIterator()})
-
-            @F.pandas_udf("array<binary>")
-            def confirm(found: pd.Series) -> pd.Series:
-                return pd.Series([None if x is None else [k for k in x if bytes(k) in known.value] or None for x in found], dtype=object)
-
-            return marked.withColumn(keys, confirm(F.col(flagged))).drop(flagged)
-        marked = marked.withColumn(text_key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-        sure = marked.where(F.col(flagged).isNotNull()).select(text_key, F.explode(flagged).alias("key")).distinct().join(certain, "key", "left_semi").groupBy(text_key).agg(F.collect_list("key").alias(keys))
-        return marked.drop(flagged).join(sure, text_key, "left").drop(text_key)
+    def frequent_keys(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The keys of the documents' lines that the filters let through, confirmed against the counts."""
+        flagged = free_name(docs, "flagged_keys")
+        keys = self._flagged(docs, text_col, flagged).where(F.col(flagged).isNotNull()).select(F.explode(flagged).alias("key")).distinct()
+        return materialise(keys.join(self.counts.where(F.col("n") >= self.min_docs), "key", "left_semi"), "lines-frequent")
 
     def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with frequent lines taken out of the text, and n_lines, n_dropped, kept_sha256."""
-        name, made = free_name(docs, "frequent"), free_name(docs, "kept_struct")
-        min_chars = self.min_chars
-
-        @F.pandas_udf("struct<text:string,n_lines:bigint,n_dropped:bigint,sha:string>")
-        def rewrite(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t, keys in zip(texts, found, strict=True):
-                lines = (t or "").split("\n")
-                drop = () if keys is None else {bytes(k) for k in keys}
-                kept = [x for x in lines if key_of(x, min_chars) not in drop] if drop else lines
-                text = "\n".join(kept)
-                rows.append((text, len(lines), len(lines) - len(kept), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()))
-            return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped", "sha"])
-
-        out = self.frequent_lines(docs, text_col, name).withColumn(made, rewrite(F.col(text_col), F.col(name)))
+        """docs with frequent lines taken out of the text, and n_lines, n_dropped, kept_sha256.
+
+        The confirmed keys are sent to all tasks where they are few (BROADCAST_BYTES); else they are joined to the texts that have them.
+        """
+        min_chars, made, found, text_key = self.min_chars, free_name(docs, "kept_struct"), free_name(docs, "frequent"), free_name(docs, "text_key")
+        certain = self.frequent_keys(docs, text_col)
+        few = certain.count() * 64 <= BROADCAST_BYTES
+        known = self.spark.sparkContext.broadcast(frozenset(bytes(r.key) for r in certain.toLocalIterator()) if few else frozenset())
+        kind = "struct<text:string,n_lines:bigint,n_dropped:bigint,sha:string>"
+
+        def rewritten(text: str | None, drop) -> tuple[str, int, int, str]:
+            lines = (text or "").split("\n")
+            kept = [x for x in lines if key_of(x, min_chars) not in drop] if drop else lines
+            out = "\n".join(kept)
+            return out, len(lines), len(lines) - len(kept), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest()
+
+        if few:
+
+            @F.pandas_udf(kind)
+            def rewrite(texts: pd.Series) -> pd.DataFrame:
+                return pd.DataFrame([rewritten(t, known.value) for t in texts], columns=["text", "n_lines", "n_dropped", "sha"])
+
+            out = docs.withColumn(made, rewrite(F.col(text_col)))
+        else:
+
+            @F.pandas_udf(kind)
+            def rewrite_by(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+                return pd.DataFrame([rewritten(t, () if k is None else {bytes(x) for x in k}) for t, k in zip(texts, keys, strict=True)], columns=["text", "n_lines", "n_dropped", "sha"])
+
+            marked = self._flagged(docs, text_col, found).withColumn(text_key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+            sure = marked.where(F.col(found).isNotNull()).select(text_key, F.explode(found).alias("key")).distinct().join(certain, "key", "left_semi").groupBy(text_key).agg(F.collect_list("key").alias(found))
+            out = marked.drop(found).join(sure, text_key, "left").withColumn(made, rewrite_by(F.col(text_col), F.col(found)))
         keep = [c for c in docs.columns if c != text_col and c not in ("n_lines", "n_dropped", "kept_sha256")]
         return out.select(*[F.col(f"`{c}`") for c in keep], F.col(f"{made}.text").alias(text_col), F.col(f"{made}.n_lines").alias("n_lines"), F.col(f"{made}.n_dropped").alias("n_dropped"), F.col(f"{made}.sha").alias("kept_sha256"))
 
