@@ -71,12 +71,12 @@ def curve(runs: DataFrame, features: DataFrame, a: Assumptions = Assumptions(),
     """
     if a.problems():
         raise ValueError("; ".join(a.problems()))
-    r = runs.where("duration_ms >= 10000").select(RUN, (F.col("duration_ms") / 1000).alias("T"))
-    s = r.select(RUN, "T", F.explode(F.sequence(F.lit(0), F.ceil("T").cast("int") - 1)).alias("t"))
+    r = runs.where("duration_ms >= 10000").select(RUN, (F.col("duration_ms") / 1000).alias("length_s"))
+    s = r.select(RUN, "length_s", F.explode(F.sequence(F.lit(0), F.ceil("length_s").cast("int") - 1)).alias("t"))
     parts = weigh(features).groupBy(RUN, "t").agg(F.sum("part").alias("lp"))
-    x = s.join(parts, [RUN, "t"], "left").withColumn("dt", F.least(F.lit(1.0), F.col("T") - F.col("t")))
+    x = s.join(parts, [RUN, "t"], "left").withColumn("dt", F.least(F.lit(1.0), F.col("length_s") - F.col("t")))
     t = F.col("t").cast("double")
-    x = x.withColumn("h0", (baseline(t + F.col("dt"), F.col("T"), a) - baseline(t, F.col("T"), a)) / F.col("dt"))
+    x = x.withColumn("h0", (baseline(t + F.col("dt"), F.col("length_s"), a) - baseline(t, F.col("length_s"), a)) / F.col("dt"))
     x = x.withColumn("h", F.col("h0") * F.exp(F.coalesce("lp", F.lit(0.0)) * scale))
     w = Window.partitionBy(RUN).orderBy("t")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_words, shingles, tokens, word_count
+from tidemark.functions.text import content_words, shingles, tokens, upper_median, word_count
 
 RUN = "run_id"
 
@@ -92,10 +92,7 @@ def evenly(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
 
 def outliers_below(df: DataFrame, keys: list[str], value: str, factor: float = 2.5, floor: float = 0.005, least: int = 6) -> DataFrame:
     """df's rows under (upper median - factor * max(upper median deviation, floor)) of their group, with that limit."""
-    from tidemark.functions.text import upper_median
-
-    w = Window.partitionBy(*keys)
-    x = df.withColumn("_all", F.collect_list(value).over(w)).where(F.size("_all") >= least).withColumn("_mid", upper_median(F.col("_all")))
+    x = df.groupBy(*keys).agg(F.collect_list(value).alias("_all")).where(F.size("_all") >= least).withColumn("_mid", upper_median(F.col("_all")))
     x = x.withColumn("_mad", upper_median(F.transform("_all", lambda v: F.abs(v - F.col("_mid")))))
-    x = x.withColumn("limit", F.col("_mid") - factor * F.greatest(F.col("_mad"), F.lit(floor)))
-    return x.where(F.col(value) < F.col("limit")).drop("_all", "_mid", "_mad")
+    x = x.select(*keys, (F.col("_mid") - factor * F.greatest(F.col("_mad"), F.lit(floor))).alias("limit"))
+    return df.join(x, keys).where(F.col(value) < F.col("limit"))

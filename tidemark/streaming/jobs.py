@@ -21,7 +21,7 @@ def binned(df: DataFrame, width: str, aggs: list[Column], keys: list[str], slide
     """Tumbling, or with slide overlapping, windows; late rows beyond the watermark are left out of streams."""
     x = df.withWatermark(at, late) if df.isStreaming else df
     w = F.window(at, width, slide) if slide else F.window(at, width)
-    return x.groupBy(*keys, w.alias("w")).agg(*aggs).select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in df.sparkSession.createDataFrame([], x.groupBy(*keys).agg(*aggs).schema).columns if c not in keys])
+    return x.groupBy(*keys, w.alias("w")).agg(*aggs).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
 
 
 def sessions(df: DataFrame, gap: str, aggs: list[Column], keys: list[str], late: str = "1 minute", at: str = "ts") -> DataFrame:
