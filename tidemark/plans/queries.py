@@ -253,11 +253,11 @@ def q02_bm25(spark, d):
 
 
 @query(f"""with {BM25}, de as (select run_id, 0::bigint as query_id, passage, row_number() over (partition by run_id order by passage desc) as dense_rank from ps), le as (select *, row_number() over (partition by run_id, query_id order by score desc, passage desc) as lexical_rank from sc)
- select de.run_id, de.query_id, de.passage, dense_rank, lexical_rank, round(1 / (60 + dense_rank) + coalesce(1 / (60 + lexical_rank), 0.0), 8) as score from de left join le using (run_id, query_id, passage)""")
+ select de.run_id, de.query_id, de.passage, dense_rank, coalesce(lexical_rank, 0) as lexical_rank, round(1 / (60 + dense_rank) + coalesce(1 / (60 + lexical_rank), 0.0), 8) as score from de left join le using (run_id, query_id, passage)""")
 def q04_rank_fusion(spark, d):
     q, p = _conversation_search(spark, d)
     dense = p.join(q.select("run_id", "query_id"), "run_id").select("run_id", "query_id", "passage", F.col("passage").cast("double").alias("score"))
-    return retrieval.fuse(dense, retrieval.bm25(q, p))
+    return retrieval.fuse(dense, retrieval.bm25(q, p)).fillna(0, ["lexical_rank"])
 
 
 @query("""with v as (select label::varchar || '-' || (vec_id // 200)::varchar as run_id, vec_id as place, embedding::double[] as e from embeddings), p as (select x.run_id, x.place as a, y.place as b, list_cosine_similarity(x.e, y.e) as c from v x join v y on x.run_id = y.run_id and abs(x.place - y.place) > 1),
