@@ -10,6 +10,7 @@ without training rows everything is `und`; ties go to the language first in orde
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -212,11 +213,14 @@ class Labeller:
         return self.model.langs[best], float(held[best] / held.sum() * sure), spans
 
 
+SPANS = "array<struct<lang:string,start:int,end:int>>"
+
+
 def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, lang_score and lang_spans (array of language, first word, end word)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>")
+    @F.pandas_udf("struct<lang_pred:string,score:double,spans:string>")
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value)
         for batch in texts:
@@ -224,8 +228,8 @@ def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             for k in range(0, len(batch), 500):
                 for ids in labeller.prepare([t or "" for t in batch.iloc[k : k + 500]]):
                     lang, share, spans = labeller.label(ids)
-                    out.append((lang, share, [{"lang": x, "start": a, "end": b} for x, a, b in spans]))
+                    out.append((lang, share, json.dumps([{"lang": x, "start": a, "end": b} for x, a, b in spans])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
 
     x = docs.withColumn("_labelled", labelled(F.col(text_col)))
-    return x.withColumns({"lang_pred": F.col("_labelled.lang_pred"), "lang_score": F.col("_labelled.score"), "lang_spans": F.col("_labelled.spans")}).drop("_labelled")
+    return x.withColumns({"lang_pred": F.col("_labelled.lang_pred"), "lang_score": F.col("_labelled.score"), "lang_spans": F.from_json("_labelled.spans", SPANS)}).drop("_labelled")
