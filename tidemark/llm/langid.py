@@ -115,7 +115,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                         out[f"\x00{script_of(w)}"] += n * len(w)
                         for g in grams(w):
                             out[g] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(out), "n": list(out.values())}, columns=["lang", "gram", "n"])
+                if out:
+                    yield pd.DataFrame({"lang": [lang] * len(out), "gram": list(out), "n": list(out.values())}, columns=["lang", "gram", "n"])
 
     counts = materialise(train.mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-counts")
     totals = {r.lang: r.n for r in counts.where(~F.col("gram").startswith("\x00")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
