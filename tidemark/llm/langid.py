@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, materialise
+from tidemark.llm.common import free_name, held_out, materialise
 
 #: Bound on the rows that are learned from (a sample by hash) and on the n-grams kept per language.
 SAMPLE, GRAMS = 8_000, 20_000
@@ -30,7 +30,6 @@ SAMPLE, GRAMS = 8_000, 20_000
 PENALTY, MOST = 12.0, 4.0
 #: Share of a language's letters that must be in a script for it to be a candidate there.
 SCRIPT_SHARE = 0.01
-LONGEST = 64
 
 # First and last code points of scripts.
 SCRIPTS = {
@@ -73,7 +72,7 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "…
 def plain(token: str) -> str:
     """The token's letters, lower-cased."""
     w = token.strip(_EDGE).lower()
-    return w[:LONGEST] if w.isalpha() else "".join(filter(str.isalpha, w))[:LONGEST]
+    return w if w.isalpha() else "".join(filter(str.isalpha, w))
 
 
 @dataclass
@@ -218,7 +217,7 @@ SPANS = "array<struct<lang:string,start:int,end:int>>"
 
 
 def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_spans (array of language, first word, end word)."""
+    """docs with lang_pred, lang_score and lang_spans (array of language, first word, end word); columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double,spans:string>")
@@ -232,5 +231,6 @@ def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                     out.append((lang, share, json.dumps([{"lang": x, "start": a, "end": b} for x, a, b in spans])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
 
-    x = docs.withColumn("_labelled", labelled(F.col(text_col)))
-    return x.withColumns({"lang_pred": F.col("_labelled.lang_pred"), "lang_score": F.col("_labelled.score"), "lang_spans": F.from_json("_labelled.spans", SPANS)}).drop("_labelled")
+    made = free_name(docs, "labelled")
+    x = docs.withColumn(made, labelled(F.col(text_col)))
+    return x.withColumns({"lang_pred": F.col(f"{made}.lang_pred"), "lang_score": F.col(f"{made}.score"), "lang_spans": F.from_json(f"{made}.spans", SPANS)}).drop(made)
