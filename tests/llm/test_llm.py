@@ -168,6 +168,10 @@ def test_statistics_match_brute_force(spark):
         assert (x.n_words, x.word_chars, x.n_repeat_words) == (len(ws), sum(map(len, ws)), len(repeated))
 
 
+def test_long_words_are_scored_whole():
+    assert langid.plain("(" + "Ab" * 5000 + "1c)") == "ab" * 5000 + "c"
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = queries.op7_language(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
