@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import DATA, same
-from tidemark.plans.queries import QUERIES, SQL
+from tidemark.plans.catalogue import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

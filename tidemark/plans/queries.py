@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
 from tidemark.operators import checks, intervals, retrieval, risk, scoring, sequences
 from tidemark.plans.inputs import ISS, SEG, issues, runs, segments, spans, table, turns, union_sql
+from tidemark.plans.registry import query
 from tidemark.sources.text import subtitle_lines
 from tidemark.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query(f"with {SEG} select * from seg")
 def s06_timed_segments(spark, d):
