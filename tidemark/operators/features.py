@@ -146,13 +146,20 @@ def rhythm(segments: DataFrame, window_ms: int = 30_000, flat: float = 0.25) ->
     return x.withColumns({"variation": F.round("variation", 2), "flat": F.coalesce(F.round("variation", 2) < flat, F.lit(False))})
 
 
-def best_earlier(segments: DataFrame, least: float = 0.0) -> DataFrame:
+def best_earlier(segments: DataFrame) -> DataFrame:
     """run_id, seg_idx, earlier, share: for each segment the earlier one of its run with the largest share of its three-word runs (ties: the first).
 
-    An equi-join on (run, three-word run); a run's occurrences are bounded by its length.
+    Segments with equal three-word runs are compared once: a repeated line has its first occurrence, or an earlier line that holds
+    all of it. The equi-join on (run, three-word run) then meets distinct lines only.
     """
-    g = segments.select(RUN, "seg_idx", F.array_distinct(shingles(tokens(F.col("text")))).alias("_g")).withColumn("_n", F.size("_g")).where("_n > 0")
-    one = g.select(RUN, "seg_idx", "_n", F.explode("_g").alias("_g"))
-    x = one.join(one.select(RUN, F.col("seg_idx").alias("earlier"), "_g"), [RUN, "_g"]).where("earlier < seg_idx")
-    x = x.groupBy(RUN, "seg_idx", "earlier").agg((F.count("*") / F.first("_n")).alias("share")).where(F.col("share") >= least)
-    return x.groupBy(RUN, "seg_idx").agg(F.max(F.struct("share", (-F.col("earlier")).alias("e"))).alias("_b")).select(RUN, "seg_idx", (-F.col("_b.e")).alias("earlier"), F.col("_b.share").alias("share"))
+    g = segments.select(RUN, "seg_idx", F.array_sort(F.array_distinct(shingles(tokens(F.col("text"))))).alias("_g")).where(F.size("_g") > 0).withColumn("_line", F.md5(F.array_join("_g", "|")))
+    lines = g.groupBy(RUN, "_line").agg(F.min_by("_g", "seg_idx").alias("_g"), F.min("seg_idx").alias("_first"))
+    one = lines.select(RUN, "_first", F.size("_g").alias("_n"), F.explode("_g").alias("_g"))
+    x = one.join(one.select(RUN, F.col("_first").alias("earlier"), "_g"), [RUN, "_g"]).where("earlier < _first")
+    x = x.groupBy(RUN, "_first", "earlier").agg((F.count("*") / F.first("_n")).alias("share"))
+    best = x.groupBy(RUN, "_first").agg(F.max(F.struct("share", (-F.col("earlier")).alias("e"))).alias("_b"))
+    out = g.select(RUN, "seg_idx", "_line").join(lines.select(RUN, "_line", "_first"), [RUN, "_line"]).join(best, [RUN, "_first"], "left")
+    again = F.col("seg_idx") > F.col("_first")
+    held = again & F.coalesce(F.col("_b.share") < 1, F.lit(True))
+    out = out.select(RUN, "seg_idx", F.when(held, F.col("_first")).otherwise(-F.col("_b.e")).alias("earlier"), F.when(again, 1.0).otherwise(F.col("_b.share")).alias("share"))
+    return out.where("earlier is not null")

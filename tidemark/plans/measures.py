@@ -152,12 +152,12 @@ def u03_merge_same(spark, d):
     return merges.merge_same(i, ["run_id", "event_type", "win"], {"causes": F.col("cause_group"), "ids": F.col("issue_id")}, [F.max("value").alias("worst")]).withColumns({"causes": F.array_join("causes", ","), "ids": F.array_join(F.col("ids").cast("array<string>"), ",")})
 
 
-@query("""with a as (select l_partkey as part, 0 as p, max(l_extendedprice / l_quantity) as price from lineitem where l_discount > 0.05 group by 1 union all select p_partkey, 1, p_retailprice from part)
- select part, case p when 0 then 'sold' else 'listed' end as source, round(price, 4) as price from (select *, row_number() over (partition by part order by p) as k from a) where k = 1""")
+@query("""with a as (select l_partkey as part, 0 as p, max(l_extendedprice) as price from lineitem where l_discount > 0.05 group by 1 union all select p_partkey, 1, p_retailprice from part)
+ select part, case p when 0 then 'sold' else 'listed' end as source, round(price, 2) as price from (select *, row_number() over (partition by part order by p) as k from a) where k = 1""")
 def u04_first_wins(spark, d):
-    sold = table(spark, d, "lineitem").where("l_discount > 0.05").groupBy(F.col("l_partkey").alias("part")).agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    sold = table(spark, d, "lineitem").where("l_discount > 0.05").groupBy(F.col("l_partkey").alias("part")).agg(F.max("l_extendedprice").alias("price"))
     listed = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("price"))
-    return merges.first_wins([("sold", sold), ("listed", listed)], ["part"]).withColumn("price", F.round("price", 4))
+    return merges.first_wins([("sold", sold), ("listed", listed)], ["part"]).withColumn("price", F.round("price", 2))
 
 
 @query(r"""with x as (select conv_id as run_id, turn as seg_idx, trim(regexp_replace(lower(text), '[^0-9a-z\x{80}-\x{ffff}]+', ' ', 'g'), ' ') as said from conversations)
