@@ -99,6 +99,21 @@ def test_near_duplicate_classes_match_brute_force(spark):
                 assert got[x] == got[y]
 
 
+def test_links_in_large_buckets_are_found_past_a_lone_central_node(spark, monkeypatch):
+    # One bucket holds class a (20 nodes), a lone central node b, and the classes c and d, linked by c6 and d0 alone.
+    chain = lambda name, n, start: [(f"{name}{i}", list(range(start + 10 * i, start + 10 * i + 100))) for i in range(n)]
+    a, c, d = chain("a", 20, 100_000), chain("c", 7, 0), chain("d", 7, 70)
+    lone = [("b", list(range(200_000, 200_100)))]
+    other = [(f"x{i}", list(range(300_000 + 1000 * i, 300_100 + 1000 * i))) for i in range(40)]
+    buckets = [(1, a + lone + c + d), (2, c), (3, d), (4, a), (5, lone + other)]
+    rows = [(i, name, name.encode(), [k for k, members in buckets if (name, e) in members], e) for i, (name, e) in enumerate(a + lone + c + d + other)]
+    signed = spark.createDataFrame(rows, "doc_id bigint, row_key string, node binary, bands array<bigint>, elements array<int>")
+    monkeypatch.setattr(near_dup, "signatures", lambda *_: signed)
+    got = {r.row_key: r.class_id for r in near_dup.near_duplicate_classes(None)[0].collect()}
+    assert len({got[name] for name, _ in c + d}) == 1 and len({got[name] for name, _ in a}) == 1
+    assert len(set(got.values())) == 2 + 1 + 40
+
+
 def test_decoder_restores_disguised_words(spark):
     model = toxicity.CharModel(toxicity.count_trigrams(spark.createDataFrame([("the idiot and the stupid moron are pathetic scum " * 5,)], "text string")))
     for disguised, word in (("id10t", "idiot"), ("st*pid", "stupid"), ("stuuupid", "stupid"), ("m0r0n", "moron"), ("$cum", "scum"), ("p@thetic", "pathetic"), ("stupid$$$", "stupid")):

@@ -7,7 +7,9 @@
 4. Pairs are verified by the multiset overlap itself; linked nodes form classes (connected components).
 5. Buckets whose nodes still lie in several classes are gone through again: all pairs of different classes where the bucket has at
    most SMALL nodes, else every node against the most central one outside the bucket's largest class; up to ROUNDS times,
-   while that finds links. The pairs stay in proportion to the nodes: no bucket is expanded into all its pairs.
+   while that finds links. This only merges classes cheaply.
+6. What is left of the buckets above SMALL is settled exactly: a prefix-filter join on each node's rarest elements gives every
+   pair of different classes that can be near, and those pairs are verified.
 
 Defined results: texts without a word are classes of their own; texts of one to four words have one shingle, the whole
 text; repeated rows are exact copies; a null id never becomes a class id while the class has another one.
@@ -211,6 +213,31 @@ def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return small.unionByName(pairs_of(wide, "node", "lead")).distinct()
 
 
+def prefix_pairs(buckets: DataFrame, label: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of different classes among the nodes of open buckets above SMALL: all those that can be near.
+
+    Sets with a Jaccard similarity of s share an element among the first n - ceil(s n) + 1 of each in one order; with the rarest
+    first, few others do. One side of each pair lies outside the largest class of a bucket.
+    """
+    inside = buckets.where(F.col("n") > SMALL).join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    most = inside.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("k", "label")).alias("top")).where("classes > 1").select("bucket", F.col("top.label").alias("top"))
+    nodes = materialise(inside.join(most, "bucket").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("outside")), "neardup-outside")
+    each = known.join(nodes.select("node"), "node", "left_semi").select("node", F.size("elements").alias("size"), F.explode("elements").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    # Elements of one node only come first in the order and match nothing.
+    w = Window.partitionBy("node")
+    placed = each.join(shared, "element").withColumns({"own": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("n", "element"))})
+    placed = placed.withColumn("place", F.col("size") - F.col("own") + F.col("nth") - 1).where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9))
+    placed = materialise(placed.select("node", "size", "element", "place").join(nodes, "node"), "neardup-prefixes")
+    side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place")])
+    pairs = side("x").where("outside").drop("outside").join(side("y").drop("outside"), "element").where("label_x != label_y")
+    sizes = F.col("size_x"), F.col("size_y")
+    # The first shared element bounds the overlap by what comes after it.
+    ahead = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    pairs = pairs.where((F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-9) & ((1 + similarity) * ahead >= similarity * (sizes[0] + sizes[1]) - 1e-9))
+    return pairs_of(pairs, "node_x", "node_y")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links): doc_id, row_key, class_key, class_id, class_size for every row; a, b for the verified links."""
     signed = signatures(docs, id_col, text_col)
@@ -238,6 +265,12 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
             break
         links = links.unionByName(new)
         label = components(links)
+    rest = materialise(prefix_pairs(buckets, label, known, similarity).join(tested, ["a", "b"], "left_anti"), "neardup-rest")
+    if rest.limit(1).count():
+        new = verified(rest, known, similarity)
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            label = components(links)
     members = signed.select("doc_id", "row_key", "node").join(label, "node", "left")
     members = members.select("doc_id", "row_key", F.coalesce(F.hex(F.coalesce("label", "node")), F.concat(F.lit("-"), "row_key")).alias("class_key"))
     ids = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "row_key")).alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("known"))
