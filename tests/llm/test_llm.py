@@ -170,6 +170,13 @@ def test_url_hosts_and_paths(spark):
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2] == ("", "", None, "allow") and got[4] == ("h.org", "/fr/", "org/fr/", "allow")
 
 
+def test_small_hosts_are_blocked_beside_millions_of_seed_pages(spark):
+    big = spark.range(3_000_000).selectExpr("id as page_id", "'http://big.net/x' as url", "cast(null as string) as html")
+    small = spark.createDataFrame([(-1, "http://bad.net/x", None), (-2, "http://friend.com/x", "<a href='http://bad.net/x'>")], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust) for r in urls.judge(big.unionByName(small)).where("page_id < 0").collect()}
+    assert got[-2] == ("block", 0.0)
+
+
 def test_statistics_match_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
