@@ -164,6 +164,14 @@ def test_licenses_base_and_fuzzy():
     assert s.scan(None)["n_words"] == 0
 
 
+def test_license_spans_of_neighbouring_notices():
+    s = licenses.Scanner()
+    spans = lambda text: [(x["label"], x["start"], x["end"], x["errors"]) for x in s.scan(text)["spans"]]
+    assert spans("released under teh mit license released under the mit license") == [("mit", 0, 5, 2), ("mit", 5, 10, 0)]
+    assert len(spans("released under teh mit license " * 40 + "released under the mit license")) == 41
+    assert [x[3] for x in spans("released under the mit licen released under teh mit license")] == [2, 2]
+
+
 def test_url_hosts_and_paths(spark):
     p = spark.createDataFrame([(1, "http://A.Example.NET/en/x?q"), (2, None), (3, "nourl"), (4, "x://h.org/fr/#a"), (5, "http://b.net")], "page_id int, url string").selectExpr("*", "null as html")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(p.withColumn("html", p.html.cast("string"))).collect()}

@@ -2,7 +2,7 @@
 
 Texts and notices are reduced to lower-case words with one space between them. A notice that may hold k errors is split into k + 1
 pieces; a match with at most k errors holds one piece unchanged (pigeonhole), so one Aho-Corasick pass over all
-pieces finds all candidates. Each candidate stretch is then matched with bounded errors by the regex library.
+pieces finds all candidates. Each candidate window is then matched by itself with bounded errors by the regex library.
 
 Defined results: null and empty texts have no words and no labels; overlapping matches of one notice count as the best one; repeated rows are
 scanned alike.
@@ -10,6 +10,8 @@ scanned alike.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,30 +68,43 @@ class Scanner:
             self.seeds.add_word(piece, (len(piece), at))
         self.seeds.make_automaton()
 
+    def search(self, text: str, i: int, a: int, b: int) -> tuple | None:
+        """The best match of a notice in text[a:b], as matches() orders them: share of errors, -length, start, notice, end, errors, a, b."""
+        notice, _, k = self.notices[i]
+        if b - a < len(notice) - k or not (m := self.patterns[i].search(text, a, b)):
+            return None
+        errors = sum(m.fuzzy_counts)
+        # Of equally good alignments the tightest, which takes nothing from a neighbour.
+        for left, right in ((0, 1), (1, 0)):
+            while errors and (x := self.patterns[i].search(text, m.start() + left, m.end() - right)) and sum(x.fuzzy_counts) == errors:
+                m = x
+        return errors / len(notice), m.start() - m.end(), m.start(), i, m.end(), errors, a, b
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors), characters of a text of words with single spaces."""
-        stretches: dict[int, list[list[int]]] = {}
+        # A window holds the whole match that its piece is part of; equal windows are searched once.
+        windows: set[tuple[int, int, int]] = set()
         for last, (size, at) in self.seeds.iter(text):
             for i, offset in at:
                 notice, _, k = self.notices[i]
-                a = max(0, last + 1 - size - offset - k)
-                b = min(len(text), last + 1 - size - offset + len(notice) + k)
-                own = stretches.setdefault(i, [])
-                if own and a <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(own[-1][0], a), max(own[-1][1], b)
-                else:
-                    own.append([a, b])
-        out = []
-        for i, own in stretches.items():
-            for a, b in own:
-                for m in self.patterns[i].finditer(text, a, b):
-                    out.append((sum(m.fuzzy_counts) / len(self.notices[i][0]), m.start(), m.end(), i, sum(m.fuzzy_counts)))
-        # Of overlapping matches the one with the least share of errors stays.
+                windows.add((i, max(0, last + 1 - size - offset - k), min(len(text), last + 1 - size - offset + len(notice) + k)))
+        found = [m for w in windows if (m := self.search(text, *w))]
+        heapq.heapify(found)
+        # Of overlapping matches the one with the least share of errors stays; what is left of the others' windows is searched again.
         best: list[tuple[int, int, int, int]] = []
-        for _, a, b, i, errors in sorted(out, key=lambda m: (m[0], m[1] - m[2], m[1], m[3])):
-            if all(b <= x[1] or a >= x[2] for x in best):
-                best.append((i, a, b, errors))
-        return sorted(best, key=lambda m: m[1])
+        starts: list[int] = []
+        while found:
+            _, _, start, i, end, errors, a, b = heapq.heappop(found)
+            at = bisect.bisect_left(starts, end)
+            if not at or best[at - 1][2] <= start:
+                starts.insert(at, start)
+                best.insert(at, (i, start, end, errors))
+                continue
+            _, left, right, _ = best[at - 1]
+            for x, y in {(a, min(b, left)), (max(a, right), b)}:
+                if m := self.search(text, i, x, y):
+                    heapq.heappush(found, m)
+        return best
 
     def scan(self, text: str | None) -> dict:
         ws = words_of(text)
