@@ -198,6 +198,14 @@ def test_statistics_match_brute_force(spark):
         assert (x.n_words, x.word_chars, x.n_repeat_words) == (len(ws), sum(map(len, ws)), len(repeated))
 
 
+def test_small_groups_are_judged_by_all_rows_of_their_language(spark):
+    text = lambda k: " ".join(f"w{k}{chr(97 + i % 26)}{i}" for i in range(60))
+    junk = " ".join(f"#$%&|{i}" for i in range(60))
+    rows = [(k, text(k), "en", "big") for k in range(150)] + [(1000 + k, junk, "en", "junk") for k in range(3)] + [(2000, text(2000), "en", "rare"), (3000, junk, "xx", "a"), (3001, text(3001), "yy", "a")]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert {i for i, k in kept.items() if not k} == {1000, 1001, 1002, 3000} and len(kept) == len(rows)
+
+
 def test_long_words_are_scored_whole():
     assert langid.plain("(" + "Ab" * 5000 + "1c)") == "ab" * 5000 + "c"
 

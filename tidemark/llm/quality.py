@@ -2,7 +2,8 @@
 
 Statistics of every whole text give fixed rules and a vector. Per language and source a minimum-covariance-determinant estimate
 (concentration steps from a median start) gives mean and covariance of the inner COVERAGE share of the vectors;
-documents whose Mahalanobis distance is beyond CUTOFF are rejected. Groups under SMALL rows use their language's estimate.
+documents whose Mahalanobis distance is beyond CUTOFF are rejected. Groups under SMALL rows use the estimate of their language,
+which is made from all its rows of all sources; a language under SMALL rows uses that of the whole corpus.
 
 Defined results: null and empty texts have zero counts and fail the rules; null languages and sources form groups of their
 own; a group that is constant in a statistic has the floor RIDGE as its deviation there; repeated rows are judged alike.
@@ -10,7 +11,7 @@ own; a group that is constant in a statistic has the floor RIDGE as its deviatio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, WS, materialise
@@ -85,7 +86,7 @@ def distance(x: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def robust_distances(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
-    """rows (row_id, group, v0..v3) with d: squared distances, scaled so that a group's median is that of a chi-square."""
+    """row_id, group, d for rows (row_id, group, v0..v3): squared distances, scaled so that a group's median is that of a chi-square."""
     median = lambda c: F.percentile_approx(c, 0.5, 10000)
     centre = rows.groupBy("group").agg(*[median(v).alias(f"m{i}") for i, v in enumerate(VECTOR)])
     spread = rows.join(centre, "group").groupBy("group").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(4)], *[median(F.abs(F.col(v) - F.col(f"m{i}"))).alias(f"s{i}") for i, v in enumerate(VECTOR)])
@@ -99,7 +100,7 @@ def robust_distances(rows: DataFrame, steps: int = STEPS, coverage: float = COVE
         g = x.groupBy("group").agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)], *[c.alias(n) for c, n in zip(cov, names, strict=True)])
         x = distance(rows, materialise(cholesky(g), "quality-step"))
     scale = x.groupBy("group").agg(F.greatest(median("d") / MEDIAN_CHI2_4, F.lit(1.0)).alias("scale"))
-    return x.join(scale, "group").select("row_id", (F.col("d") / F.col("scale")).alias("d"))
+    return x.join(scale, "group").select("row_id", "group", (F.col("d") / F.col("scale")).alias("d"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
@@ -108,11 +109,18 @@ def judge(docs: DataFrame, text_col: str = "text", cutoff: float = CUTOFF) -> Da
     stats = materialise(stats.withColumn("row_id", F.monotonically_increasing_id()), "quality-statistics")
     passed = stats.where(~F.col("base_failed"))
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= SMALL)
-    sizes = sizes.select(key("lang").alias("kl"), key("source").alias("ks"), "own")
+    own, lang, every = F.concat_ws("\x00", "kl", "ks"), F.col("kl"), F.lit("")
+    sizes = passed.groupBy(key("lang").alias("kl"), key("source").alias("ks")).agg(F.count("*").alias("n"))
+    langs = sizes.groupBy("kl").agg(F.sum("n").alias("n_lang"), (F.min("n") < SMALL).alias("lends")).withColumn("lends", F.col("lends") & (F.col("n_lang") >= SMALL))
+    borrows = F.coalesce(F.max(F.col("n_lang") < SMALL).over(Window.partitionBy()), F.lit(False))  # a row per language
+    sizes = sizes.join(langs.withColumn("all", borrows), "kl")
+    judged = F.when(F.col("n") >= SMALL, own).when(F.col("n_lang") >= SMALL, lang).otherwise(every)
+    groups = F.array_compact(F.array(F.when(F.col("n") >= SMALL, own), F.when(F.col("lends"), lang), F.when(F.col("all"), every)))
+    sizes = sizes.select("kl", "ks", judged.alias("judged"), groups.alias("groups"))
     rows = passed.select("row_id", key("lang").alias("kl"), key("source").alias("ks"), *VECTOR).join(sizes, ["kl", "ks"])
-    rows = materialise(rows.select("row_id", F.when(F.col("own"), F.concat_ws("\x00", "kl", "ks")).otherwise(F.col("kl")).alias("group"), *VECTOR), "quality-rows")
-    d = robust_distances(rows)
+    # A row for each estimate that the document is part of; it is judged by one of them.
+    rows = materialise(rows.select("row_id", "judged", F.explode("groups").alias("group"), *VECTOR), "quality-rows")
+    d = robust_distances(rows).join(rows.where("group = judged").select("row_id", "group"), ["row_id", "group"]).drop("group")
     out = stats.join(d, "row_id", "left")
     kept = ~F.col("base_failed") & (F.coalesce("d", F.lit(0.0)) <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d", 6).alias("distance"))
