@@ -121,6 +121,15 @@ def test_decoder_restores_disguised_words(spark):
     assert ("idiot",) in toxicity.Reader(model).spelled("you i d i o t there".split())
 
 
+def test_decoder_reads_signs_alone_doubled_letters_and_long_runs(spark):
+    model = toxicity.CharModel(toxicity.count_trigrams(spark.createDataFrame([("you are an ass and the idiot and the stupid little moron " * 5,)], "text string")))
+    for disguised, word in (("@$$", "ass"), ("4$$", "ass"), ("(4$$)!", "ass"), ("@$$!", "ass"), ("stuupid", "stupid"), ("iddiot", "idiot"), ("little", "little")):
+        assert word in toxicity.restore(model, disguised), disguised
+    assert toxicity.restore(model, "2024") == () and toxicity.restore(model, "$$$") == ()
+    spelled = toxicity.Reader(model).spelled(list("theandthe" * 5 + "idiot" + "theandthe" * 5))
+    assert ("idiot",) in spelled and spelled <= {("the",), ("and",), ("idiot",)}
+
+
 def test_cuckoo_filter_and_reversible_counts(spark):
     keys = [line_dedup.key_of(f"line {i}") for i in range(5000)]
     f = line_dedup.CuckooFilter.of(keys)
