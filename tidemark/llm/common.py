@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and \t \n \x0B \f \r.
@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,6 +41,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def running(df: DataFrame, by: list[str], at: str, value: str, out: str, fan: int = 1000) -> DataFrame:
+    """df (one row per `by` and non-negative whole number `at`) with `out`: the sum of `value` over the rows of `by` with a smaller `at`.
+
+    Blocks of `fan` numbers are added up first, so that a window holds one block, or one row per block, but never all rows.
+    """
+    block, before = free_name(df, "run_block"), free_name(df, "run_before")
+    d = df.withColumn(block, F.floor(F.col(at) / fan))
+    sums = d.groupBy(*by, block).agg(F.sum(value).alias(before))
+    earlier = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    inside = F.sum(value).over(Window.partitionBy(*by, block).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    return d.withColumn(out, F.coalesce(inside, F.lit(0))).join(sums, [*by, block]).withColumn(out, F.col(out) + F.col(before)).drop(block, before)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

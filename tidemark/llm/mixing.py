@@ -4,11 +4,12 @@ Each source's documents are shuffled (ordered by a hash) and queued up to `repea
 is the source's cumulative size up to it, divided by the source's target. All copies are ordered by finish time and
 cut where the total budget is reached. Within one source and epoch the copies taken are a prefix of the shuffled
 order, so the cut comes down to one key per source and epoch: whole documents are never shuffled, they are compared
-with those keys. Running sums are taken in two levels (sums per bucket, then within a bucket), so a source with a
-third of all rows is spread over many tasks.
+with those keys. Running sums are taken in three levels (blocks of buckets, buckets, rows of a bucket), so a source with a
+third of all rows is spread over many tasks and no window holds all buckets.
 
 Defined results: null and empty texts have size 0 and are taken with 0 words; null sources form one source, last in
-order; a null id hashes as the empty string; documents of one source with equal hash (repeated ids) enter together.
+order; a null id hashes as the empty string; documents of one source with equal hash (repeated ids) enter together; copies whose
+finish times are equal enter together or not at all; an empty table gives no rows; texts are counted whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, free_name, materialise
+from tidemark.llm.common import WORD, free_name, materialise, running
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
@@ -63,7 +64,7 @@ def cut_keys(sizes: DataFrame, targets: DataFrame, n_rows: int, repeats: int = R
     spread = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("long")
     d = sizes.where("size > 0").withColumn("bucket", spread)
     before = d.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = before.withColumn("before", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bucket_size")
+    before = running(before, ["skey"], "bucket", "bucket_size", "before").drop("bucket_size")
     inside = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("key").rangeBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("inside", inside).join(before, ["skey", "bucket"]).join(targets, "skey").where("target > 0")
     copies = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -74,7 +75,7 @@ def cut_keys(sizes: DataFrame, targets: DataFrame, n_rows: int, repeats: int = R
     copies = copies.select("skey", "key", "size", "epoch", "finish", "range", "budget")
     copies = materialise(copies, "mix-copies")
     sums = copies.groupBy("range").agg(F.sum("size").alias("in_range"))
-    sums = sums.withColumn("upto", F.sum("in_range").over(Window.orderBy("range")))
+    sums = running(sums, [], "range", "in_range", "upto").withColumn("upto", F.col("upto") + F.col("in_range"))
     r = copies.join(sums, "range")
     whole = r.where("upto <= budget").select("skey", "epoch", "key")
     last = r.where("upto > budget and upto - in_range < budget")
