@@ -1,17 +1,19 @@
 """Language identification of mixed texts: word scores per language, a Viterbi path with a switching penalty, spans.
 
 Each word's script narrows its candidate languages (those whose training text uses the script); character n-grams score it
-under each candidate. A path of languages over the words, in which each switch costs PENALTY, gives spans; the text's
+under each candidate. The best path of languages over the words, in which each switch costs PENALTY, gives spans; the text's
 language is the one that holds most letters.
 
 Defined results: a null text or one without a letter is `und` with score 0; words without a letter take the language of the path;
-without training rows everything is `und`; ties go to the language first in order.
+without training rows, as with an empty table, everything is `und`; ties go to the language first in order; repeated rows are labelled
+alike; texts of any length are labelled whole; words of a script that no language was learned in say nothing.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,15 +21,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_name, held_out, materialise
 
-#: Bound on the rows that are learned from (a sample by hash) and on the n-grams kept per language.
-SAMPLE, GRAMS = 8_000, 20_000
-#: Cost of a switch, and the most that one word can say for or against a language.
+#: Bound on the rows that are learned from (a sample by hash). All their n-grams are kept.
+SAMPLE = 8_000
+#: Cost of a switch, and the most that one word's n-grams can say for or against a language.
 PENALTY, MOST = 12.0, 4.0
+#: Cost of a word in a language that is no candidate for its script: more than two switches and two words' scores can make up for.
+OUTSIDE = 2 * PENALTY + 4 * MOST
 #: Share of a language's letters that must be in a script for it to be a candidate there.
 SCRIPT_SHARE = 0.01
 
@@ -89,11 +93,11 @@ class Model:
         get, last = self.known.get, len(self.scores) - 1
         flat = np.array([get(w[i : i + 3], last) for w in (f"^{w}$" for w in words) for i in range(len(w) - 2)], dtype=np.int64)
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        out = np.add.reduceat(self.scores[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
+        out = np.clip(np.add.reduceat(self.scores[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None], -MOST, MOST)
         for i, w in enumerate(words):
             if (s := self.scripts.get(script_of(w))) is not None:
                 out[i] += s
-        return np.clip(out, -MOST, MOST)
+        return out
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -122,9 +126,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = sorted(totals)
     if not langs:
         return Model([], {}, np.zeros((1, 0)), {})
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.where(~F.col("gram").startswith("\x00")).withColumn("nth", nth).where(F.col("nth") <= GRAMS).select("gram").distinct()
-    rows = counts.join(top, "gram").groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()  # bounded: GRAMS per language
+    # Bounded by the sample of rows.
+    rows = counts.where(~F.col("gram").startswith("\x00")).groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()
     ids, table = {}, np.zeros((len(rows) + 1, len(langs)))
     at = {lang: i for i, lang in enumerate(langs)}
     for k, r in enumerate(sorted(rows, key=lambda r: r.gram)):
@@ -139,19 +142,26 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in counts.where(F.col("gram").startswith("\x00")).collect():
         letters.setdefault(r.gram[1:], np.zeros(len(langs)))[at[r.lang]] = r.n
     total = sum(letters.values(), np.zeros(len(langs)))
-    scripts = {s: np.where(v >= SCRIPT_SHARE * np.maximum(total, 1), 0.0, -20.0) for s, v in letters.items()}
+    scripts = {s: np.where(v >= SCRIPT_SHARE * np.maximum(total, 1), 0.0, -OUTSIDE) for s, v in letters.items()}
     scripts = {s: v for s, v in scripts.items() if (v == 0).any()}
     return Model(langs, ids, logs, scripts)
 
 
 def viterbi(e: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best path over words (rows) of languages (columns). One language throughout is tried first: it is the best path if no
-    stretch gains more in another language than the switches cost."""
+    """The best path over words (rows) of languages (columns).
+
+    One language throughout, the best of its kind, is tried first. A path that keeps to it in part has a switch for each stretch in
+    another language, so no such path is better if no stretch gains more than the penalty. A path that never keeps to it and is not
+    constant has a switch at least, so none is better if the other languages' best scores of all words together gain no more than that.
+    """
     n, k = e.shape
     main = int(np.argmax(e.sum(axis=0)))
+    if k < 2:
+        return np.full(n, main, dtype=np.int64)
     gain = np.cumsum(e - e[:, [main]], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain]), axis=0)[:-1]
-    if k < 2 or float((gain - low).max()) <= penalty:
+    others = np.delete(e, main, axis=1).max(axis=1).sum() - e[:, main].sum() if k > 2 else 0.0
+    if float((gain - low).max()) <= penalty and others <= penalty:
         return np.full(n, main, dtype=np.int64)
     back = np.zeros((n, k), dtype=np.int32)
     score = e[0].copy()
@@ -215,19 +225,29 @@ class Labeller:
 
 SPANS = "array<struct<lang:string,start:int,end:int>>"
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller(key: str, model: Model) -> Labeller:
+    """One per worker process: word scores are kept from task to task."""
+    if key not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[key] = Labeller(model)
+    return _LABELLERS[key]
+
 
 def label_spans(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, lang_score and lang_spans (array of language, first word, end word); columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("struct<lang_pred:string,score:double,spans:string>")
     def labelled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value)
+        own = labeller(key, shared.value)
         for batch in texts:
             out = []
             for k in range(0, len(batch), 500):
-                for ids in labeller.prepare([t or "" for t in batch.iloc[k : k + 500]]):
-                    lang, share, spans = labeller.label(ids)
+                for ids in own.prepare([t or "" for t in batch.iloc[k : k + 500]]):
+                    lang, share, spans = own.label(ids)
                     out.append((lang, share, json.dumps([{"lang": x, "start": a, "end": b} for x, a, b in spans])))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
 
