@@ -5,7 +5,8 @@ parent domain, both ways. Trust is personalised PageRank from hosts with allowed
 from hosts with blocked pages along the reversed edges. A host is blocked where distrust holds more than `limit` of both.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule and the verdict allow; null html has no
-links; without seeds of a kind its score is 0 everywhere; repeated pages are judged alike.
+links; without seeds of a kind its score is 0 everywhere; repeated pages are judged alike; hosts with as much trust as distrust are
+allowed; an empty table gives no rows; only page_id, url and html are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -140,5 +141,5 @@ def oracle(iterations: int = ITERATIONS) -> str:
     ]
     for i in range(1, iterations + 1):
         ctes.append(f"r{i} as materialized (select n.kind, n.node, {1 - DAMPING!r} * n.t + {DAMPING!r} * coalesce(f.flow, 0.0) as r from n left join (select p.kind, dst as node, sum(p.p * r.r) as flow from p join r{i - 1} r on p.kind = r.kind and p.src = r.node group by 1, 2) f on n.kind = f.kind and n.node = f.node)")
-    ctes.append(f"x as (select node, round(sum(case when kind = 0 then r else 0.0 end), 6) as trust, round(sum(case when kind = 1 then r else 0.0 end), 6) as distrust from r{iterations} group by node)")
-    return "with " + ",\n".join(ctes) + f"\nselect page_id, host, path, rule, coalesce(rule_verdict, case when coalesce(distrust, 0.0) > {LIMIT!r} * (coalesce(trust, 0.0) + coalesce(distrust, 0.0)) then 'block' else 'allow' end) as verdict, coalesce(trust, 0.0) as trust, coalesce(distrust, 0.0) as distrust from s left join x on s.host = x.node"
+    ctes.append(f"x as (select node, sum(case when kind = 0 then r else 0.0 end) as trust, sum(case when kind = 1 then r else 0.0 end) as distrust from r{iterations} group by node)")
+    return "with " + ",\n".join(ctes) + f"\nselect page_id, host, path, rule, coalesce(rule_verdict, case when coalesce(distrust, 0.0) > {LIMIT * (1 + 1e-9)!r} * (coalesce(trust, 0.0) + coalesce(distrust, 0.0)) then 'block' else 'allow' end) as verdict, round(coalesce(trust, 0.0), 6) as trust, round(coalesce(distrust, 0.0), 6) as distrust from s left join x on s.host = x.node"
