@@ -12,7 +12,10 @@
    pair of different classes that can be near, and those pairs are verified.
 
 Defined results: texts without a word are classes of their own; texts of one to four words have one shingle, the whole
-text; repeated rows are exact copies; a null id never becomes a class id while the class has another one.
+text; repeated rows are exact copies; a null id never becomes a class id while the class has another one; of equal ids in a class
+the row with the least key stays; very long texts are signed whole; an empty table gives no classes. Elements are 32-bit
+hashes of shingles and occurrences: two of n elements fall together with a probability of about n * n / 2**33, which can
+move the similarity of a pair by one element.
 """
 
 from __future__ import annotations
@@ -287,5 +290,5 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     key, nth = free_name(docs, "row_key"), free_name(docs, "nth_row")
     stay = members.where("row_key = keep").select(F.col("row_key").alias(key)).distinct()
     out = docs.withColumn(key, row_key(docs, id_col, text_col)).join(stay, key, "left_semi")
-    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes])
     return out.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col(nth) == 1).drop(key, nth)
