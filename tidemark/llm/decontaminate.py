@@ -4,8 +4,8 @@ The benchmark is the indexed side, the corpus is the query side. Terms are pairs
 so that common words alone do not make candidates. Every posting weight is the BM25 impact divided by the
 item's score against itself; one threshold then means the same for long and short items.
 
-The index is broadcast in shards of a bounded number of postings; a larger benchmark gives more shards, each
-of which reads the corpus once more. Nothing of the corpus is shuffled.
+The index is broadcast in shards of a bounded number of postings, one at a time; a larger benchmark gives more shards, each of which
+goes through the corpus once more and adds its hits to those written before. Nothing of the corpus is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, tokens
+from tidemark.llm.common import free_name, materialise, tokens
 
 #: Most postings in one broadcast shard (about 60 bytes each as Python objects and arrays).
 SHARD_POSTINGS = 500_000
@@ -183,19 +183,25 @@ def search(index: Index, text: str | None) -> list[tuple[int, int, float, float,
 def index_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_postings: int = SHARD_POSTINGS):
     """Yield the shards of the index. Statistics (items, mean length, document frequencies) cover the whole benchmark; they
     are counted in Spark, and each shard takes only its own items and frequencies to the driver."""
-    pair = F.udf(lambda t: [] if not t else list({(a, b) for ws in [tokens(t)] for a, b in zip(ws, ws[1:] or [b""], strict=False)}), "array<struct<a:binary,b:binary>>")
+
+    @F.pandas_udf("struct<length:int,terms:array<binary>>")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        split = [tokens(t) for t in texts]
+        # No word holds a space.
+        pairs = [list({a + b" " + b for a, b in zip(ws, ws[1:] or [b""], strict=False)}) for ws in split]
+        return pd.DataFrame({"length": [max(1, len(ws) - 1) for ws in split], "terms": pairs})
+
     base = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates()
-    terms = base.withColumn("term", F.explode(pair("text"))).select("item_id", "text", "term.a", "term.b")
-    total, postings = base.count(), terms.count()
-    length = F.udf(lambda t: max(1, len(tokens(t)) - 1), "int")
-    mean = base.agg(F.avg(length("text"))).first()[0] or 1.0
+    base = materialise(base.withColumn("m", measured("text")).select("item_id", "text", "m.*"), "benchmark")
+    terms = base.select("item_id", "text", F.explode("terms").alias("term"))
+    total, postings, mean = base.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     shards = max(1, math.ceil(postings / shard_postings))
-    df = terms.groupBy("a", "b").agg(F.count("*").alias("df"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
     for s in range(shards):
         mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s
-        rows = [(r.item_id, r.text) for r in base.where(mine).collect()]
-        own = terms.where(mine).select("a", "b").distinct().join(df, ["a", "b"])
-        counts = {(bytes(r.a), bytes(r.b)): r.df for r in own.collect()}
+        rows = [(r.item_id, r.text) for r in base.where(mine).select("item_id", "text").collect()]
+        own = terms.where(mine).select("term").distinct().join(df, "term")
+        counts = {tuple(bytes(r.term).split(b" ")): r.df for r in own.collect()}
         yield build_index([r for r in rows if r[0] is not None], total, mean, counts, threshold, overlap)
 
 
@@ -214,16 +220,21 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", out: st
     """docs with one more column: verified benchmark hits (array of struct, empty for clean documents).
 
     Null and empty texts have no hits; items without a word match nothing; equal items (id and text) count once; items with a
-    null id are left out; repeated documents each get their own hits; an existing column named `out` is replaced.
+    null id are left out; repeated documents each get their own hits; an existing column named `out` is replaced; an empty table gives
+    no rows; very long texts are searched whole, passage by passage; of passages with the same score the first one is reported.
     """
-    spark = docs.sparkSession
-    parts = []
+    spark, found = docs.sparkSession, None
     for index in index_shards(items, **options):
         if not index.size:
             continue
-        parts.append(searcher(spark.sparkContext.broadcast(index))(F.col(text_col)))
-    found = F.concat(*parts) if parts else F.array().cast(HITS)
-    return docs.withColumn(out, found)
+        if found is not None:
+            # The hits so far are written, so that no task ever holds two shards.
+            docs, last = materialise(docs.withColumn(out, found), "hits"), shared
+            last.destroy()
+        shared = spark.sparkContext.broadcast(index)
+        hits = searcher(shared)(F.col(text_col))
+        found = hits if found is None else F.concat(F.col(f"`{out}`"), hits)
+    return docs.withColumn(out, F.array().cast(HITS) if found is None else found)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
