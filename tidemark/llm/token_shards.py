@@ -1,23 +1,26 @@
 """Training-order materialisation: token sequences at keyed pseudo-random global slots, in fixed-stride binary shards.
 
-1. Documents are tokenised and packed, task by task, into sequences of `length` tokens; each document ends with the end token.
-2. A sequence's number (task, place) goes through a keyed Feistel permutation with cycle-walking over all possible numbers
-   (a bound from the texts' bytes, so nothing has to be counted, written and read again before the shuffle).
-   The permuted numbers are distinct; their order is the training order.
-3. Range partitions of the permuted numbers are the shards. Each is sorted and written: record i starts at byte i * stride,
-   so any record can be sought. A sequence's global slot is the number of records in the shards before, plus i;
-   slots are 0 to N-1 without gaps, and reading can resume at any slot.
+1. Documents are tokenised once and the tokens written, with the task and the place in it that they have there.
+2. Documents are put in order by a hash of id and text (of repeated rows, each copy has its own); running sums of their token counts,
+   taken over narrow rows, give each its place in one stream of tokens. Sequence s is the stream's s-th stretch of `length` tokens.
+3. A keyed Feistel permutation with cycle-walking over 0 to N-1 gives the slot of sequence s. It depends on the rows and the key
+   alone, not on files, partitions or tasks.
+4. Documents are cut where sequences end. Pieces go to the shard of their slot, `per_shard` slots each, and are written in order:
+   slot t is record t % per_shard of shard t // per_shard, so any slot can be sought and reading can resume anywhere.
 Shard files are written under another name and moved into place, so repeated or lost tasks leave whole files.
 
 A record: number of tokens (uint32), then `length` tokens (uint16, or uint32 for vocabularies over 65,536), padded with the end token.
+Each document ends with the end token; only the last sequence is shorter.
 
 Defined results: null and empty texts give the end token alone; repeated rows are packed each; no rows give no shards and an
-empty manifest; a null id stays null in the manifest. The order depends on the key and on how the input is split into tasks.
+empty manifest; a null id stays null in the manifest; very long texts run over many sequences; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import pickle
 import sys
 import uuid
 from array import array
@@ -28,18 +31,19 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyarrow import fs as arrow_fs
+from pyarrow import parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, new_folder
+from tidemark.llm.common import materialise, new_folder, running
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pretokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 16_384, 20_240_601, 6
-#: More tasks than any job has; numbers are task * places + place.
-TASKS = 1 << 20
+LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 65_536, 20_240_601, 6
+#: Rows that one bucket of a running sum holds on average, and bytes of tokens that are framed at once in a task.
+BUCKET_ROWS, FRAME_BYTES = 4000, 32 << 20
 _U = np.uint64
 
 
@@ -109,61 +113,92 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def squeeze(tokens: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(tokens)
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unsqueeze(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-PACKED = "shard int, number bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"
-
-
-def pack(docs: DataFrame, vocabulary: Vocabulary, places: int, shards: int, length: int = LENGTH, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed sequences with their permuted number and shard; doc_ids and starts tell which documents a sequence holds and where
-    each begins (0: or goes on). places: more than the sequences of any task."""
+def tokenised(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """part, pos, row_hash, doc_id, n, tokens of every document, written to the shared folder; n counts the end token, tokens lack it."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
-        encode, stride = encoder(v), length * v.width
-        end = np.array([v.end], dtype="<u2" if v.width == 2 else "<u4").tobytes()
-        task, place, domain = TaskContext.get().partitionId(), 0, TASKS * places
-        held, ids, starts, rows = bytearray(), [], [], []
-
-        def take(k: bytearray) -> None:
-            n = len(k) // v.width
-            rows.append((n, list(ids), list(starts), squeeze(bytes(k) + end * (length - n))))
-
-        def frame() -> pd.DataFrame:
-            nonlocal place
-            out = pd.DataFrame(rows, columns=["n_tokens", "doc_ids", "starts", "tokens"])
-            number = feistel(task * places + np.arange(place, place + len(rows)), domain, key)
-            out.insert(0, "number", number)
-            out.insert(0, "shard", [int(x) * shards // domain for x in number])
-            place += len(rows)
-            rows.clear()
-            return out
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, pos = shared.value, 0
+        encode, part = encoder(v), TaskContext.get().partitionId()
+        for batch in batches:
+            tokens = [encode(t) for t in batch["text"]]
+            n = [len(t) // v.width + 1 for t in tokens]
+            yield pd.DataFrame({"part": part, "pos": np.arange(pos, pos + len(batch)), "row_hash": batch["row_hash"], "doc_id": batch["doc_id"], "n": n, "tokens": tokens})
+            pos += len(batch)
+
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))).alias("row_hash"), F.col(text_col).alias("text"))
+    # Ids as text, so that null ones keep the others whole.
+    slim = slim.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return materialise(slim.mapInPandas(encoded, "part int, pos int, row_hash string, doc_id string, n bigint, tokens binary"), "tokens")
+
+
+def stream_places(tokens: DataFrame, folder: str, key: int = KEY) -> int:
+    """Write pos, place (tokens of the documents before) of every document under `folder`, by part; the number of all tokens."""
+    total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    copy = F.row_number().over(Window.partitionBy("row_hash").orderBy("part", "pos"))
+    d = tokens.select("part", "pos", "n", F.md5(F.concat_ws(":", F.lit(str(key)), "row_hash", copy)).alias("order"))
+    buckets = max(1, rows // BUCKET_ROWS)
+    d = d.withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
+    before = running(d.groupBy("bucket").agg(F.sum("n").alias("in_bucket")), [], "bucket", "in_bucket", "before").select("bucket", "before")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = d.withColumn("inside", inside).join(before, "bucket").select("part", "pos", (F.col("before") + F.col("inside")).alias("place"))
+    places.repartition("part").sortWithinPartitions("part", "pos").write.mode("overwrite").partitionBy("part").parquet(folder)
+    return int(total)
+
+
+def cut_pieces(tokens: DataFrame, places: str, total: int, vocabulary: Vocabulary, length: int, per_shard: int, key: int) -> DataFrame:
+    """shard, frame: the documents' pieces, those of one shard and batch pressed into a frame."""
+    n_slots, end = -(-total // length), vocabulary.end
+    kind = np.dtype("<u2" if vocabulary.width == 2 else "<u4")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = arrow_fs.FileSystem.from_uri(places)
+        held: dict[int, list] = {}
+        size, part, place = 0, None, None
+
+        def frames() -> pd.DataFrame:
+            out = [(shard, squeeze(pickle.dumps(pieces, 5))) for shard, pieces in held.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=["shard", "frame"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                ids.append(doc_id)
-                starts.append(len(held) // v.width)
-                held += encode(text) + end
-                while len(held) >= stride:
-                    take(held[:stride])
-                    del held[:stride]
-                    ids, starts = ([doc_id], [0]) if held else ([], [])
-                if len(rows) >= 2000:
-                    yield frame()
+            for p, pos, doc_id, raw in zip(batch["part"], batch["pos"], batch["doc_id"], batch["tokens"], strict=True):
+                if p != part:
+                    # The places of a written part: two small numbers a document.
+                    t = parquet.read_table(f"{root}/part={p}", filesystem=store, columns=["pos", "place"])
+                    part, place = p, t["place"].to_numpy()[np.argsort(t["pos"].to_numpy())]
+                ids, at = np.append(np.frombuffer(raw, kind), kind.type(end)), int(place[pos])
+                first, last = at // length, (at + len(ids) - 1) // length
+                slots = feistel(np.arange(first, last + 1), n_slots, key)
+                for s, slot in zip(range(first, last + 1), slots.tolist(), strict=True):
+                    a, b = max(at, s * length), min(at + len(ids), (s + 1) * length)
+                    held.setdefault(slot // per_shard, []).append((slot, a - s * length, doc_id, ids[a - at : b - at].tobytes()))
+                size += len(raw)
+                if size >= FRAME_BYTES:
+                    yield frames()
+                    size = 0
         if held:
-            take(held)
-        if rows:
-            yield frame()
+            yield frames()
+
+    return tokens.select("part", "pos", "doc_id", "tokens").mapInPandas(cut, "shard int, frame binary")
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(packed, PACKED)
+
+def open_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for shard, frame in zip(batch["shard"], batch["frame"], strict=True):
+            pieces = pickle.loads(unsqueeze(frame))
+            for k in range(0, len(pieces), 5000):
+                out = pd.DataFrame(pieces[k : k + 5000], columns=["slot", "start", "doc_id", "tokens"])
+                out.insert(0, "shard", shard)
+                yield out
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -172,63 +207,77 @@ def shard_path(folder: str, shard: int) -> str:
 
 def write_shards(docs: DataFrame, folder: str | None = None, vocabulary_path: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, **columns) -> DataFrame:
     """Write the shards into `folder` (default: a new one in shared storage) and return the manifest, which is kept there too:
-    slot, shard, byte_offset, n_tokens, doc_ids, starts, path; one row per sequence."""
+    slot, shard, byte_offset, n_tokens, doc_ids, starts (where each document begins in the sequence; 0: or goes on), path; one row per sequence."""
     vocabulary = Vocabulary.load(vocabulary_path)
     folder = folder or new_folder(docs.sparkSession, "shards")
-    text = columns.get("text_col", "text")
-    most = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0  # a token has a byte at least
-    places = most // length + 2
-    shards = max(1, -(-places // per_shard))
-    stride = 4 + length * vocabulary.width
+    tokens = tokenised(docs, vocabulary, **columns)
+    total = stream_places(tokens, f"{folder}/places", key)
+    n_slots, stride = -(-total // length), 4 + length * vocabulary.width
+    end = np.array([vocabulary.end], dtype="<u2" if vocabulary.width == 2 else "<u4").tobytes()
+    store, root = arrow_fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/layout.json") as f:
+        f.write(json.dumps({"length": length, "width": vocabulary.width, "per_shard": per_shard, "sequences": n_slots}).encode())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_shard, stream, made, record = None, None, "", 0
+        store, path = arrow_fs.FileSystem.from_uri(folder)
+        open_shard, stream, made = None, None, ""
+        slot, raw, ids, starts, rows = None, [], [], [], []
 
         def close() -> None:
             if stream is not None:
                 stream.close()
                 store.move(made, shard_path(path, open_shard))
 
-        store, path = arrow_fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
+        def record() -> None:
+            body = b"".join(raw)
+            n = len(body) // vocabulary.width
+            stream.write(n.to_bytes(4, "little") + body + end * (length - n))
+            rows.append((slot, open_shard, n, list(ids), list(starts)))
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["slot", "shard", "n_tokens", "doc_ids", "starts"])
+            rows.clear()
+            return out
+
         for batch in batches:
-            records = []
-            for shard, k, tokens in zip(batch["shard"], batch["n_tokens"], batch["tokens"], strict=True):
-                if shard != open_shard:
-                    close()
-                    open_shard, made, record = shard, f"{path}/.making-{uuid.uuid4().hex}", 0
-                    stream = store.open_output_stream(made)
-                stream.write(int(k).to_bytes(4, "little") + unsqueeze(tokens))
-                records.append(record)
-                record += 1
-            yield batch.drop(columns=["tokens", "number"]).assign(record=records)
+            for shard, s, start, doc_id, tokens in zip(batch["shard"], batch["slot"], batch["start"], batch["doc_id"], batch["tokens"], strict=True):
+                if s != slot:
+                    if slot is not None:
+                        record()
+                    slot, raw, ids, starts = s, [], [], []
+                    if shard != open_shard:
+                        close()
+                        open_shard, made = shard, f"{path}/.making-{uuid.uuid4().hex}"
+                        stream = store.open_output_stream(made)
+                raw.append(tokens)
+                ids.append(None if doc_id is None else int(doc_id))
+                starts.append(start)
+            yield frame()
+        if slot is not None:
+            record()
+            yield frame()
         close()
 
-    ordered = pack(docs, vocabulary, places, shards, length, key, **columns).repartitionById(shards, "shard").sortWithinPartitions("shard", "number")
-    manifest = materialise(ordered.mapInPandas(write, "shard int, n_tokens int, doc_ids array<bigint>, starts array<int>, record bigint"), "manifest", f"{folder}/manifest")
-    counts = manifest.groupBy("shard").agg(F.count("*").alias("n"))
-    first = counts.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))  # a row per shard
+    pieces = cut_pieces(tokens, f"{folder}/places", total, vocabulary, length, per_shard, key).repartitionById(max(1, -(-n_slots // per_shard)), "shard")
+    ordered = pieces.mapInPandas(open_frames, "shard int, slot bigint, start int, doc_id string, tokens binary").sortWithinPartitions("shard", "slot", "start")
+    manifest = materialise(ordered.mapInPandas(write, "slot bigint, shard int, n_tokens int, doc_ids array<bigint>, starts array<int>"), "manifest", f"{folder}/manifest")
     where = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
-    out = manifest.join(first, "shard")
-    return out.select((F.col("first") + F.col("record")).alias("slot"), "shard", (F.col("record") * stride).alias("byte_offset"), "n_tokens", "doc_ids", "starts", where.alias("path"))
+    return manifest.select("slot", "shard", (F.col("slot") % per_shard * stride).alias("byte_offset"), "n_tokens", "doc_ids", "starts", where.alias("path"))
 
 
-def read_slots(folder: str, first: int = 0, count: int | None = None, length: int = LENGTH, width: int = 2) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, tokens) in order from slot `first`: a seek, then sequential reads; the way to resume training."""
+def read_slots(folder: str, first: int = 0, count: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, tokens) in order from slot `first`: a computed seek, then sequential reads; the way to resume training."""
     store, path = arrow_fs.FileSystem.from_uri(folder)
-    stride, slot = 4 + length * width, 0
-    files = [f for f in store.get_file_info(arrow_fs.FileSelector(path)) if f.base_name.startswith("shard-")]
-    for info in sorted(files, key=lambda f: f.base_name):
-        n = info.size // stride
-        if slot + n <= first:
-            slot += n
-            continue
-        with store.open_input_file(info.path) as f:
-            at = max(0, first - slot)
-            f.seek(at * stride)
-            for i in range(slot + at, slot + n):
-                if count is not None and i >= first + count:
-                    return
+    with store.open_input_stream(f"{path}/layout.json") as f:
+        layout = json.loads(f.read())
+    stride, per_shard = 4 + layout["length"] * layout["width"], layout["per_shard"]
+    stop = layout["sequences"] if count is None else min(layout["sequences"], first + count)
+    slot = first
+    while slot < stop:
+        with store.open_input_file(shard_path(path, slot // per_shard)) as f:
+            f.seek(slot % per_shard * stride)
+            for slot in range(slot, min(stop, (slot // per_shard + 1) * per_shard)):
                 record = f.read(stride)
-                yield i, np.frombuffer(record, "<u2" if width == 2 else "<u4", int.from_bytes(record[:4], "little"), 4)
-        slot += n
+                yield slot, np.frombuffer(record, "<u2" if layout["width"] == 2 else "<u4", int.from_bytes(record[:4], "little"), 4)
+        slot += 1
