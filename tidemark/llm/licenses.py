@@ -4,8 +4,9 @@ Texts and notices are reduced to lower-case words with one space between them. A
 pieces; a match with at most k errors holds one piece unchanged (pigeonhole), so one Aho-Corasick pass over all
 pieces finds all candidates. Each candidate window is then matched by itself with bounded errors by the regex library.
 
-Defined results: null and empty texts have no words and no labels; overlapping matches of one notice count as the best one; repeated rows are
-scanned alike.
+Defined results: null and empty texts have no words and no labels; of overlapping matches the one with the least share of errors counts, of
+equal ones the longest, then the first; repeated rows are scanned alike; very long texts are scanned whole; an empty table gives no rows; an
+existing column of the output's name is replaced.
 """
 
 from __future__ import annotations
