@@ -155,13 +155,19 @@ def test_token_shards_round_trip_and_resume(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
     folder = token_shards.new_folder(spark, "test")
     manifest = {r.slot: r for r in token_shards.write_shards(docs, folder, length=128, per_shard=64).collect()}
-    read = list(token_shards.read_slots(folder, length=128))
+    read = list(token_shards.read_slots(folder))
     assert [s for s, _ in read] == list(range(len(manifest)))
-    assert [s for s, _ in token_shards.read_slots(folder, 10, 5, length=128)] == list(range(10, 15))
+    assert [s for s, _ in token_shards.read_slots(folder, 10, 5)] == list(range(10, 15))
     encode = token_shards.Encoder(token_shards.Vocabulary.load())
     want = Counter(t for r in docs.collect() for t in np.frombuffer(encode(r.text), "<u2").tolist())
     got = Counter(t for _, x in read for t in x.tolist())
     assert got.pop(50256) == docs.count() and got == want
+    # Whole files but the last, and the sequence that a slot holds is the one that the permutation says.
+    slots = token_shards.feistel(np.arange(len(read)), len(read), token_shards.KEY).tolist()
+    stream = [t for s in slots for t in read[s][1].tolist()]
+    texts = {tuple(np.frombuffer(encode(r.text), "<u2").tolist()) for r in docs.collect()}
+    ends = [i for i, t in enumerate(stream) if t == 50256]
+    assert {tuple(stream[a + 1 : b]) for a, b in zip([-1, *ends[:-1]], ends)} == texts
     assert all(len(x) == manifest[s].n_tokens for s, x in read)
 
 
