@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import CONCRETE, content_words, shingles, tokens, word_count
+from tidemark.functions.text import CONCRETE, content_runs, word_count
 from tidemark.operators.intervals import RUN, overlap_ms, to_bins
-from tidemark.operators.sequences import first_use
 
 # Words and phrases that fill pauses.
 FILLERS = ("um", "uh", "erm", "uhm", "ah", "hmm", "you know", "i mean", "kind of", "sort of", "basically", "literally")
@@ -126,33 +125,13 @@ def adjacent_windows(windows: DataFrame, flag: Column, least: int = 2) -> DataFr
     return x.groupBy(RUN, "_k").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("windows")).where(F.col("windows") >= least).drop("_k")
 
 
-def new_terms(segments: DataFrame, window_ms: int = 60_000) -> DataFrame:
-    """Per window of starting segments: new content words, mean words, and load against the run's median of new words.
-
-    Windows without a segment have no row. The first window is always `normal`: there every word is new.
-    """
-    s = segments.withColumn("win", F.floor(F.col("start_ms") / window_ms))
-    new = first_use(s, content_words(F.col("text"))).where("is_new").join(s.select(RUN, "seg_idx", "win"), [RUN, "seg_idx"]).groupBy(RUN, "win").agg(F.countDistinct("item").alias("new_terms"))
-    x = s.groupBy(RUN, "win").agg(F.count("*").alias("sentences"), F.round(F.avg(word_count(F.col("text"))), 1).alias("mean_words")).join(new, [RUN, "win"], "left").fillna(0, ["new_terms"])
-    mid = F.median("new_terms").over(Window.partitionBy(RUN))
-    load = F.when(F.col("win") == 0, "normal").when((mid > 0) & (F.col("new_terms") > 1.5 * mid), "high").when((mid > 0) & (F.col("new_terms") < 0.5 * mid), "low").otherwise("normal")
-    return x.withColumn("load", load)
-
-
-def rhythm(segments: DataFrame, window_ms: int = 30_000, flat: float = 0.25) -> DataFrame:
-    """Per window: how many punctuated segments start in it, the variation of their lengths (three at least), and whether it is flat."""
-    s = segments.where(F.rtrim("text").rlike(r"[.!?]$")).select(RUN, F.floor(F.col("start_ms") / window_ms).alias("win"), word_count(F.col("text")).alias("_n"))
-    x = s.groupBy(RUN, "win").agg(F.count("*").alias("sentences"), F.when((F.count("*") >= 3) & (F.avg("_n") > 0), F.stddev_pop("_n") / F.avg("_n")).alias("variation"))
-    return x.withColumns({"variation": F.round("variation", 2), "flat": F.coalesce(F.round("variation", 2) < flat, F.lit(False))})
-
-
 def best_earlier(segments: DataFrame) -> DataFrame:
-    """run_id, seg_idx, earlier, share: for each segment the earlier one of its run with the largest share of its three-word runs (ties: the first).
+    """run_id, seg_idx, earlier, share: for each segment the earlier one of its run with the largest share of its runs of three content words (ties: the first).
 
     Segments with equal three-word runs are compared once: a repeated line has its first occurrence, or an earlier line that holds
     all of it. The equi-join on (run, three-word run) then meets distinct lines only.
     """
-    g = segments.select(RUN, "seg_idx", F.array_sort(F.array_distinct(shingles(tokens(F.col("text"))))).alias("_g")).where(F.size("_g") > 0).withColumn("_line", F.md5(F.array_join("_g", "|")))
+    g = segments.select(RUN, "seg_idx", F.array_sort(content_runs(F.col("text"))).alias("_g")).where(F.size("_g") > 0).withColumn("_line", F.md5(F.array_join("_g", "|")))
     lines = g.groupBy(RUN, "_line").agg(F.min_by("_g", "seg_idx").alias("_g"), F.min("seg_idx").alias("_first"))
     one = lines.select(RUN, "_first", F.size("_g").alias("_n"), F.explode("_g").alias("_g"))
     x = one.join(one.select(RUN, F.col("_first").alias("earlier"), "_g"), [RUN, "_g"]).where("earlier < _first")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import RECAP
-from tidemark.operators.intervals import RUN, overlap_ms, remap, runs_of, to_bins, union
+from tidemark.functions.text import ADVANCE, RECAP, REPLAY
+from tidemark.operators.intervals import RUN, overlap_ms, remap, to_bins, union
 from tidemark.operators.sequences import fold, novelty
 
-# Wording that marks progress; per feature how strong (or, for dead air, how many seconds long) a stretch must be
-# for medium and for high severity, and how well its evidence counts.
-ADVANCE = r"(?i)\b(for example|for instance|however|because|therefore|instead|first|second|next step|to check|to find|in contrast)\b"
+# Per feature how strong (or, for dead air, how many seconds long) a stretch must be for medium and for high severity, and
+# how well its evidence counts.
 LADDERS = {
     "slow_pace": ("strength", 0.6, None, "provisional"),
     "fast_pace": ("strength", 0.6, None, "provisional"),
@@ -41,10 +40,24 @@ def finding_runs(features: DataFrame, runs: DataFrame) -> DataFrame:
     return x.select(RUN, "feature", "start_ms", "end_ms", "strength", severity(F.col("feature"), F.col("strength"), (F.col("end_ms") - F.col("start_ms")) / 1000).alias("severity"), evidence.alias("evidence"))
 
 
+def announced(segments: DataFrame, passages: DataFrame, before_ms: int = 12_000, after_ms: int = 3_000) -> DataFrame:
+    """Passages (run_id, start_ms) that a cue announces as a replay: in a segment ending at most before_ms before or starting at most
+    after_ms after the passage's start."""
+    cue = segments.where(F.regexp_replace(F.lower("text"), r"[^\w\s']", " ").rlike(REPLAY))
+    near = cue.select(RUN, (F.col("start_ms") - after_ms).alias("_a"), (F.col("end_ms") + before_ms + 1).alias("_b"))
+    marks = to_bins(near, 60_000, "_a", "_b", "_bin").alias("m")
+    p = passages.withColumn("_bin", F.floor(F.col("start_ms") / 60_000)).alias("p")
+    inside = (F.col("m._a") <= F.col("p.start_ms")) & (F.col("p.start_ms") < F.col("m._b"))
+    return p.join(marks, (F.col(f"p.{RUN}") == F.col(f"m.{RUN}")) & (F.col("p._bin") == F.col("m._bin")) & inside, "left_semi").drop("_bin")
+
+
 def repetition_runs(segments: DataFrame, least: int = 2) -> DataFrame:
-    """run_id, first, last, steps: `least` or more segments in a row that repeat earlier wording without marking progress or a recap."""
-    flagged = novelty(segments).where("repeats").select(RUN, "seg_idx").join(segments.select(RUN, "seg_idx", "text"), [RUN, "seg_idx"])
-    return runs_of(flagged, ~F.col("text").rlike(ADVANCE) & ~F.col("text").rlike(RECAP), least, "seg_idx")
+    """run_id, first, last, steps, start_ms, end_ms: `least` or more segments in a row that repeat earlier wording without marking progress
+    or a recap, and are not announced as a replay."""
+    flagged = novelty(segments).where("repeats").select(RUN, "seg_idx").join(segments.select(RUN, "seg_idx", "start_ms", "end_ms", "text"), [RUN, "seg_idx"])
+    on = flagged.where(~F.col("text").rlike(ADVANCE) & ~F.col("text").rlike(RECAP)).withColumn("_k", F.col("seg_idx") - F.row_number().over(Window.partitionBy(RUN).orderBy("seg_idx")))
+    out = on.groupBy(RUN, "_k").agg(F.min("seg_idx").alias("first"), F.max("seg_idx").alias("last"), F.count("*").alias("steps"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).where(F.col("steps") >= least).drop("_k")
+    return out.join(announced(segments, out.select(RUN, "start_ms")), [RUN, "start_ms"], "left_anti")
 
 
 def dominant_runs(features: DataFrame, least: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_words, shingles, tokens, upper_median, word_count
+from tidemark.functions.text import content_runs, content_words, upper_median, word_count
 
 RUN = "run_id"
 
@@ -20,10 +20,16 @@ def first_use(df: DataFrame, items: Column, out: str = "item", order: str = "seg
 
 
 def novelty(segments: DataFrame, text: str = "text") -> DataFrame:
-    """run_id, seg_idx, n_words, new_share (1 without content words), reused_share of three-word runs, repeats."""
-    words = first_use(segments, content_words(F.col(text))).groupBy(RUN, "seg_idx").agg(F.avg(F.col("is_new").cast("int")).alias("new_share"))
-    runs = first_use(segments, shingles(tokens(F.col(text)))).groupBy(RUN, "seg_idx").agg(F.avg((~F.col("is_new")).cast("int")).alias("reused_share"))
-    out = segments.select(RUN, "seg_idx", word_count(F.col(text)).alias("n_words")).join(words, [RUN, "seg_idx"], "left").join(runs, [RUN, "seg_idx"], "left")
+    """run_id, seg_idx, n_words, new_share of content words (1 without any), reused_share of runs of three, repeats.
+
+    Words and runs go through one window and one aggregate, told apart by a kind.
+    """
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), content_words(F.col(text)).alias("items")), F.struct(F.lit(1).alias("kind"), content_runs(F.col(text)).alias("items")))
+    x = segments.select(RUN, "seg_idx", F.inline(kinds)).select(RUN, "seg_idx", "kind", F.explode("items").alias("item"))
+    x = x.withColumn("new", (F.min("seg_idx").over(Window.partitionBy(RUN, "kind", "item")) == F.col("seg_idx")).cast("int"))
+    share = lambda kind, v: F.avg(F.when(F.col("kind") == kind, v))
+    x = x.groupBy(RUN, "seg_idx").agg(share(0, F.col("new")).alias("new_share"), share(1, 1 - F.col("new")).alias("reused_share"))
+    out = segments.select(RUN, "seg_idx", word_count(F.col(text)).alias("n_words")).join(x, [RUN, "seg_idx"], "left")
     out = out.withColumns({"new_share": F.coalesce("new_share", F.lit(1.0)), "reused_share": F.coalesce("reused_share", F.lit(0.0))})
     return out.withColumn("repeats", (F.col("reused_share") >= 0.5) & (F.col("new_share") < 0.25) & (F.col("n_words") >= 6))
 
@@ -90,9 +96,22 @@ def evenly(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     return x.where((F.col("_n") <= most) | (at == F.col("_i"))).drop("_i", "_n")
 
 
+def upper_median_of(df: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
+    """keys, out: the middle value of each group (of two the larger), from counted values: a window over distinct values, no arrays."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    x = df.withColumns({"_upto": F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(weight).over(Window.partitionBy(*keys))})
+    middle = F.floor(F.col("_all") / 2) + 1
+    return x.where((F.col("_upto") >= middle) & (F.col("_upto") - F.col(weight) < middle)).select(*keys, F.col(value).alias(out))
+
+
 def outliers_below(df: DataFrame, keys: list[str], value: str, factor: float = 2.5, floor: float = 0.005, least: int = 6) -> DataFrame:
-    """df's rows under (upper median - factor * max(upper median deviation, floor)) of their group, with that limit."""
-    x = df.groupBy(*keys).agg(F.collect_list(value).alias("_all")).where(F.size("_all") >= least).withColumn("_mid", upper_median(F.col("_all")))
-    x = x.withColumn("_mad", upper_median(F.transform("_all", lambda v: F.abs(v - F.col("_mid")))))
-    x = x.select(*keys, (F.col("_mid") - factor * F.greatest(F.col("_mad"), F.lit(floor))).alias("limit"))
-    return df.join(x, keys).where(F.col(value) < F.col("limit"))
+    """df's rows under (upper median - factor * max(upper median deviation, floor)) of their group, with that limit.
+
+    Equal values are counted before they are shuffled; a group is never collected.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    mid = upper_median_of(n, keys, value, "_n", "_mid")
+    enough = n.groupBy(*keys).agg(F.sum("_n").alias("_rows")).where(F.col("_rows") >= least).select(*keys)
+    away = n.join(mid, keys).groupBy(*keys, F.abs(F.col(value) - F.col("_mid")).alias("_away")).agg(F.sum("_n").alias("_n"))
+    limit = mid.join(upper_median_of(away, keys, "_away", "_n", "_mad"), keys).join(enough, keys)
+    return df.join(limit.select(*keys, (F.col("_mid") - factor * F.greatest(F.col("_mad"), F.lit(floor))).alias("limit")), keys).where(F.col(value) < F.col("limit"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import word_count
 from tidemark.sources.text import timed_segments
 
 # Event types as risk tracks and as features.
@@ -21,6 +22,17 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed_segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as segments at 150 words a minute: some sentences as questions, some lines without their end, some unpunctuated."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    x = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.posexplode(lines).alias("seg_idx", "text"))
+    asked = F.regexp_replace("text", r"e[.]( |$)", "e?$1")
+    x = x.withColumn("text", F.when(F.col("seg_idx") % 5 == 4, F.lower(F.regexp_replace(asked, "[.?!]", ""))).when(F.col("seg_idx") % 3 == 1, F.regexp_replace(asked, "[.]$", "")).otherwise(asked))
+    x = x.withColumn("_ms", F.greatest(F.lit(1000), word_count(F.col("text")) * 400).cast("bigint"))
+    end = F.sum("_ms").over(Window.partitionBy("run_id").orderBy("seg_idx"))
+    return x.select("run_id", "seg_idx", (end - F.col("_ms")).alias("start_ms"), end.alias("end_ms"), "text")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as segments, ten seconds a turn."""
     c = table(spark, sf_dir, "conversations")
@@ -56,6 +68,12 @@ SEG = r"""l as (select doc_id as run_id, list_filter(list_transform(string_split
 s0 as (select run_id, unnest(range(len(ls))) as seg_idx, unnest(ls) as text from l),
 s1 as (select *, greatest(1000, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) * 400)::bigint as ms from s0),
 seg as (select run_id, seg_idx::int as seg_idx, (sum(ms) over w - ms)::bigint as start_ms, (sum(ms) over w)::bigint as end_ms, text from s1 window w as (partition by run_id order by seg_idx))"""
+WORDS = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
+TALK = rf"""l as (select doc_id as run_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') as ls from documents),
+l0 as (select run_id, unnest(range(len(ls)))::int as seg_idx, unnest(ls) as raw from l), l1 as (select run_id, seg_idx, regexp_replace(raw, 'e[.]( |$)', 'e?\1', 'g') as t from l0),
+l2 as (select run_id, seg_idx, case when seg_idx % 5 = 4 then lower(regexp_replace(t, '[.?!]', '', 'g')) when seg_idx % 3 = 1 then regexp_replace(t, '[.]$', '') else t end as text from l1),
+l3 as (select *, greatest(1000, {WORDS.format('text')} * 400)::bigint as ms from l2),
+talk as (select run_id, seg_idx, (sum(ms) over w - ms)::bigint as start_ms, (sum(ms) over w)::bigint as end_ms, text from l3 window w as (partition by run_id order by seg_idx))"""
 ISS = """i0 as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as place, json_extract_string(props, '$.k')::int as k from events),
 iss as (select user_id as run_id, event_id as issue_id, event_type, ts, value, place, place * 10000 as start_ms, place * 10000 + greatest(1, round(value * 100)::bigint) as end_ms,
   case event_type when 'view' then 'visual' when 'click' then 'pacing' when 'purchase' then 'narrative' when 'signup' then 'text' else 'technical' end as track,

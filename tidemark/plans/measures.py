@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
 from tidemark.operators import features, intervals, merges, risk
-from tidemark.plans.inputs import ISS, SEG, STEP_MS, issues, runs, segments, spans, table, turns, union_sql
-from tidemark.plans.queries import RISK
+from tidemark.plans.inputs import ISS, SEG, STEP_MS, WORDS, issues, runs, segments, spans, table, turns, union_sql
+from tidemark.plans.queries import RISK, RUNS
 from tidemark.plans.registry import query
 
-WORDS = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
 DUR = "dur as (select run_id, max(end_ms) as t from seg group by 1)"
 PUT = """pb as (select p.*, t, unnest(range(start_ms // 1000, (end_ms + 999) // 1000)) as s from p join dur using (run_id)),
  f as (select run_id, s::int as t, max(v * greatest(0, least(end_ms, (s + 1) * 1000, pb.t) - greatest(start_ms, s * 1000)) / (least((s + 1) * 1000, pb.t) - s * 1000)) as value from pb where s * 1000 < pb.t group by 1, 2)"""
@@ -122,24 +121,7 @@ def a08_window_statistics(spark, d):
     return i.groupBy("run_id", F.floor(F.col("start_ms") / 60_000).alias("win")).agg(F.round(F.median("value"), 6).alias("mid"), F.round(F.stddev_pop("value"), 6).alias("spread"), F.round(voiced, 6).alias("voiced"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in ft.STOP_WORDS)
-
-
-@query(f"""with {SEG}, s as (select *, start_ms // 60000 as win, {WORDS.format('text')} as n from seg), w as (select run_id, win, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[0-9a-zÀ-ɏ]+'), lambda w: length(w) > 2 and not list_contains([{_STOP}], w)))) as w from s),
- nw as (select run_id, win, count(*) as new_terms from (select run_id, w, min(win) as win from w group by 1, 2) group by 1, 2),
- x as (select run_id, win, count(*) as sentences, round(avg(n), 1) as mean_words, coalesce(any_value(new_terms), 0) as new_terms from s left join nw using (run_id, win) group by 1, 2), y as (select *, median(new_terms) over (partition by run_id) as mid from x)
- select run_id, win, sentences, mean_words, new_terms, case when win = 0 then 'normal' when mid > 0 and new_terms > 1.5 * mid then 'high' when mid > 0 and new_terms < 0.5 * mid then 'low' else 'normal' end as load from y""")
-def a13_new_terms(spark, d):
-    return features.new_terms(segments(spark, d))
-
-
-@query(f"""with {SEG}, s as (select run_id, start_ms // 30000 as win, {WORDS.format('text')} as n from seg where regexp_matches(rtrim(text), '[.!?]$')),
- x as (select run_id, win, count(*) as sentences, case when count(*) >= 3 and avg(n) > 0 then round(stddev_pop(n) / avg(n), 2) end as variation from s group by 1, 2) select *, coalesce(variation < 0.25, false) as flat from x""")
-def a14_rhythm(spark, d):
-    return features.rhythm(segments(spark, d))
-
-
-@query(f"""with {SEG}, t0 as (select run_id, seg_idx, regexp_extract_all(lower(text), '[a-z0-9'']+') as ts from seg), t as (select distinct run_id, seg_idx, unnest(list_transform(range(1, len(ts) - 1), lambda i: array_to_string(ts[i:i + 2], ' '))) as g from t0),
+@query(f"""with {SEG}, t as (select distinct run_id, seg_idx, unnest({RUNS.format('text')}) as g from seg),
  n as (select run_id, seg_idx, count(*) as n from t group by 1, 2), p as (select x.run_id, x.seg_idx, y.seg_idx as earlier, count(*) as k from t x join t y on x.run_id = y.run_id and x.g = y.g and y.seg_idx < x.seg_idx group by 1, 2, 3),
  q as (select p.*, k / n as share, row_number() over (partition by run_id, seg_idx order by k desc, earlier) as rank from p join n using (run_id, seg_idx)) select run_id, seg_idx, earlier, round(share, 6) as share from q where rank = 1""")
 def j08_best_earlier(spark, d):
@@ -195,8 +177,8 @@ def f08_longest_sentence(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), features.longest_sentence(F.col("text"))).otherwise(0).alias("longest"))
 
 
-@query("""with x as (select user_id, event_id, ts, row_number() over (partition by user_id order by value desc, event_id) as k from events), w as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as before from conversations)
+@query("""with w as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as before from conversations)
  select conv_id as run_id, count(*) as turns, count(*) filter (before = role) as repeats, count(distinct role) as roles from w group by 1""")
-def a15_turn_summary(spark, d):
+def turn_summary(spark, d):
     w = table(spark, d, "conversations").withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
     return w.groupBy(F.col("conv_id").alias("run_id")).agg(F.count("*").alias("turns"), F.count_if(F.col("before") == F.col("role")).alias("repeats"), F.countDistinct("role").alias("roles"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
 from tidemark.operators import checks, intervals, retrieval, risk, scoring, sequences
-from tidemark.plans.inputs import ISS, SEG, issues, runs, segments, spans, table, turns, union_sql
+from tidemark.plans.inputs import ISS, SEG, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.registry import query
 from tidemark.sources.text import subtitle_lines
 from tidemark.streaming import jobs
@@ -28,10 +28,24 @@ def f17_slugs_and_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", ft.slug(F.col("p_name")).alias("slug"), ft.hashed_id("ev_", F.col("p_partkey").cast("string"), F.col("p_name")).alias("part_ref"))
 
 
-@query("""with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-zÀ-ɏ]+')) as ws from documents)
- select doc_id, len(list_filter(ws, lambda w: length(w) > 2 and not list_contains([%s], w)))::int as n_content from w""" % ", ".join(f"'{w}'" for w in ft.STOP_WORDS))
+def sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')), lambda w: length(w) > 2 and not list_contains([" + sql_list(ft.COMMON_WORDS) + "], w))"
+TOPIC = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9'']+')), lambda w: length(w) > 2 and not list_contains([" + sql_list(ft.STOP_WORDS) + "], w))"
+_PLAIN = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?'), lambda w: not list_contains([" + sql_list(ft.COMMON_WORDS) + "], w))"
+RUNS = "list_distinct(list_transform(range(1, len(" + _PLAIN + ") - 1), lambda i: array_to_string((" + _PLAIN + ")[i:i + 2], ' ')))"
+
+
+@query(f"select doc_id, len({CONTENT.format('text')})::int as n_content, len({TOPIC.format('text')})::int as n_topic from documents")
 def f01_content_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(ft.content_words(F.col("text"))).alias("n_content"))
+    return table(spark, d, "documents").select("doc_id", F.size(ft.content_words(F.col("text"))).alias("n_content"), F.size(ft.topic_words(F.col("text"))).alias("n_topic"))
+
+
+@query(f"with {SEG} select run_id, seg_idx, array_to_string(list_sort({RUNS.format('text')}), '|') as runs from seg")
+def f02_content_runs(spark, d):
+    return segments(spark, d).select("run_id", "seg_idx", F.array_join(F.array_sort(ft.content_runs(F.col("text"))), "|").alias("runs"))
 
 
 @query(f"with {ISS}, {union_sql('iss', 'u')} select * from u")
@@ -119,11 +133,11 @@ def w31_time_remap(spark, d):
     return intervals.remap(i.select("run_id", "issue_id", F.col("start_ms").alias("at_ms")), i.where("event_type = 'error'")).select("run_id", "issue_id", "new_ms")
 
 
-@query(f"""with {SEG}, w as (select distinct run_id, seg_idx, unnest(list_filter(regexp_extract_all(lower(text), '[0-9a-zÀ-ɏ]+'), lambda w: length(w) > 2 and not list_contains([{", ".join(f"'{w}'" for w in ft.STOP_WORDS)}], w))) as w from seg),
+@query(f"""with {SEG}, w as (select run_id, seg_idx, unnest({CONTENT.format('text')}) as w from seg),
  wn as (select run_id, seg_idx, (min(seg_idx) over (partition by run_id, w) = seg_idx)::int as new from w), wa as (select run_id, seg_idx, avg(new) as new_share from wn group by 1, 2),
- t0 as (select run_id, seg_idx, regexp_extract_all(lower(text), '[a-z0-9'']+') as ts from seg), t as (select distinct run_id, seg_idx, unnest(list_transform(range(1, len(ts) - 1), lambda i: array_to_string(ts[i:i + 2], ' '))) as g from t0),
+ t as (select run_id, seg_idx, unnest({RUNS.format('text')}) as g from seg),
  tn as (select run_id, seg_idx, (min(seg_idx) over (partition by run_id, g) <> seg_idx)::int as old from t), ta as (select run_id, seg_idx, avg(old) as reused_share from tn group by 1, 2),
- x as (select seg.run_id, seg.seg_idx, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> ''))::int as n_words, coalesce(new_share, 1.0) as new_share, coalesce(reused_share, 0.0) as reused_share from seg left join wa using (run_id, seg_idx) left join ta using (run_id, seg_idx))
+ x as (select seg.run_id, seg.seg_idx, {WORDS.format('text')}::int as n_words, coalesce(new_share, 1.0) as new_share, coalesce(reused_share, 0.0) as reused_share from seg left join wa using (run_id, seg_idx) left join ta using (run_id, seg_idx))
  select run_id, seg_idx, n_words, round(new_share, 6) as new_share, round(reused_share, 6) as reused_share, reused_share >= 0.5 and new_share < 0.25 and n_words >= 6 as repeats from x""")
 def w17_novelty(spark, d):
     return sequences.novelty(segments(spark, d)).withColumns({"new_share": F.round("new_share", 6), "reused_share": F.round("reused_share", 6)})
@@ -225,19 +239,28 @@ def _conversation_search(spark, d):
 
 
 _STEM = "case when ends_with(w, 'ing') and length(w) > 6 then w[:-4] when ends_with(w, 'ed') and length(w) > 5 then w[:-3] when ends_with(w, 'es') and length(w) > 5 then w[:-3] when ends_with(w, 's') and length(w) > 4 then w[:-2] else w end"
+_NUMBERS = "case w " + " ".join(f"when '{k}' then '{v}'" for k, v in ft.NUMBER_WORDS.items()) + " else w end"
+_NAMED = "replace(replace(replace(lower(text), 'mr. beast', 'mrbeast'), 'mr beast', 'mrbeast'), 'mr b ', 'mrbeast ')"
+_TERMS = "select {0}, " + _STEM + " as term from (select {0}, w0, " + _NUMBERS.replace("case w ", "case w0 ").replace("else w end", "else w0 end") + " as w from (select {0}, unnest(string_split(regexp_replace(" + _NAMED + ", '[^\\p{{L}}\\p{{N}}\\p{{M}}'']', ' ', 'g'), ' ')) as w0 from {1}) where w0 <> '') where not list_contains([" + sql_list(ft.STOP_WORDS) + "], w) and (length(w0) > 1 or regexp_matches(w0, '^\\p{{Nd}}$'))"
+_ALIKE = "(values " + ", ".join(f"('{k}', '{v}')" for k, vs in ft.SYNONYMS.items() for v in vs) + ") s(term, w)"
 BM25 = f"""tw as (select conv_id as run_id, turn as seg_idx, text from conversations), pp as (select run_id, seg_idx as passage, string_agg(text, ' ') over (partition by run_id order by seg_idx rows between current row and 2 following) as text, max(seg_idx) over (partition by run_id) as last from tw),
-ps as (select run_id, passage, text from pp where passage + 2 <= last or passage = 0), t0 as (select run_id, passage, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) as w from ps), t1 as (select run_id, passage, {_STEM} as term, count(*) as tf from t0 where length(w) > 1 or regexp_matches(w, '[0-9]') group by 1, 2, 3),
+ps as (select run_id, passage, text from pp where passage + 2 <= last or passage = 0), t0 as ({_TERMS.format('run_id, passage', 'ps')}), t1 as (select run_id, passage, term, count(*) as tf from t0 group by 1, 2, 3),
 ix as (select *, sum(tf) over (partition by run_id, passage) as len from t1), n as (select run_id, count(*) as n from ps group by 1), df as (select run_id, term, count(*) as df from ix group by 1, 2), mean as (select run_id, sum(tf) / any_value(n) as mean from ix join n using (run_id) group by 1),
-q0 as (select run_id, seg_idx as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) as w from tw where seg_idx = 0), q as (select run_id, query_id, {_STEM} as term, count(*) as qn from q0 where length(w) > 1 or regexp_matches(w, '[0-9]') group by 1, 2, 3),
+qt as (select run_id, seg_idx as query_id, text from tw where seg_idx = 0), q0 as ({_TERMS.format('run_id, query_id', 'qt')}), q1 as (select * from q0 union all select run_id, query_id, {_STEM} from q0 join {_ALIKE} using (term)), q as (select run_id, query_id, term, count(*) as qn from q1 group by 1, 2, 3),
 sc as (select run_id, query_id, passage, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * len / mean))), 5) as score, count(*) as matched from q join df using (run_id, term) join ix using (run_id, term) join n using (run_id) join mean using (run_id) group by 1, 2, 3)"""
 
 
+@query(f"select doc_id, term, count(*) as n from ({_TERMS.format('doc_id', 'documents')}) group by 1, 2")
+def f03_search_terms(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(retrieval.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
 @query(f"with {BM25} select * from sc")
 def q02_bm25(spark, d):
     return retrieval.bm25(*_conversation_search(spark, d))
 
 
-@query(f"""with {BM25}, de as (select run_id, 0::bigint as query_id, passage, row_number() over (partition by run_id order by passage desc) as dense_rank from ps), le as (select *, row_number() over (partition by run_id, query_id order by score desc, passage desc) as lexical_rank from sc)
+@query(f"""with {BM25}, de as (select run_id, 0::bigint as query_id, passage, row_number() over (partition by run_id order by passage desc) as dense_rank from ps), le as (select *, row_number() over (partition by run_id, query_id order by score desc, passage) as lexical_rank from sc)
  select de.run_id, de.query_id, de.passage, dense_rank, coalesce(lexical_rank, 0) as lexical_rank, round(1 / (60 + dense_rank) + coalesce(1 / (60 + lexical_rank), 0.0), 8) as score from de left join le using (run_id, query_id, passage)""")
 def q04_rank_fusion(spark, d):
     q, p = _conversation_search(spark, d)
@@ -278,9 +301,9 @@ def a20_precision(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(r, "doc_id").groupBy("lang").agg(ok.alias("accepted"), F.count_if(F.col("quality") == 0).alias("dismissed"), F.round(ok / F.count("*"), 6).alias("precision"))
 
 
-@query("select user_id, max_by(event_type, ts) as status, max(ts) as at from events group by 1")
+@query("select user_id, arg_max(event_type, {'a': ts, 'b': event_id}) as status, max(ts) as at from events group by 1")
 def a34_latest_status(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.max("ts").alias("at"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"))
 
 
 @query("select event_type, time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end, count(*) as n, round(sum(value), 4) as total from events group by 1, 2, 3")
