@@ -81,11 +81,11 @@ def shots(boundaries: DataFrame, runs: DataFrame) -> DataFrame:
 def static_shots(shots_: DataFrame, least_ms: int = 8000, times: float = 3.0, share: float = 0.25, least_shots: int = 4) -> DataFrame:
     """long_static_shot: seconds of a shot beyond max(least_ms, times * median shot), where its motion is at or under the run's
     nearest-rank `share` of known motions (at least least_shots of them). Ramps from 0.5 to 1 over one more limit."""
-    known = F.array_sort(F.collect_list("motion"))
-    of_run = shots_.where("end_ms > start_ms").groupBy(RUN).agg(F.greatest(F.lit(float(least_ms)), times * F.median(F.col("end_ms") - F.col("start_ms"))).alias("_limit"), known.alias("_m"))
-    rank = F.greatest(F.lit(1), F.ceil(F.size("_m") * F.lit(share))).cast("int")
-    of_run = of_run.where(F.size("_m") >= least_shots).select(RUN, "_limit", F.element_at("_m", rank).alias("_low"))
-    x = shots_.join(of_run, RUN).where((F.col("end_ms") - F.col("start_ms") > F.col("_limit")) & (F.col("motion") <= F.col("_low")))
+    w = Window.partitionBy(RUN)
+    limit = shots_.where("end_ms > start_ms").groupBy(RUN).agg(F.greatest(F.lit(float(least_ms)), times * F.median(F.col("end_ms") - F.col("start_ms"))).alias("_limit"))
+    known = shots_.where("motion is not null").select(RUN, F.col("motion").alias("_low"), (F.row_number().over(w.orderBy("motion")) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    low = known.where((F.col("_n") >= least_shots) & (F.col("_i") == F.bround(share * (F.col("_n") - 1), 0))).select(RUN, "_low")
+    x = shots_.join(limit, RUN).join(low, RUN).where((F.col("end_ms") - F.col("start_ms") > F.col("_limit")) & (F.col("motion") <= F.col("_low")))
     first, last = F.ceil((F.col("start_ms") + F.col("_limit")) / 1000).cast("int"), F.ceil(F.col("end_ms") / 1000).cast("int") - 1
     x = x.where(last >= first).withColumn("t", F.explode(F.sequence(first, last)))
     value = clip(0.5 + 0.5 * (F.col("t") * 1000 - F.col("start_ms") - F.col("_limit")) / F.col("_limit"))

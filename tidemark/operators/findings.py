@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ADVANCE, RECAP, REPLAY
-from tidemark.operators.intervals import RUN, overlap_ms, remap, to_bins, union
+from tidemark.operators.intervals import RUN, islands, overlap_ms, remap, to_bins, union
 from tidemark.operators.sequences import fold, novelty
 
 # Per feature how strong (or, for dead air, how many seconds long) a stretch must be for medium and for high severity, and
@@ -104,16 +104,19 @@ def cut_plan(runs: DataFrame, spans: DataFrame, cuts: DataFrame, span_id: str =
 
 
 def top_passages(scored: DataFrame, most: int) -> DataFrame:
-    """Of each run and query the best-scored passages (ties: the later) that do not overlap, at most `most`; folds a query's hits."""
+    """Of each run and query the best-scored passages (ties: the later) that do not overlap, at most `most`; folds stretches of overlapping hits."""
     item = F.struct((-F.col("score")).alias("s"), (-F.col("passage")).alias("p"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
     row = "array<struct<passage:bigint,a:bigint,b:bigint,score:double>>"
 
     def keep(done: Column, x: Column) -> Column:
         new = F.array(F.struct((-x.p).alias("passage"), x.a.alias("a"), x.b.alias("b"), (-x.s).alias("score"))).cast(row)
-        return F.when((F.size(done) < most) & ~F.exists(done, lambda y: (x.a < y.b) & (x.b > y.a)), F.concat(done, new)).otherwise(done)
+        return F.when(~F.exists(done, lambda y: (x.a < y.b) & (x.b > y.a)), F.concat(done, new)).otherwise(done)
 
-    out = fold(scored, [RUN, "query_id"], item, F.array().cast(row), keep).select(RUN, "query_id", F.inline("folded"))
-    return out.select(RUN, "query_id", "passage", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), "score")
+    keys = [RUN, "query_id"]
+    out = fold(islands(scored, keys=tuple(keys)), [*keys, "island"], item, F.array().cast(row), keep).select(*keys, F.inline("folded"))
+    # What one stretch keeps does not depend on the others, so the limit can follow.
+    out = out.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("passage")))).where(F.col("_k") <= most)
+    return out.select(*keys, "passage", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), "score")
 
 
 def batches(df: DataFrame, order: str, size: Column, most: int = 12, most_size: int = 40_000) -> DataFrame:

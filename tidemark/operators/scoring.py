@@ -20,7 +20,7 @@ GROUPS = {
     "visual_pacing": {"long_static_shot": 0.4},
 }
 PROTECTIVE = {"open_loop": -0.4, "concrete": -0.2, "fresh_visual_change": -0.15, "new_onscreen_text": -0.15, "energy_lift": -0.1}
-PROTECTIVE_CAP = -0.1
+PROTECTIVE_CAP, MICRO = -0.1, 0.25
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,11 @@ def weigh(features: DataFrame) -> DataFrame:
     x = x.withColumn("part", F.when(F.col("cause") == "protective", F.greatest(F.lit(PROTECTIVE_CAP), F.col("part"))).otherwise(F.col("part")))
     best = x.groupBy(RUN, "t", "cause", "place").agg(F.max(F.struct(F.abs("part").alias("a"), (-F.col("nth")).alias("n"), "feature", "part")).alias("top"))
     best = best.withColumn("_risks", F.sum(F.when(F.col("cause") != "protective", 1).otherwise(0)).over(Window.partitionBy(RUN, "t")))
-    return best.where((F.col("cause") != "protective") | (F.col("_risks") == 0)).select(RUN, "t", F.col("top.feature").alias("feature"), F.col("top.part").alias("part"))
+    own = best.where((F.col("cause") != "protective") | (F.col("_risks") == 0)).select(RUN, "t", F.col("top.feature").alias("feature"), F.col("top.part").alias("part"))
+    # Moment-to-moment texture counts besides the groups, with its sign.
+    micro = features.where(F.col("feature").isin("micro_slowdown", "micro_pickup")).groupBy(RUN, "t").agg(F.sum(F.when(F.col("feature") == "micro_slowdown", F.col("value")).otherwise(-F.col("value"))).alias("v"))
+    micro = micro.where("v != 0").select(RUN, "t", F.lit("micro_variation").alias("feature"), (MICRO * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("v")))).alias("part"))
+    return own.unionByName(micro)
 
 
 def curve(runs: DataFrame, features: DataFrame, a: Assumptions = Assumptions(), scale: float = 1.0) -> DataFrame:

@@ -60,7 +60,7 @@ def w08_shots(spark, d):
 
 
 @query(f"""with {SHOTS}, m as (select sh.run_id, sh.shot, sh.start_ms, sh.end_ms, iss.value as motion from sh join iss on iss.run_id = sh.run_id and iss.start_ms = sh.start_ms),
- l as (select run_id, greatest(8000.0, 3 * median(end_ms - start_ms))::double as lim, list_sort(list(motion)) as ms from m group by 1 having count(*) >= 4), q as (select m.*, lim, ms[greatest(1, ceil(len(ms) * 0.25))::int] as low from m join l using (run_id)),
+ l as (select run_id, greatest(8000.0, 3 * median(end_ms - start_ms))::double as lim, list_sort(list(motion)) as ms from m group by 1 having count(*) >= 4), q as (select m.*, lim, ms[round_even(0.25 * (len(ms) - 1), 0)::int + 1] as low from m join l using (run_id)),
  x as (select *, unnest(range(ceil((start_ms + lim) / 1000)::int, ceil(end_ms / 1000)::int)) as t from q where end_ms - start_ms > lim and motion <= low)
  select run_id, t::int as t, 'long_static_shot' as feature, round(max(greatest(0.0, least(1.0, 0.5 + 0.5 * (t * 1000 - start_ms - lim) / lim))), 6) as value from x group by 1, 2""")
 def e13_static_shots(spark, d):

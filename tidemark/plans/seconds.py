@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import word_count
 from tidemark.operators import features, signals
 from tidemark.plans.inputs import TALK, WORDS, talk
 from tidemark.plans.queries import CONTENT
@@ -27,8 +28,6 @@ class Run:
 
     @property
     def words(self) -> DataFrame:
-        from tidemark.functions.text import word_count
-
         s = self.segments.withColumns({"n": word_count(F.col("text")), "step": F.when(F.col("seg_idx") % 4 == 1, 250).otherwise(400)}).where("n > 0")
         at = F.col("start_ms") + F.col("i") * F.col("step")
         return s.select("run_id", "seg_idx", "start_ms", "step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("i")).select("run_id", "seg_idx", at.alias("start_ms"), (at + F.col("step") - 50).alias("end_ms"))
@@ -63,6 +62,11 @@ class Run:
     def cuts(self) -> DataFrame:
         return self.segments.where("seg_idx % 2 = 0").select("run_id", F.col("start_ms").alias("at_ms"))
 
+    @property
+    def shots(self) -> DataFrame:
+        s = features.shots(self.cuts.withColumn("source", F.lit("cut")), self.runs)
+        return s.withColumn("motion", (F.col("run_id") * 3 + F.col("shot") * 7) % 20 / 100)
+
     @property
     def tracks(self) -> DataFrame:
         return self.segments.select("run_id", "seg_idx", "start_ms", F.least("end_ms", F.col("start_ms") + 6000).alias("end_ms"), "text", ((F.col("run_id") + F.col("seg_idx")) % 10 / 10).alias("confidence"))
@@ -74,8 +78,6 @@ class Run:
 
     @property
     def promises(self) -> DataFrame:
-        from pyspark.sql import Window
-
         s = self.segments.withColumns({"later": F.lead("start_ms", 3).over(Window.partitionBy("run_id").orderBy("seg_idx")), "status": pick(STATUSES, (F.col("run_id") + F.col("seg_idx")) % 4)})
         kept = F.when(F.col("status").isin("fulfilled", "partial"), F.col("later"))
         return s.where("seg_idx % 6 = 2").select("run_id", F.col("seg_idx").alias("promise"), "status", F.col("start_ms").alias("setup_ms"), kept.alias("first_fulfil_ms"))
@@ -96,7 +98,7 @@ sp as (select run_id, start_ms, end_ms from talk where seg_idx % 5 <> 3), sil as
 rms as (select run_id, k * 500 as t_ms, case when (k * 500 // 4000 + run_id) % 5 = 0 then null when (k * 500 // 3000 + run_id) % 3 = 0 then -70.0 else -20.0 - k % 7 end::double as dbfs from (select run_id, unnest(range((t - 1) // 500 + 1)) as k from dur)),
 loud as (select run_id, k * 1000 as t_ms, (-14.0 - (k // 4 * 3 + run_id) % 7 * 4.0 - k // 30 % 2 * 8.0)::double as lufs from (select run_id, unnest(range((t - 1) // 1000 + 1)) as k from dur)),
 pit as (select run_id, k * 10000 as start_ms, (k + 1) * 10000 as end_ms, ((run_id + k // 3 * 5) % 11 * 3.0)::double as std, (k * 7 + run_id) % 10 / 10 as voiced from (select run_id, unnest(range((t - 1) // 10000 + 1)) as k from dur)),
-cut as (select run_id, start_ms as at_ms from talk where seg_idx % 2 = 0), trk as (select run_id, seg_idx, start_ms, least(end_ms, start_ms + 6000) as end_ms, text, (run_id + seg_idx) % 10 / 10 as confidence from talk),
+cut as (select run_id, start_ms as at_ms from talk where seg_idx % 2 = 0), sht as (select run_id, row_number() over w - 1 as shot, at_ms as start_ms, coalesce(lead(at_ms) over w, t) as end_ms, (run_id * 3 + (row_number() over w - 1) * 7) % 20 / 100 as motion from cut join dur using (run_id) where at_ms < t window w as (partition by run_id order by at_ms)), trk as (select run_id, seg_idx, start_ms, least(end_ms, start_ms + 6000) as end_ms, text, (run_id + seg_idx) % 10 / 10 as confidence from talk),
 stc as (select run_id, max(start_ms) filter (seg_idx = 1) as hook_ms, max(end_ms) filter (seg_idx = 1) as hook_end_ms, max(start_ms) filter (seg_idx = 5) as substance from talk group by 1),
 pr0 as (select *, lead(start_ms, 3) over (partition by run_id order by seg_idx) as later, ({_list(STATUSES)})[(run_id + seg_idx) % 4 + 1] as status from talk), pro as (select run_id, seg_idx as promise, status, start_ms as setup_ms, case when status in ('fulfilled', 'partial') then later end as first from pr0 where seg_idx % 6 = 2),
 spn as (select run_id, seg_idx, ({_list(KINDS)})[(run_id + seg_idx) % 9 + 1] as kind, start_ms, end_ms from talk where seg_idx > 0 and (run_id + seg_idx) % 9 < 8)"""
