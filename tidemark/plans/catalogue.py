@@ -1,6 +1,6 @@
 """All queries over the test tables; importing the modules registers them."""
 
-from tidemark.plans import evidence, measures, packages, queries, rulings, seconds, talks  # noqa: F401
+from tidemark.plans import evidence, linked, measures, packages, picked, queries, rulings, seconds, talks  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
