@@ -172,7 +172,7 @@ def w07_decode_gaps(spark, d):
 
 
 @query(f"""with {RUN}, sg as (select run_id, seg_idx // 4 as paragraph, seg_idx, case when seg_idx >= 8 and seg_idx % 4 < 3 then lag(text, 8) over (partition by run_id order by seg_idx) else text end as text from talk), g as (select run_id, paragraph, seg_idx, unnest({RUNS.format('text')}) as g from sg),
- pr as (select distinct run_id, paragraph - 2 as earlier, paragraph as later from sg where paragraph >= 2), x as (select pr.run_id, earlier, later, l.seg_idx, avg(exists (select 1 from g e where e.run_id = pr.run_id and e.paragraph = pr.earlier and e.g = l.g)::int) as s from pr join g l on l.run_id = pr.run_id and l.paragraph = pr.later group by 1, 2, 3, 4),
+ pr as (select distinct run_id, paragraph - 2 as earlier, paragraph as later from sg where paragraph >= 2), x as (select pr.run_id, earlier, later, l.seg_idx, avg((e.g is not null)::int) as s from pr join g l on l.run_id = pr.run_id and l.paragraph = pr.later left join (select distinct run_id, paragraph, g from g) e on e.run_id = pr.run_id and e.paragraph = pr.earlier and e.g = l.g group by 1, 2, 3, 4),
  k as (select *, seg_idx - row_number() over (partition by run_id, earlier, later order by seg_idx) as k from x where s >= 0.5), r2 as (select run_id, earlier, later, min(seg_idx) as first, max(seg_idx) as last, count(*) as n from k group by run_id, earlier, later, k having count(*) >= 2)
  select run_id, earlier, later, first, last from (select *, row_number() over (partition by run_id, earlier, later order by n desc, first) as z from r2) where z = 1""")
 def w18_repeated_runs(spark, d):

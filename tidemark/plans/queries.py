@@ -35,7 +35,7 @@ def sql_list(words) -> str:
 CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')), lambda w: length(w) > 2 and not list_contains([" + sql_list(ft.COMMON_WORDS) + "], w))"
 TOPIC = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9'']+')), lambda w: length(w) > 2 and not list_contains([" + sql_list(ft.STOP_WORDS) + "], w))"
 _PLAIN = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)?'), lambda w: not list_contains([" + sql_list(ft.COMMON_WORDS) + "], w))"
-RUNS = "list_distinct(list_transform(range(1, len(" + _PLAIN + ") - 1), lambda i: array_to_string((" + _PLAIN + ")[i:i + 2], ' ')))"
+RUNS = "list_transform([" + _PLAIN + "], lambda ws: list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))))[1]"
 
 
 @query(f"select doc_id, len({CONTENT.format('text')})::int as n_content, len({TOPIC.format('text')})::int as n_topic from documents")
