@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import contracts, findings, links, merges, retrieval, rules, selects, sentences, sequences, signals, whatif
+from tidemark.operators import candidates, contracts, findings, links, merges, retrieval, rules, selects, sentences, sequences, signals, whatif
 
 
 def segs(spark, rows):
@@ -216,3 +216,13 @@ def test_word_set_operators_and_boxes(spark):
     boxes = d.select(selects.box_of(F.col("a")).alias("a"), selects.box_of(F.col("b")).alias("b"))
     assert boxes.select(selects.box_overlap(F.col("a"), F.col("b")).alias("v")).first().v == pytest.approx(1 / 7)
     assert list(itertools.chain(*boxes.select("a.x0", "a.y1").collect())) == [0.0, 2.0]
+
+
+def test_repetition_candidates(spark):
+    lines = ["Quantum engines rotate slowly beside purple mountains today.", "Seven tired wizards paint enormous ceilings every winter.", "Coffee beans follow no particular rule at noon.", "Nobody counted the green bicycles near our river."]
+    data = segs(spark, [(10 * i, 10 * i + 8, t) for i, t in enumerate([*lines, lines[0], lines[1], lines[3], "Wholly new closing remarks end this lovely talk."])]).withColumn("paragraph", F.floor(F.col("seg_idx") / 4))
+    pairs = spark.createDataFrame([("r", 0, 1)], "run_id string, earlier bigint, later bigint")
+    none = spark.createDataFrame([], "run_id string, start_ms bigint, end_ms bigint, text string")
+    assert [(r.start_ms, r.end_ms, r.operation) for r in candidates.repetitions(pairs, data, none).collect()] == [(40_000, 68_000, "cut")]
+    told = data.withColumn("text", F.when(F.col("seg_idx") == 3, "Let's watch that again.").otherwise(F.col("text")))
+    assert candidates.repetitions(pairs, told, none).count() == 0

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import word_count
+from tidemark.operators.findings import announced
 from tidemark.operators.intervals import RUN, overlap_join, point_join, union
-from tidemark.operators.selects import snapped
+from tidemark.operators.selects import repeated_runs, snapped
 from tidemark.operators.sequences import outliers_below
 
 # Most candidates of a type, least lengths and times (milliseconds), least motion, fastest speech.
@@ -61,6 +62,19 @@ def disruptive_requests(runs: DataFrame, spans: DataFrame, structure: DataFrame)
     return candidate(s.where(F.col("start_ms") <= F.col("duration_ms") - 45_000), "disruptive_cta", F.lit("move"), F.col("start_ms"), F.col("end_ms"), to)
 
 
+def repetitions(pairs: DataFrame, segments: DataFrame, words: DataFrame) -> DataFrame:
+    """Runs of sentences of a later paragraph that repeat the wording of an earlier one (pairs: run_id, earlier, later), if no replay is
+    announced there; the cut starts and ends with sentences. segments carry their paragraph."""
+    x = repeated_runs(pairs, segments)
+    inside = x.join(segments.select(RUN, "seg_idx", "start_ms", "end_ms"), RUN).where(F.col("seg_idx").between(F.col("first"), F.col("last")))
+    x = inside.groupBy(RUN, "earlier", "later").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    x = x.join(announced(segments, x.select(RUN, "start_ms")), [RUN, "start_ms"], "left_anti")
+    x = first_of(x, "unnecessary_repetition", ["earlier", "later"]).withColumn("span", F.concat_ws("-", "earlier", "later"))
+    s = snapped(x.select(RUN, "span", "start_ms", "end_ms"), words)
+    # One interval is one candidate, however many earlier passages it repeats.
+    return candidate(s, "unnecessary_repetition", F.lit("cut"), F.col("start_ms"), F.col("end_ms")).dropDuplicates([RUN, "start_ms", "end_ms"])
+
+
 def dead_air(pauses: DataFrame) -> DataFrame:
     """The longest pauses; a cut leaves 0.3 s on each side."""
     p = first_of(pauses, "dead_air", [F.desc(F.col("end_ms") - F.col("start_ms")), "start_ms"])
