@@ -299,3 +299,43 @@ def pasted_captions(lines: DataFrame) -> DataFrame:
     part = lambda i: F.coalesce(F.regexp_extract("time", r"^(?:(\d+):)?(\d+):(\d\d)$", i).try_cast("bigint"), F.lit(0))
     x = lines.withColumn("time", time).where("time != ''")
     return x.select(RUN, ((part(1) * 3600 + part(2) * 60 + part(3)) * 1000).alias("start_ms"), F.trim("line").alias("text"))
+
+
+def searched(projects: DataFrame, words: str, statuses: list[str] | None = None) -> DataFrame:
+    """project_id, rank of projects (title, status, pinned, created_at) whose title holds the words, pinned ones first, then the newest."""
+    x = found(projects, "title", words)
+    if statuses:
+        x = x.where(F.col("status").isin(statuses))
+    return x.select("project_id", F.row_number().over(Window.orderBy(F.desc("pinned"), F.desc("created_at"), "project_id")).alias("rank"))
+
+
+def distinct_paths(files: DataFrame) -> DataFrame:
+    """run_id, path_key, n: paths that differ by case only count once."""
+    return files.groupBy(RUN, F.lower("path").alias("path_key")).agg(F.count("*").alias("n"))
+
+
+def alignment(words: DataFrame) -> DataFrame:
+    """run_id, words, aligned, share: how many words have their times."""
+    return words.groupBy(RUN).agg(F.count("*").alias("words"), F.count("start_ms").alias("aligned"), F.round(F.count("start_ms") / F.count("*"), 4).alias("share"))
+
+
+def sections(chapters: DataFrame, payoffs: DataFrame) -> DataFrame:
+    """chapters (run_id, chapter, start_ms, end_ms) with seconds, `longest` (ties: the first) and `pays` where the run's first payoff
+    (run_id, payoff_ms) lies in it."""
+    length = F.col("end_ms") - F.col("start_ms")
+    nth = F.row_number().over(Window.partitionBy(RUN).orderBy(F.desc(length), "start_ms"))
+    x = chapters.join(payoffs, RUN, "left").withColumns({"seconds": F.round(length / 1000, 1), "longest": nth == 1})
+    return x.withColumn("pays", F.coalesce((F.col("payoff_ms") >= F.col("start_ms")) & (F.col("payoff_ms") < F.col("end_ms")), F.lit(False))).drop("payoff_ms")
+
+
+def hits_at(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """query_id, hit_at_<k>: whether one of the first k results (query_id, rank, start_ms, end_ms) overlaps a gold range of its query."""
+    g = gold.select("query_id", F.col("start_ms").alias("g0"), F.col("end_ms").alias("g1"))
+    best = results.join(g, "query_id").where("start_ms < g1 and end_ms > g0").groupBy("query_id").agg(F.min("rank").alias("_best"))
+    return gold.select("query_id").distinct().join(best, "query_id", "left").select("query_id", *[F.coalesce(F.col("_best") <= k, F.lit(False)).alias(f"hit_at_{k}") for k in ks])
+
+
+def top_causes(seconds: DataFrame, most: int = 2) -> DataFrame:
+    """run_id, t, feature, part, rank: the strongest positive parts of each second (ties: by name)."""
+    w = Window.partitionBy(RUN, "t").orderBy(F.desc("part"), "feature")
+    return seconds.where("part > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

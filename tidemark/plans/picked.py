@@ -14,6 +14,7 @@ from tidemark.plans.linked import MOMENTS, _moments
 from tidemark.plans.queries import RISK, RUNS, TOPIC
 from tidemark.plans.registry import query
 from tidemark.plans.seconds import RUN, Run
+from tidemark.sources.packages import active_runs, orphans
 
 _R = "r as (select run_id, (max(place) + 1) * 10000 as t from iss group by 1)"
 
@@ -281,3 +282,60 @@ def s07_pasted_captions(spark, d):
     time = F.format_string("%d:%02d", F.floor(k * 61 / 60), k * 61 % 60)
     rows = F.array(F.struct((k * 3).alias("n"), time.alias("line")), F.struct((k * 3 + 1).alias("n"), F.regexp_replace(F.substring("text", 1, 30), "\n", " ").alias("line")), F.struct((k * 3 + 2).alias("n"), F.lit("Chapter").alias("line")))
     return s.pasted_captions(t.select("run_id", F.inline(rows)))
+
+
+@query("select o_orderkey as project_id, row_number() over (order by case when o_custkey % 5 = 0 then 1 else 0 end desc, o_orderdate desc, o_orderkey)::int as rank from orders where contains(lower(o_orderstatus || '-' || o_custkey), 'o-1') and o_custkey % 3 <> 0")
+def p09_project_search(spark, d):
+    o = table(spark, d, "orders")
+    p = o.select(F.col("o_orderkey").alias("project_id"), F.concat_ws("-", "o_orderstatus", "o_custkey").alias("title"), (F.col("o_custkey") % 3).cast("string").alias("status"), F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(0).alias("pinned"), F.col("o_orderdate").alias("created_at"))
+    return s.searched(p, "O-1", ["1", "2"])
+
+
+@query("select p_partkey % 20 as run_id, lower(p_name) as path_key, count(*) as n from part group by 1, 2")
+def u06_distinct_paths(spark, d):
+    return s.distinct_paths(table(spark, d, "part").select((F.col("p_partkey") % 20).alias("run_id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("path")))
+
+
+@query(f"with {RUN}, w as (select run_id, case when (start_ms // 1000) % 9 <> 0 then start_ms end as a from wd) select run_id, count(*) as words, count(a) as aligned, round(count(a) / count(*), 4) as share from w group by 1")
+def a30_alignment(spark, d):
+    w = Run(spark, d).words
+    return s.alignment(w.withColumn("start_ms", F.when(F.floor(F.col("start_ms") / 1000) % 9 != 0, F.col("start_ms"))))
+
+
+@query(f"""with {RUN}, pay as (select run_id, min(first) as p from pro where status in ('fulfilled', 'partial') group by 1) select talk.run_id, seg_idx as chapter, round((end_ms - start_ms) / 1000, 1) as seconds, row_number() over (partition by talk.run_id order by end_ms - start_ms desc, start_ms) = 1 as longest,
+ coalesce(p >= start_ms and p < end_ms, false) as pays from talk left join pay using (run_id)""")
+def a33_sections(spark, d):
+    r = Run(spark, d)
+    pay = r.promises.where("status in ('fulfilled', 'partial')").groupBy("run_id").agg(F.min("first_fulfil_ms").alias("payoff_ms"))
+    x = s.sections(r.segments.select("run_id", F.col("seg_idx").alias("chapter"), "start_ms", "end_ms"), pay)
+    return x.select("run_id", "chapter", "seconds", "longest", "pays")
+
+
+@query(f"""with {ISS}, r as (select run_id as query_id, row_number() over (partition by run_id order by value desc, issue_id) as rank, start_ms, end_ms from iss), g as (select run_id as query_id, start_ms - 5000 as g0, end_ms + 15000 as g1 from iss where event_type = 'signup'),
+ b as (select query_id, min(rank) as best from r join g using (query_id) where start_ms < g1 and end_ms > g0 group by 1) select distinct g.query_id, coalesce(best <= 1, false) as hit_at_1, coalesce(best <= 3, false) as hit_at_3 from g left join b using (query_id)""")
+def a29_hits(spark, d):
+    i = issues(spark, d).withColumn("query_id", F.col("run_id"))
+    r = i.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("value"), "issue_id"))).select("query_id", "rank", "start_ms", "end_ms")
+    return s.hits_at(r, i.where("event_type = 'signup'").select("query_id", (F.col("start_ms") - 5000).alias("start_ms"), (F.col("end_ms") + 15_000).alias("end_ms")))
+
+
+@query("select run_id, t, feature, part, rank from (select user_id % 5 as run_id, event_id % 40 as t, event_type as feature, max(value) as part, row_number() over (partition by user_id % 5, event_id % 40 order by max(value) desc, event_type) as rank from events group by 1, 2, 3) where rank <= 2")
+def t11_top_causes(spark, d):
+    e = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("run_id"), (F.col("event_id") % 40).alias("t"), F.col("event_type").alias("feature")).agg(F.max("value").alias("part"))
+    return s.top_causes(e)
+
+
+@query("select event_type, count(*) as n, count(distinct user_id) as runs from events group by 1")
+def a35_type_counts(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("runs"))
+
+
+@query("select o_custkey as project_id, arg_max(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) as active_run, case when bool_or(o_orderstatus = 'F') then 'ready' else 'partial' end as state from orders group by 1")
+def s19_active_runs(spark, d):
+    o = table(spark, d, "orders")
+    return active_runs(o.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "analysis").otherwise("media").alias("package_kind")))
+
+
+@query("select distinct l_orderkey as run_id from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
+def s20_orphans(spark, d):
+    return orphans(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id")).distinct(), table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id")))
