@@ -156,8 +156,8 @@ def stream_places(tokens: DataFrame, folder: str, key: int = KEY) -> int:
 
 def cut_pieces(tokens: DataFrame, places: str, total: int, vocabulary: Vocabulary, length: int, per_shard: int, key: int) -> DataFrame:
     """shard, frame: the documents' pieces, those of one shard and batch pressed into a frame."""
-    n_slots, end = -(-total // length), vocabulary.end
-    kind = np.dtype("<u2" if vocabulary.width == 2 else "<u4")
+    n_slots, width = -(-total // length), vocabulary.width
+    end = np.array([vocabulary.end], dtype="<u2" if width == 2 else "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = arrow_fs.FileSystem.from_uri(places)
@@ -170,17 +170,24 @@ def cut_pieces(tokens: DataFrame, places: str, total: int, vocabulary: Vocabular
             return pd.DataFrame(out, columns=["shard", "frame"])
 
         for batch in batches:
-            for p, pos, doc_id, raw in zip(batch["part"], batch["pos"], batch["doc_id"], batch["tokens"], strict=True):
+            at = np.zeros(len(batch), np.int64)
+            for i, (p, pos) in enumerate(zip(batch["part"], batch["pos"], strict=True)):
                 if p != part:
                     # The places of a written part: two small numbers a document.
                     t = parquet.read_table(f"{root}/part={p}", filesystem=store, columns=["pos", "place"])
                     part, place = p, t["place"].to_numpy()[np.argsort(t["pos"].to_numpy())]
-                ids, at = np.append(np.frombuffer(raw, kind), kind.type(end)), int(place[pos])
-                first, last = at // length, (at + len(ids) - 1) // length
-                slots = feistel(np.arange(first, last + 1), n_slots, key)
-                for s, slot in zip(range(first, last + 1), slots.tolist(), strict=True):
-                    a, b = max(at, s * length), min(at + len(ids), (s + 1) * length)
-                    held.setdefault(slot // per_shard, []).append((slot, a - s * length, doc_id, ids[a - at : b - at].tobytes()))
+                at[i] = place[pos]
+            n = np.fromiter((len(raw) // width + 1 for raw in batch["tokens"]), np.int64, len(batch))
+            first, pieces = at // length, (at + n - 1) // length - at // length + 1
+            own = np.cumsum(pieces) - pieces
+            sequences = np.repeat(first - own, pieces) + np.arange(pieces.sum())
+            slots = feistel(sequences, n_slots, key).tolist()
+            for doc_id, raw, start, k, s, m in zip(batch["doc_id"], batch["tokens"], at.tolist(), own.tolist(), first.tolist(), pieces.tolist(), strict=True):
+                body = raw + end
+                for j in range(m):
+                    a, b = max(start, (s + j) * length), (s + j + 1) * length
+                    slot = slots[k + j]
+                    held.setdefault(slot // per_shard, []).append((slot, a - (s + j) * length, doc_id, body[(a - start) * width : (b - start) * width]))
                 size += len(raw)
                 if size >= FRAME_BYTES:
                     yield frames()
