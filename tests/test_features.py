@@ -1,4 +1,4 @@
-from tidemark.operators import features, merges
+from tidemark.operators import features, merges, sentences
 from tidemark.operators.features import RUN
 
 
@@ -76,5 +76,5 @@ def test_first_source_wins_and_nulls_form_a_group(spark):
 def test_empty_runs_give_no_rows(spark):
     runs = frame(spark, [], "run_id string, duration_ms bigint")
     seg = frame(spark, [], "run_id string, seg_idx int, start_ms bigint, end_ms bigint, text string")
-    for df in (features.concrete(runs, seg), features.long_sentences(runs, seg), features.filler_density(runs, seg), features.new_terms(seg), features.rhythm(seg), features.best_earlier(seg)):
+    for df in (features.concrete(runs, seg), features.long_sentences(runs, seg), features.filler_density(runs, seg), sentences.cognitive_load(sentences.sentences(seg)), sentences.rhythm(sentences.sentences(seg)), sentences.questions(sentences.sentences(seg)), features.best_earlier(seg)):
         assert RUN in df.columns and df.count() == 0
