@@ -15,7 +15,9 @@ def spark():
     folder = tempfile.mkdtemp(prefix="spark-")
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.local.dir", folder)
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        # Tables are tiny: planning stage by stage takes longer than running them.
+        .config("spark.sql.adaptive.enabled", "false").config("spark.local.dir", folder)
         .config("spark.checkpoint.dir", f"file://{folder}/checkpoint").config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
