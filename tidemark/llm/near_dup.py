@@ -2,8 +2,8 @@
 
 1. Every document becomes a multiset of five-word shingles. Documents with equal multisets are one node from here on.
 2. A signature of REGISTERS values per node; equal values have the probability of the weighted Jaccard similarity.
-3. Bands of ROWS values put nodes into buckets. In each bucket every node is compared with two leaders: the most central node
-   (the one that shares most buckets with others: in a group of edited copies, the original) and a random one.
+3. Bands of ROWS values put nodes into buckets. In each bucket every node is compared with the most central one (the one that shares
+   most buckets with others: in a group of edited copies, the original).
 4. Pairs are verified by the multiset overlap itself; linked nodes form classes (connected components).
 5. Buckets whose nodes still lie in several classes are gone through again: all pairs of different classes where the bucket has at
    most SMALL nodes, else every node against the most central one outside the bucket's largest class; up to ROUNDS times,
@@ -197,6 +197,17 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) with the classes that further links (a, b) join. Classes, not nodes, are the nodes of this second graph, so each pair of
+    classes counts once, however many links it has."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    known = materialise(ends.join(label, "node", "full").select("node", F.coalesce("label", "node").alias("label")), "neardup-label")
+    side = lambda x: known.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    pairs = materialise(pairs_of(links.join(side("a"), "a").join(side("b"), "b"), "la", "lb"), "neardup-classes")
+    roots = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return materialise(known.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "neardup-label")
+
+
 def pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -249,8 +260,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
     buckets = materialise(bands.join(full, "bucket"), "neardup-buckets")
     central = buckets.groupBy("node").agg(F.sum("n").alias("central"))
     buckets = materialise(buckets.join(central, "node"), "neardup-buckets")
-    leaders = buckets.groupBy("bucket").agg(F.array_distinct(F.array(F.max(F.struct("central", "node")).getField("node"), F.min(F.struct(F.xxhash64("node"), "node")).getField("node"))).alias("leaders"))
-    stars = buckets.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader"))
+    leaders = buckets.groupBy("bucket").agg(F.max(F.struct("central", "node")).getField("node").alias("leader"))
+    stars = buckets.join(leaders, "bucket").select("node", "leader")
     tested = materialise(pairs_of(stars, "node", "leader"), "neardup-stars")
     # Elements of nodes with a neighbour, one row each: the one time that elements are shuffled whole, at every size in the same way.
     firsts = signed.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("first_key"))
@@ -267,13 +278,13 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, id_c
         if not new.limit(1).count():
             break
         links = links.unionByName(new)
-        label = components(links)
+        label = joined(label, new)
     rest = materialise(prefix_pairs(buckets, label, known, similarity).join(tested, ["a", "b"], "left_anti"), "neardup-rest")
     if rest.limit(1).count():
         new = verified(rest, known, similarity)
         if new.limit(1).count():
             links = links.unionByName(new)
-            label = components(links)
+            label = joined(label, new)
     members = signed.select("doc_id", "row_key", "node").join(label, "node", "left")
     members = members.select("doc_id", "row_key", F.coalesce(F.hex(F.coalesce("label", "node")), F.concat(F.lit("-"), "row_key")).alias("class_key"))
     ids = members.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "row_key")).alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("known"))
