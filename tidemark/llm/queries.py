@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, line_dedup, mixing, near_dup, quality, token_shards, toxicity, urls
+from tidemark.llm import decontaminate, langid, licenses, line_dedup, mixing, near_dup, quality, spelling, token_shards, toxicity, urls
 from tidemark.llm.common import held_out, read
 
 
@@ -61,6 +61,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per word with its most frequent near word, if that is common enough, and the last of such a chain."""
+    return spelling.group_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,9 +73,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_decontaminate, op2_mix, op3_urls, op4_near_duplicates, op5_toxicity, op6_quality, op7_language, op8_line_dedup, op9_token_shards, op10_licenses, pipeline)
+    own = (op1_decontaminate, op2_mix, op3_urls, op4_near_duplicates, op5_toxicity, op6_quality, op7_language, op8_line_dedup, op9_token_shards, op10_licenses, op11_spelling, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.ORACLE.format(docs="documents"), "op3_urls": urls.oracle(), "op8_line_dedup": line_dedup.ORACLE}
+    return {"op2_mix": mixing.ORACLE.format(docs="documents"), "op3_urls": urls.oracle(), "op8_line_dedup": line_dedup.ORACLE, "op11_spelling": spelling.ORACLE}
