@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, line_dedup, merkle, mixing, near_dup, quality, spelling, token_shards, toxicity, urls
+from tidemark.llm import decontaminate, langid, licenses, line_dedup, merkle, mixing, near_dup, quality, spelling, token_shards, toxicity, urls, warc
 from tidemark.llm.common import held_out, read
 
 
@@ -70,6 +70,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(read(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,9 +81,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_decontaminate, op2_mix, op3_urls, op4_near_duplicates, op5_toxicity, op6_quality, op7_language, op8_line_dedup, op9_token_shards, op10_licenses, op11_spelling, op12_merkle, pipeline)
+    own = (op1_decontaminate, op2_mix, op3_urls, op4_near_duplicates, op5_toxicity, op6_quality, op7_language, op8_line_dedup, op9_token_shards, op10_licenses, op11_spelling, op12_merkle, op13_warc, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.ORACLE.format(docs="documents"), "op3_urls": urls.oracle(), "op8_line_dedup": line_dedup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.oracle()}
+    return {"op2_mix": mixing.ORACLE.format(docs="documents"), "op3_urls": urls.oracle(), "op8_line_dedup": line_dedup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.oracle(), "op13_warc": warc.ORACLE}
