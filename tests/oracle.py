@@ -18,7 +18,7 @@ def rows(pdf):
     for c in pdf.columns:
         if pdf[c].dtype.kind == "f":
             pdf[c] = pdf[c].round(6) + 0.0
-    text = pdf.astype(str).replace({"<NA>": "None", "nan": "None", "NaT": "None"})
+    text = pdf.astype(str).replace({"<NA>": "None", "nan": "None", "NaT": "None"}).replace(r"\.0$", "", regex=True)
     return list(pdf.columns), sorted(map(tuple, text.values.tolist()))
 
 
