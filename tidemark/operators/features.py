@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import CONCRETE, content_runs, word_count
+from tidemark.functions.text import CONCRETE, content_runs, edges, word_count
 from tidemark.operators.intervals import RUN, overlap_ms, to_bins
 
 # Words and phrases that fill pauses.
@@ -41,7 +41,7 @@ def longest_sentence(text: Column) -> Column:
 
 
 def concrete(runs: DataFrame, segments: DataFrame) -> DataFrame:
-    return put(runs, segments.where(F.col("text").rlike(CONCRETE)), "concrete", F.lit(1.0))
+    return put(runs, segments.where(F.col("text").rlike(edges(CONCRETE))), "concrete", F.lit(1.0))
 
 
 def long_sentences(runs: DataFrame, segments: DataFrame, least: int = 30, scale: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import ADVANCE, RECAP, REPLAY
+from tidemark.functions.text import ADVANCE, RECAP, REPLAY, edges
 from tidemark.operators.intervals import RUN, islands, overlap_ms, remap, to_bins, union
 from tidemark.operators.sequences import fold, novelty
 
@@ -43,7 +43,7 @@ def finding_runs(features: DataFrame, runs: DataFrame) -> DataFrame:
 def announced(segments: DataFrame, passages: DataFrame, before_ms: int = 12_000, after_ms: int = 3_000) -> DataFrame:
     """Passages (run_id, start_ms) that a cue announces as a replay: in a segment ending at most before_ms before or starting at most
     after_ms after the passage's start."""
-    cue = segments.where(F.regexp_replace(F.lower("text"), r"[^\w\s']", " ").rlike(REPLAY))
+    cue = segments.where(F.regexp_replace(F.lower("text"), r"[^\w\s']", " ").rlike(edges(REPLAY)))
     near = cue.select(RUN, (F.col("start_ms") - after_ms).alias("_a"), (F.col("end_ms") + before_ms + 1).alias("_b"))
     marks = to_bins(near, 60_000, "_a", "_b", "_bin").alias("m")
     p = passages.withColumn("_bin", F.floor(F.col("start_ms") / 60_000)).alias("p")
@@ -55,7 +55,7 @@ def repetition_runs(segments: DataFrame, least: int = 2) -> DataFrame:
     """run_id, first, last, steps, start_ms, end_ms: `least` or more segments in a row that repeat earlier wording without marking progress
     or a recap, and are not announced as a replay."""
     flagged = novelty(segments).where("repeats").select(RUN, "seg_idx").join(segments.select(RUN, "seg_idx", "start_ms", "end_ms", "text"), [RUN, "seg_idx"])
-    on = flagged.where(~F.col("text").rlike(ADVANCE) & ~F.col("text").rlike(RECAP)).withColumn("_k", F.col("seg_idx") - F.row_number().over(Window.partitionBy(RUN).orderBy("seg_idx")))
+    on = flagged.where(~F.col("text").rlike(edges(ADVANCE)) & ~F.col("text").rlike(edges(RECAP))).withColumn("_k", F.col("seg_idx") - F.row_number().over(Window.partitionBy(RUN).orderBy("seg_idx")))
     out = on.groupBy(RUN, "_k").agg(F.min("seg_idx").alias("first"), F.max("seg_idx").alias("last"), F.count("*").alias("steps"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).where(F.col("steps") >= least).drop("_k")
     return out.join(announced(segments, out.select(RUN, "start_ms")), [RUN, "start_ms"], "left_anti")
 

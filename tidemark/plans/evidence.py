@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
 from tidemark.operators import findings, intervals, retrieval, risk, scoring, sequences
-from tidemark.plans.inputs import ISS, SEG, WORDS, issues, runs, segments, spans, table, turns, union_sql
+from tidemark.plans.inputs import ISS, PLAIN, SEG, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.queries import BM25, CURVE, RISK, _conversation_search, _features
 from tidemark.plans.registry import SQL, query
 
@@ -24,7 +24,7 @@ def r20_finding_runs(spark, d):
     return findings.finding_runs(f, r).withColumn("strength", F.round("strength", 6))
 
 
-@query(rf"""with {SEG}, nov as ({SQL["w17_novelty"]}), f as (select run_id, seg_idx, start_ms, end_ms from nov join seg using (run_id, seg_idx) where repeats and not regexp_matches(text, '{ft.ADVANCE}') and not regexp_matches(text, '{ft.RECAP}')),
+@query(rf"""with {SEG}, nov as ({SQL["w17_novelty"]}), f as (select run_id, seg_idx, start_ms, end_ms from nov join seg using (run_id, seg_idx) where repeats and not regexp_matches({PLAIN.format('text')}, '{ft.ADVANCE}') and not regexp_matches({PLAIN.format('text')}, '{ft.RECAP}')),
  k as (select *, seg_idx - row_number() over (partition by run_id order by seg_idx) as k from f), x as (select run_id, min(seg_idx) as first, max(seg_idx) as last, count(*) as steps, min(start_ms) as start_ms, max(end_ms) as end_ms from k group by run_id, k having count(*) >= 2),
  cue as (select * from seg where regexp_matches(regexp_replace(lower(text), '[^\w\s'']', ' ', 'g'), '{ft.REPLAY.replace("'", "''")}'))
  select run_id, first, last, steps, start_ms, end_ms from x where not exists (select 1 from cue c where c.run_id = x.run_id and c.end_ms >= x.start_ms - 12000 and c.start_ms <= x.start_ms + 3000)""")

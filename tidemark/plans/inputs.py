@@ -69,6 +69,8 @@ s0 as (select run_id, unnest(range(len(ls))) as seg_idx, unnest(ls) as text from
 s1 as (select *, greatest(1000, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) * 400)::bigint as ms from s0),
 seg as (select run_id, seg_idx::int as seg_idx, (sum(ms) over w - ms)::bigint as start_ms, (sum(ms) over w)::bigint as end_ms, text from s1 window w as (partition by run_id order by seg_idx))"""
 WORDS = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
+#: A text whose letters beyond ASCII are underscores: patterns that take only ASCII for word characters find the same words in it.
+PLAIN = r"regexp_replace({0}, '[^\x00-\x7F\P{{L}}]', '_', 'g')"
 TALK = rf"""l as (select doc_id as run_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') as ls from documents),
 l0 as (select run_id, unnest(range(len(ls)))::int as seg_idx, unnest(ls) as raw from l), l1 as (select run_id, seg_idx, regexp_replace(raw, 'e[.]( |$)', 'e?\1', 'g') as t from l0),
 l2 as (select run_id, seg_idx, case when seg_idx % 5 = 4 then lower(regexp_replace(t, '[.?!]', '', 'g')) when seg_idx % 3 = 1 then regexp_replace(t, '[.]$', '') else t end as text from l1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
 from tidemark.operators import features, intervals, merges, risk
-from tidemark.plans.inputs import ISS, SEG, STEP_MS, WORDS, issues, runs, segments, spans, table, turns, union_sql
+from tidemark.plans.inputs import ISS, PLAIN, SEG, STEP_MS, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.queries import RISK, RUNS
 from tidemark.plans.registry import query
 
@@ -25,7 +25,7 @@ def _rounded(df, digits=6):
     return df.withColumn("value", F.round("value", digits))
 
 
-@query(rf"""with {SEG}, {DUR}, p as (select *, 1.0::double as v from seg where regexp_matches(text, '(?i)[0-9]|\b(for example|for instance|such as|let''s say|imagine|like when)\b')), {PUT}
+@query(rf"""with {SEG}, {DUR}, p as (select *, 1.0::double as v from seg where regexp_matches({PLAIN.format('text')}, '(?i)[0-9]|\b(for example|for instance|such as|let''s say|imagine|like when)\b')), {PUT}
  select run_id, t, 'concrete' as feature, round(value, 6) as value from f""")
 def e06_concrete(spark, d):
     return _rounded(features.concrete(*_script(spark, d)))

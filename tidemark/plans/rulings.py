@@ -9,7 +9,7 @@ from tidemark.functions import text as ft
 from tidemark.operators import features, merges, rules, signals
 from tidemark.operators import sentences as st
 from tidemark.plans import seconds
-from tidemark.plans.inputs import WORDS
+from tidemark.plans.inputs import PLAIN, WORDS
 from tidemark.plans.queries import CONTENT, RUNS
 from tidemark.plans.registry import SQL, query
 from tidemark.plans.seconds import END, RUN, Run
@@ -47,7 +47,7 @@ def _feature_findings(r: Run):
 
 FF = f"""{RUN}, f as (select run_id, t, feature, value from ({FEATURES} union all select run_id, t, feature, round(value, 6) from ({LONG}) union all select run_id, t, feature, round(value, 6) from (with {STATIC})) where value > 0), k as (select *, t - row_number() over (partition by run_id, feature order by t) as k from f),
  fr as (select k.run_id, feature, min(k.t)::bigint * 1000 as start_ms, least((max(k.t)::bigint + 1) * 1000, any_value(dur.t)) as end_ms, max(value) as strength from k join dur on dur.run_id = k.run_id group by k.run_id, feature, k),
- ab as (select fr.run_id, feature, fr.start_ms, bool_or(regexp_matches(text, '{ft.ADVANCE}') or regexp_matches(text, '{quoted(ft.CONCRETE)}')) as marked, max({LONGEST.format('text')}) as longest from fr join talk on talk.run_id = fr.run_id and talk.start_ms < fr.end_ms and talk.end_ms > fr.start_ms where feature in ('low_novelty', 'long_sentences') group by 1, 2, 3),
+ ab as (select fr.run_id, feature, fr.start_ms, bool_or(regexp_matches({PLAIN.format('text')}, '{ft.ADVANCE}') or regexp_matches({PLAIN.format('text')}, '{quoted(ft.CONCRETE)}')) as marked, max({LONGEST.format('text')}) as longest from fr join talk on talk.run_id = fr.run_id and talk.start_ms < fr.end_ms and talk.end_ms > fr.start_ms where feature in ('low_novelty', 'long_sentences') group by 1, 2, 3),
  ow as (select fr.run_id, feature, fr.start_ms, max(s.end_ms - s.start_ms) as shot_ms from fr join sht s on s.run_id = fr.run_id and s.start_ms <= fr.start_ms and fr.start_ms < s.end_ms where feature = 'long_static_shot' group by 1, 2, 3),
  fa as (select fr.*, (end_ms - start_ms) / 1000 as d, coalesce(marked, false) as marked, coalesce(longest, 0) as longest, shot_ms, hook_ms from fr left join ab using (run_id, feature, start_ms) left join ow using (run_id, feature, start_ms) left join stc using (run_id)),
  ff as (select run_id, case feature when 'setup_before_substance' then 'long_preamble' when 'no_hook_yet' then 'no_hook_identified' else feature end as rule, start_ms, end_ms,
@@ -65,7 +65,7 @@ SF = f"""{RUN}, pay as (select stc.run_id, coalesce(p, substance) as pay from st
   union all select run_id, case when early then 'cta_before_payoff' else 'mid_video_interruption' end, start_ms, end_ms, case when early or kind = 'sponsor' then 'medium' else 'low' end, 'provisional' from s2 where early or mid
   union all select run_id, 'extended_outro', start_ms, t, case when len > 60000 then 'high' when len > 30000 or len > 0.12 * t then 'medium' else 'low' end, 'provisional' from s2 where (kind = 'outro' or (kind in ('cta', 'recap') and fin)) and not early and not mid and len > greatest(20000.0, 0.08 * t)
   union all select run_id, 'redundant_recap', start_ms, end_ms, case when end_ms - start_ms > 30000 then 'medium' else 'low' end, 'supported' from ru where reuse >= 0.5 and novelty < 0.25
-  union all select run_id, 'topic_drift', start_ms, end_ms, 'medium', 'provisional' from spn where kind = 'tangent_candidate' and not exists (select 1 from talk where talk.run_id = spn.run_id and talk.start_ms < spn.end_ms + 15000 and talk.end_ms > spn.start_ms and regexp_matches(text, '{ft.CONNECT_BACK}')))"""
+  union all select run_id, 'topic_drift', start_ms, end_ms, 'medium', 'provisional' from spn where kind = 'tangent_candidate' and not exists (select 1 from talk where talk.run_id = spn.run_id and talk.start_ms < spn.end_ms + 15000 and talk.end_ms > spn.start_ms and regexp_matches({PLAIN.format('text')}, '{ft.CONNECT_BACK}')))"""
 RISK = """bn as (select run_id, t, unnest(range((t + 4999) // 5000)) as bin from dur), bins as (select run_id, bin, bin * 5000 as b0, least(t, (bin + 1) * 5000) as b1 from bn),
  gs as (select * from (values """ + ", ".join(f"('{r[0]}', '{r[2]}', {rules.GROUP_SHARES[r[2]]})" for r in rules.CATALOGUE) + """) g(rule, cause_group, share)),
  xb as (select run_id, rule, start_ms, end_ms, rule || ':' || start_ms || ':' || end_ms as fid, cause_group, share::double as share, case severity when 'high' then 1.0 when 'medium' then 2.0 / 3 else 1.0 / 3 end::double * case evidence_strength when 'supported' then 1.0 else 0.5 end::double as w, unnest(range(start_ms // 5000, (end_ms + 4999) // 5000)) as bin from af join gs using (rule) where end_ms > start_ms),

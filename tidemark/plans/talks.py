@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
 from tidemark.operators import sentences as st
-from tidemark.plans.inputs import TALK, WORDS, talk
+from tidemark.plans.inputs import PLAIN, TALK, WORDS, talk
 from tidemark.plans.queries import TOPIC, sql_list
 from tidemark.plans.registry import query
 
@@ -32,16 +32,16 @@ q0 as (select *, min(sent) over (partition by run_id, key) as asked from k1 wher
 aw as (select run_id, sent as a, start_ms as a_start, unnest({TOPIC.format('text')}) as word from k1 where not asks and said = sent),
 n0 as (select q.run_id, q.sent, m, a, a_start, count(*) as k, list_sort(list(word)) as shared from (select run_id, sent, end_ms, m, unnest(topic) as word from q) q join aw using (run_id, word) where a > q.sent and a_start - end_ms <= 600000 group by 1, 2, 3, 4, 5),
 lx as (select run_id, sent, arg_min({{'a': a, 'at': a_start, 'shared': shared}}, a) as l from n0 where k >= 2 or (m <= 3 and k >= greatest(1, m // 2 + 1)) group by 1, 2),
-c0 as (select q.run_id, q.sent, arg_min({{'a': c.sent, 'at': c.start_ms}}, c.sent) as c from q join k1 c on c.run_id = q.run_id and c.sent between q.sent + 1 and q.sent + 3 where c.start_ms - q.end_ms <= 10000 and not c.asks and regexp_matches(c.text, '{ft.ANSWER}') group by 1, 2),
+c0 as (select q.run_id, q.sent, arg_min({{'a': c.sent, 'at': c.start_ms}}, c.sent) as c from q join k1 c on c.run_id = q.run_id and c.sent between q.sent + 1 and q.sent + 3 where c.start_ms - q.end_ms <= 10000 and not c.asks and regexp_matches({PLAIN.format('c.text')}, '{ft.ANSWER}') group by 1, 2),
 j as (select q.*, l, c, nx.sent as nx, nx.start_ms as nx_at, nx.text as nx_text, nx.asks as nx_asks from q left join lx using (run_id, sent) left join c0 using (run_id, sent) left join k1 nx on nx.run_id = q.run_id and nx.sent = q.sent + 1),
 j1 as (select *, c is not null and (l is null or l.at > c.at) as by_cue from j), j2 as (select *, case when by_cue then c.a else l.a end as a1, case when by_cue then c.at else l.at end as at1 from j1),
-j3 as (select *, (a1 is null or at1 - end_ms > 10000) and nx is not null and not nx_asks and nx_at - end_ms <= 3000 and regexp_matches(text, '{ft.QUESTION}') and ({WORDS.format('nx_text')} <= 3 or regexp_matches(nx_text, '{quoted(ft.ANSWER_OPENER)}')) as by_next from j2),
-qa as (select run_id, sent, start_ms, end_ms, text, not regexp_matches(text, '{ft.QUESTION}') as rhetorical, case when by_next then nx else a1 end as answer, case when by_next then nx_at else at1 end as answer_ms, case when by_next or by_cue then '' else coalesce(array_to_string(l.shared, ','), '') end as shared,
+j3 as (select *, (a1 is null or at1 - end_ms > 10000) and nx is not null and not nx_asks and nx_at - end_ms <= 3000 and regexp_matches({PLAIN.format('text')}, '{ft.QUESTION}') and ({WORDS.format('nx_text')} <= 3 or regexp_matches({PLAIN.format('nx_text')}, '{quoted(ft.ANSWER_OPENER)}')) as by_next from j2),
+qa as (select run_id, sent, start_ms, end_ms, text, not regexp_matches({PLAIN.format('text')}, '{ft.QUESTION}') as rhetorical, case when by_next then nx else a1 end as answer, case when by_next then nx_at else at1 end as answer_ms, case when by_next or by_cue then '' else coalesce(array_to_string(l.shared, ','), '') end as shared,
   case when by_next or by_cue then 'adjacent_answer_cue' when a1 is not null then 'lexical_overlap' end as detection from j3),
 qk as (select *, answer_ms - end_ms as gap_ms, case when start_ms < 60000 then 'framing' when answer is null then 'no_callback' when answer_ms - end_ms <= 10000 then 'immediate' when answer_ms - end_ms <= 60000 then 'short' else 'open_loop' end as kind from qa)"""
 
 CONC = rf"""{SENT}, w0 as (select *, regexp_extract_all(lower(text), '[a-z0-9'']+') as ws from sent), conc as (select run_id, sent, start_ms, end_ms, text, punctuated, len(ws) as n,
-  len(regexp_extract_all(text, '{quoted(ft.EXAMPLES)}')) + case when punctuated then len(list_filter(regexp_extract_all(regexp_replace(text, '(^|[.?!]\s)[A-Z][a-z]+', '\1_', 'g'), '\b[A-Z][a-z]+'), lambda m: not list_contains([{sql_list(ft.STOP_WORDS)}], lower(m)))) else 0 end as markers,
+  len(regexp_extract_all({PLAIN.format('text')}, '{quoted(ft.EXAMPLES)}')) + case when punctuated then len(list_filter(regexp_extract_all(regexp_replace({PLAIN.format('text')}, '(^|[.?!]\s)[A-Z][a-z]+', '\1_', 'g'), '\b[A-Z][a-z]+'), lambda m: not list_contains([{sql_list(ft.STOP_WORDS)}], lower(m)))) else 0 end as markers,
   len(list_filter(ws, lambda w: list_contains([{sql_list(ft.ABSTRACT_WORDS)}], w))) as abstract from w0 where len(ws) > 0)"""
 LOAD = rf"""{SENT}, e as (select run_id, arg_max(end_ms, sent) as t from sent group by 1), win as (select run_id, t, unnest(range((t + 59999) // 60000)) as win from e), sw as (select *, start_ms // 60000 as win, {WORDS.format('text')} as n from sent),
 nw as (select run_id, win, count(*) as new_terms from (select run_id, w, min(win) as win from (select run_id, win, unnest({TOPIC.format('text')}) as w from sw) group by 1, 2) group by 1, 2), x0 as (select run_id, win, count(*) as sentences, round_even(avg(n), 1) as mean_words from sw group by 1, 2),
@@ -69,9 +69,9 @@ def f09_concreteness(spark, d):
     return st.concreteness(_sents(spark, d)).select("run_id", "sent", "markers", "abstract", "score")
 
 
-@query(rf"""with recursive {SENT}, d0 as (select run_id, sent as explained, start_ms as explained_ms, regexp_extract_all(text, '{quoted(ft.DEFINITION)}', 1) as ts from sent), d1 as (select run_id, explained, explained_ms, unnest(range(len(ts))) as nth, trim(lower(unnest(ts)), ' ') as term from d0),
+@query(rf"""with recursive {SENT}, d0 as (select run_id, sent as explained, start_ms as explained_ms, regexp_extract_all({PLAIN.format('text')}, '{quoted(ft.DEFINITION)}', 1) as ts from sent), d1 as (select run_id, explained, explained_ms, unnest(range(len(ts))) as nth, trim(lower(unnest(ts)), ' ') as term from d0),
  d as (select * from (select *, list_filter(regexp_split_to_array(term, '\s+'), lambda w: w <> '') as ws from d1) where len(ws) between 2 and 4 and not list_contains([{sql_list(ft.STOP_WORDS)}], ws[1])),
- u as (select d.run_id, term, explained, explained_ms, nth, min({{'used': s.sent, 'used_ms': s.start_ms}}) as u from d join sent s on s.run_id = d.run_id and s.sent < d.explained and regexp_matches(lower(s.text), '\b' || term || '\b') group by 1, 2, 3, 4, 5)
+ u as (select d.run_id, term, explained, explained_ms, nth, min({{'used': s.sent, 'used_ms': s.start_ms}}) as u from d join sent s on s.run_id = d.run_id and s.sent < d.explained and regexp_matches({PLAIN.format('lower(s.text)')}, '\b' || term || '\b') group by 1, 2, 3, 4, 5)
  select run_id, term, explained, explained_ms, u.used as used, u.used_ms as used_ms, explained_ms - u.used_ms as gap_ms from u""")
 def j07_term_dependencies(spark, d):
     return st.term_dependencies(_sents(spark, d))
