@@ -38,6 +38,8 @@ from tidemark.llm.common import materialise, new_folder
 ARCHIVE, INDEX, MIN_BYTES, SALTS = "archive/data.warc.gz", "indexes/index.cdxj", 0, 16
 #: Bytes of records after which a task begins another package; of an index, and of records, that one step reads.
 PACKAGE, PIECE, CHUNK = 256 << 20, 4 << 20, 4 << 20
+#: Bytes of records that one task reads, about.
+SHARE = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "path string, offset bigint, length bigint, record_id string, record_type string, url string, digest string, refers_to string, payload_bytes bigint, intact boolean"
@@ -279,7 +281,8 @@ def index_pieces(packages: DataFrame, piece: int = PIECE) -> DataFrame:
                     rows += [(path, m.start(f), m.start(f) + m.size) for m in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "start", "stop"])
 
-    d = packages.select("path").repartition("path").mapInArrow(scan, "path string, start bigint, stop bigint")
+    # The rows of all three steps are short and stand for much work: tasks are numbered by the work, not by the rows' bytes.
+    d = packages.select("path").repartition(max(1, packages.count()), "path").mapInArrow(scan, "path string, start bigint, stop bigint")
     return d.where("stop > start").select("*", F.explode(F.sequence(F.col("start"), F.col("stop") - 1, F.lit(piece).cast("bigint"))).alias("from"))
 
 
@@ -326,11 +329,11 @@ def record_places(pieces: DataFrame, piece: int = PIECE) -> DataFrame:
         if f:
             f.close()
 
-    return pieces.repartition("path", "from").mapInArrow(find, "path string, offset bigint, length bigint")
+    return pieces.repartition(max(1, pieces.count()), "path", "from").mapInArrow(find, "path string, offset bigint, length bigint")
 
 
-def read_records(places: DataFrame, payloads: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """RECORDS, and the payload on demand, of the records at places (path, offset, length)."""
+def read_records(places: DataFrame, payloads: bool = False, chunk: int = CHUNK, share: int = SHARE) -> DataFrame:
+    """RECORDS, and the payload on demand, of the records at places (path, offset, length); about `share` bytes a task."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("intact", pa.bool_())] + [("payload", pa.binary())] * payloads)
@@ -359,13 +362,15 @@ def read_records(places: DataFrame, payloads: bool = False, chunk: int = CHUNK)
         if f:
             f.close()
 
+    total = places.agg(F.sum("length")).first()[0] or 0
     part = F.floor(F.col("offset") / chunk)
-    return places.repartition(F.col("path"), part).sortWithinPartitions("path", "offset").mapInArrow(fetch, RECORDS + (", payload binary" if payloads else ""))
+    return places.repartition(max(1, -(-total // share)), F.col("path"), part).sortWithinPartitions("path", "offset").mapInArrow(fetch, RECORDS + (", payload binary" if payloads else ""))
 
 
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
     """RECORDS of all packages (path)."""
-    return read_records(record_places(index_pieces(packages)), payloads)
+    pieces = materialise(index_pieces(packages), "warc-pieces")
+    return read_records(materialise(record_places(pieces), "warc-places"), payloads)
 
 
 def archived(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
