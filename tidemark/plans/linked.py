@@ -26,8 +26,8 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("label").alias("run_id"), F.col("vec_id").alias("place"), "embedding")
 
 
-@query("""with v as (select label as run_id, vec_id as place, embedding::double[] as e from embeddings), p as (select x.run_id, x.place, y.place as earlier, list_cosine_similarity(x.e, y.e) as c from v x join v y on x.run_id = y.run_id and y.place < x.place and x.place - y.place <= 200)
- select run_id, place, earlier, round(c, 4) as cosine from (select *, row_number() over (partition by run_id, place order by c desc, earlier) as k from p) where k = 1""")
+@query("""with v as (select label as run_id, vec_id as place, embedding::double[] as e from embeddings), p as (select x.run_id, x.place, y.place as earlier, list_cosine_similarity(x.e, y.e) as c from v x join v y on x.run_id = y.run_id and y.place < x.place)
+ select run_id, place, earlier, round(c, 4) as cosine from (select *, row_number() over (partition by run_id, place order by round(c, 10) desc, earlier) as k from p) where k = 1""")
 def j10_best_by_cosine(spark, d):
     return links.best_by_cosine(_vectors(spark, d))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
-from tidemark.operators import checks, intervals, retrieval, risk, scoring, sequences
+from tidemark.operators import checks, intervals, retrieval, risk, scoring, sequences, vectors
 from tidemark.plans.inputs import ISS, SEG, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.registry import query
 from tidemark.sources.text import subtitle_lines
@@ -268,13 +268,32 @@ def q04_rank_fusion(spark, d):
     return retrieval.fuse(dense, retrieval.bm25(q, p)).fillna(0, ["lexical_rank"])
 
 
-@query("""with v as (select label::varchar || '-' || (vec_id // 200)::varchar as run_id, vec_id as place, embedding::double[] as e from embeddings), p as (select x.run_id, x.place as a, y.place as b, list_cosine_similarity(x.e, y.e) as c from v x join v y on x.run_id = y.run_id and abs(x.place - y.place) > 1),
- k as (select *, row_number() over (partition by run_id, a order by c desc, b desc) as k from p) select distinct run_id, least(a, b) as a, greatest(a, b) as b, round(c, 4) as cosine from k where k <= 3 and c >= 0.3""")
+@query("""with v as (select label as run_id, vec_id as place, embedding::double[] as e from embeddings), p as (select x.run_id, x.place as a, y.place as b, list_cosine_similarity(x.e, y.e) as c from v x join v y on x.run_id = y.run_id and abs(x.place - y.place) > 1),
+ k as (select *, row_number() over (partition by run_id, a order by round(c, 10) desc, b desc) as k from p) select run_id, a, b, round(c, 4) as cosine from k where k <= 3 and c >= 0.3 and a < b""")
 def j09_similar_pairs(spark, d):
-    v = table(spark, d, "embeddings").select(F.concat_ws("-", "label", F.floor(F.col("vec_id") / 200)).alias("run_id"), F.col("vec_id").alias("place"), "embedding")
+    """Least similarity 0.3: the table's vectors have no pair at the default."""
+    v = table(spark, d, "embeddings").select(F.col("label").alias("run_id"), F.col("vec_id").alias("place"), "embedding")
     return retrieval.similar_pairs(v, least=0.3)
 
 
+def _all_vectors(spark, d):
+    v = table(spark, d, "embeddings").select(F.lit(0).alias("run_id"), F.col("vec_id").alias("place"), "embedding")
+    return vectors.fit(v, whole=256), v.where("place % 100 = 0")
+
+
+@query("""with v as (select vec_id as place, embedding::double[] as e from embeddings), p as (select x.place as a, y.place as b, list_cosine_similarity(x.e, y.e) as c from v x join v y on x.place <> y.place where x.place % 100 = 0),
+ k as (select *, row_number() over (partition by a order by round(c, 10) desc, b desc) as rank from p) select a, b, rank, round(c, 4) as cosine from k where rank <= 3""")
+def j09_nearest_exact(spark, d):
+    """Every hundredth vector against all: lists of one large run, left out by their bounds."""
+    return vectors.search(*_all_vectors(spark, d)).select("a", "b", "rank", F.round("cosine", 4).alias("cosine"))
+
+
+@query()
+def j09_nearest_indexed(spark, d):
+    """The same from the nearest lists alone; the tests measure its recall."""
+    return vectors.search(*_all_vectors(spark, d), exact=False).select("a", "b", "rank", F.round("cosine", 4).alias("cosine"))
+
+
 @query("""select 'lineitem' as "table", 'unique' as rule, l_orderkey::varchar || '/' || l_partkey::varchar as row_key from lineitem group by l_orderkey, l_partkey having count(*) > 1
  union all select 'customer', 'c_nationkey exists', c_custkey::varchar from customer where c_nationkey not in (select n_nationkey from nation)
  union all select 'orders', 'status', o_orderkey::varchar from orders where o_orderstatus not in ('F', 'O') union all select 'orders', 'price', o_orderkey::varchar from orders where not o_totalprice > 1000""")
