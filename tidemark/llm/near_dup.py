@@ -242,12 +242,16 @@ def prefix_pairs(buckets: DataFrame, label: DataFrame, known: DataFrame, similar
     w = Window.partitionBy("node")
     placed = each.join(shared, "element").withColumns({"own": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("n", "element"))})
     placed = placed.withColumn("place", F.col("size") - F.col("own") + F.col("nth") - 1).where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9))
-    placed = materialise(placed.select("node", "size", "element", "place").join(nodes, "node"), "neardup-prefixes")
-    side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place")])
+    # Each row knows its node's prefix (a fifth of the elements) and its place there: two nodes meet at the first element they share alone.
+    upward = w.orderBy("place")
+    placed = placed.withColumns({"prefix": F.collect_list("element").over(upward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "before": F.row_number().over(upward) - 1})
+    placed = materialise(placed.select("node", "size", "element", "place", "prefix", "before").join(nodes, "node"), "neardup-prefixes")
+    side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place", "prefix", "before")])
     pairs = side("x").where("outside").drop("outside").join(side("y").drop("outside"), "element").where("label_x != label_y")
     sizes = F.col("size_x"), F.col("size_y")
     # The first shared element bounds the overlap by what comes after it.
     ahead = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    pairs = pairs.where(~F.arrays_overlap(F.slice("prefix_x", F.lit(1), F.col("before_x")), F.slice("prefix_y", F.lit(1), F.col("before_y"))))
     pairs = pairs.where((F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-9) & ((1 + similarity) * ahead >= similarity * (sizes[0] + sizes[1]) - 1e-9))
     return pairs_of(pairs, "node_x", "node_y")
 
