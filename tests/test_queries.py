@@ -34,7 +34,7 @@ def test_drop_moments_are_spaced_and_greedy(spark):
 
 
 def test_paragraphs_match_a_loop(spark):
-    from tidemark.operators.sequences import paragraphs
+    from tidemark.operators.passes import paragraphs
 
     words = [(30, "."), (50, "."), (30, "."), (150, ""), (90, "."), (20, ""), (99, ""), (5, ".")]
     rows = [("r", i, " ".join(["w"] * n) + end) for i, (n, end) in enumerate(words)]

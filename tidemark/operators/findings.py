@@ -117,17 +117,3 @@ def top_passages(scored: DataFrame, most: int) -> DataFrame:
     # What one stretch keeps does not depend on the others, so the limit can follow.
     out = out.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("passage")))).where(F.col("_k") <= most)
     return out.select(*keys, "passage", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"), "score")
-
-
-def batches(df: DataFrame, order: str, size: Column, most: int = 12, most_size: int = 40_000) -> DataFrame:
-    """run_id, order, batch: consecutive rows under both limits; a row over most_size has a batch of its own."""
-    item = F.struct(F.col(order).cast("bigint").alias("o"), size.cast("bigint").alias("n"))
-    row = "array<struct<o:bigint,batch:int,k:int,size:bigint>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = (F.size(done) == 0) | (last.k >= most) | (last.size + x.n > most_size)
-        r = F.struct(x.o.alias("o"), F.when(F.size(done) == 0, 0).when(new, last.batch + 1).otherwise(last.batch).alias("batch"), F.when(new, 1).otherwise(last.k + 1).alias("k"), F.when(new, x.n).otherwise(last.size + x.n).alias("size"))
-        return F.concat(done, F.array(r).cast(row))
-
-    return fold(df, [RUN], item, F.array().cast(row), step).select(RUN, F.inline("folded")).select(RUN, F.col("o").alias(order), "batch")

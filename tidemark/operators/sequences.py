@@ -1,4 +1,4 @@
-"""Order-dependent operators over a run's segments: first occurrence, greedy folds, passages, paragraphs."""
+"""Order-dependent operators over a run's segments: first occurrence, greedy folds, passages."""
 
 from __future__ import annotations
 
@@ -58,23 +58,6 @@ def spaced_top(df: DataFrame, score: str, at: str, least_gap: int, most: int, ke
     return out.select(*keys, (-F.col("p.t")).alias(at), (-F.col("p.s")).alias(score))
 
 
-def paragraphs(segments: DataFrame, least: int = 100, most: int = 200) -> DataFrame:
-    """run_id, paragraph, first, last, n_words: closed at a sentence end from `least` words on, or before exceeding `most`."""
-    item = F.struct("seg_idx", word_count(F.col("text")).alias("n"), F.rtrim("text").rlike(r"[.?!।]$").alias("ends"))
-    para = "struct<first:int,last:int,n:int,open:boolean>"
-    one = lambda a, b, n, o: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"), n.cast("int").alias("n"), o.alias("open"))
-
-    def step(s: Column, x: Column) -> Column:
-        cur = F.element_at(s, -1)
-        goes_on = (F.size(s) > 0) & cur.open & ~((cur.n + x.n > most) & (cur.n >= least // 2))
-        total = F.when(goes_on, cur.n + x.n).otherwise(x.n)
-        row = one(F.when(goes_on, cur.first).otherwise(x.seg_idx), x.seg_idx, total, ~((total >= least) & x.ends))
-        return F.concat(F.when(goes_on, F.slice(s, 1, F.size(s) - 1)).otherwise(s), F.array(row))
-
-    out = fold(segments, [RUN], item, F.array().cast(f"array<{para}>"), step).select(RUN, F.posexplode("folded"))
-    return out.select(RUN, (F.col("pos") + 1).alias("paragraph"), "col.first", "col.last", F.col("col.n").alias("n_words"))
-
-
 def switches(df: DataFrame, value: str, order: str) -> DataFrame:
     """Rows at which the value differs from the one before, nulls left out."""
     w = Window.partitionBy(RUN).orderBy(order)

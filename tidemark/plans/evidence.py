@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
-from tidemark.operators import findings, intervals, retrieval, risk, scoring, sequences
+from tidemark.operators import findings, intervals, passes, retrieval, risk, scoring, sequences
 from tidemark.plans.inputs import ISS, PLAIN, SEG, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.queries import BM25, CURVE, RISK, _conversation_search, _features
 from tidemark.plans.registry import SQL, query
@@ -140,4 +140,4 @@ def q06_top_passages(spark, d):
 
 @query()
 def k20_batches(spark, d):
-    return findings.batches(segments(spark, d), "seg_idx", F.length("text"), 12, 2000)
+    return passes.batches(segments(spark, d), "seg_idx", F.length("text"), 12, 2000)

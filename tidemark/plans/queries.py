@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
-from tidemark.operators import checks, intervals, retrieval, risk, scoring, sequences, vectors
+from tidemark.operators import checks, intervals, passes, retrieval, risk, scoring, sequences, vectors
 from tidemark.plans.inputs import ISS, SEG, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.registry import query
 from tidemark.sources.text import subtitle_lines
@@ -150,7 +150,7 @@ def w19_switches(spark, d):
 
 @query()
 def w21_paragraphs(spark, d):
-    return sequences.paragraphs(segments(spark, d))
+    return passes.paragraphs(segments(spark, d))
 
 
 @query(f"""with {SEG}, x as (select run_id, seg_idx as passage, start_ms, max(end_ms) over w as end_ms, string_agg(text, ' ') over w as text, max(seg_idx) over (partition by run_id) as last from seg window w as (partition by run_id order by seg_idx rows between current row and 2 following))
