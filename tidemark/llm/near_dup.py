@@ -20,11 +20,13 @@ move the similarity of a pair by one element.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from tidemark.llm.common import free_name, materialise, tokens
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 64, 4
 SMALL, ROUNDS = 32, 3
+#: Cells in which elements are counted for their order in the prefix-filter join.
+CELLS = 1 << 20
 #: Shingles that are signed at once in a task.
 CHUNK = 400_000
 
@@ -227,31 +231,42 @@ def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return small.unionByName(pairs_of(wide, "node", "lead")).distinct()
 
 
+def cell_counts(nodes: DataFrame) -> Broadcast:
+    """How many elements of nodes (elements) fall into each of CELLS cells: at most CELLS rows reach the driver."""
+    found = nodes.select(F.explode("elements").alias("e")).groupBy(F.pmod("e", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return nodes.sparkSession.sparkContext.broadcast(counts)
+
+
 def prefix_pairs(buckets: DataFrame, label: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of different classes among the nodes of open buckets above SMALL: all those that can be near.
 
     Sets with a Jaccard similarity of s share an element among the first n - ceil(s n) + 1 of each in one order; with the rarest
-    first, few others do. One side of each pair lies outside the largest class of a bucket.
+    first, few others do. How rare an element is comes from counts in CELLS cells: any order gives all pairs, so a table of fixed size does,
+    and elements are neither counted one by one nor joined with their counts. One side of each pair lies outside the largest class of a bucket.
     """
     inside = buckets.where(F.col("n") > SMALL).join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     most = inside.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("k", "label")).alias("top")).where("classes > 1").select("bucket", F.col("top.label").alias("top"))
     nodes = materialise(inside.join(most, "bucket").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("outside")), "neardup-outside")
-    each = known.join(nodes.select("node"), "node", "left_semi").select("node", F.size("elements").alias("size"), F.explode("elements").alias("element"))
-    shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
-    # Elements of one node only come first in the order and match nothing.
-    w = Window.partitionBy("node")
-    placed = each.join(shared, "element").withColumns({"own": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("n", "element"))})
-    placed = placed.withColumn("place", F.col("size") - F.col("own") + F.col("nth") - 1).where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9))
-    # Each row knows its node's prefix (a fifth of the elements) and its place there: two nodes meet at the first element they share alone.
-    upward = w.orderBy("place")
-    placed = placed.withColumns({"prefix": F.collect_list("element").over(upward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "before": F.row_number().over(upward) - 1})
-    placed = materialise(placed.select("node", "size", "element", "place", "prefix", "before").join(nodes, "node"), "neardup-prefixes")
-    side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place", "prefix", "before")])
+    each = known.join(nodes.select("node"), "node", "left_semi")
+    rarity = cell_counts(each)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.asarray(e) for e in batch["elements"]]
+            ordered = [e[np.lexsort((e, rarity.value[e % CELLS]))] for e in sets]
+            yield pd.DataFrame({"node": batch["node"], "size": [len(e) for e in sets], "prefix": [e[: len(e) - math.ceil(similarity * len(e) - 1e-9) + 1] for e in ordered]})
+
+    # Each row knows its node's prefix and its place there: two nodes meet at the first element they share alone.
+    cuts = each.select("node", "elements").mapInPandas(cut, "node binary, size int, prefix array<int>").join(nodes, "node")
+    placed = materialise(cuts.select("*", F.posexplode("prefix").alias("place", "element")), "neardup-prefixes")
+    side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place", "prefix")])
     pairs = side("x").where("outside").drop("outside").join(side("y").drop("outside"), "element").where("label_x != label_y")
     sizes = F.col("size_x"), F.col("size_y")
     # The first shared element bounds the overlap by what comes after it.
     ahead = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    pairs = pairs.where(~F.arrays_overlap(F.slice("prefix_x", F.lit(1), F.col("before_x")), F.slice("prefix_y", F.lit(1), F.col("before_y"))))
+    pairs = pairs.where(~F.arrays_overlap(F.slice("prefix_x", F.lit(1), F.col("place_x")), F.slice("prefix_y", F.lit(1), F.col("place_y"))))
     pairs = pairs.where((F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-9) & ((1 + similarity) * ahead >= similarity * (sizes[0] + sizes[1]) - 1e-9))
     return pairs_of(pairs, "node_x", "node_y")
 
