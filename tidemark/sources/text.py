@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.text import cue_time, parse_cue_time, word_count
+from tidemark.functions.text import cue_time, is_json, parse_cue_time, word_count
 
 #: Milliseconds per spoken word (150 words a minute) and the shortest segment.
 WORD_MS, LEAST_MS = 400, 1000
@@ -43,6 +43,27 @@ def record_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[Da
     return df.where("_bad is null").drop("_bad", "_file"), df.where("_bad is not null").select("_file", "_bad")
 
 
+def parsed_lines(files: DataFrame, schema: StructType, torn_tail: bool = False) -> DataFrame:
+    """file, line (from 1), raw, row, problem (null for good lines) of the non-blank lines of whole files (file, value), batch or stream alike.
+
+    A line must be one JSON object of the schema, without unknown fields, NaN or Infinity. With torn_tail, a last line that is no JSON is dropped,
+    as after a crash; another bad line is reported. Files are read whole: a package's tables have a size limit.
+    """
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "raw"), F.size(F.split("value", "\n")).alias("_n"))
+    lines = lines.where("trim(raw) != ''").withColumns({"line": F.col("line") + 1, "raw": F.rtrim(F.regexp_replace("raw", "\r$", ""))})
+    full = StructType([*schema.fields]).add("_bad", "string")
+    row = F.from_json("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "false"})
+    keys = F.json_object_keys("raw")
+    x = lines.withColumns({"_row": row, "_json": is_json(F.col("raw"))})
+    unknown = F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin([f.name for f in schema.fields]))
+    problem = F.when(~F.col("_json"), "not JSON").when(keys.isNull(), "not an object").when(unknown, "unknown field").when(F.col("_row._bad").isNotNull(), "wrong type")
+    x = x.withColumn("problem", problem)
+    if torn_tail:
+        x = x.where((F.col("line") < F.col("_n")) | ~F.coalesce(F.col("problem") == "not JSON", F.lit(False)))
+    kept = F.struct(*[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields])
+    return x.select("file", "line", "raw", F.when(F.col("problem").isNull(), kept).alias("row"), "problem")
+
+
 def journal(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(events, bad): a journal in which only the last line of a file may be torn; other bad lines come out."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
