@@ -58,7 +58,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", *[f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+    return out.select("doc_id", *[f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")], F.size("license.spans").alias("n_spans"))
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
