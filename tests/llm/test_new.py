@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import merkle, spelling, warc
+from tidemark.llm import licenses, merkle, spelling, toxicity, warc
 
 
 # -- spelling ---------------------------------------------------------------------------------------------------------------------
@@ -223,3 +223,25 @@ def test_packages_without_index_or_with_damage_are_errors(spark, tmp_path):
     for name, what in (("a", "no stored index"), ("b", "not a ZIP package")):
         with pytest.raises(Exception, match=what):
             warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/{name}.wacz",)], "path string")).collect()
+
+
+# -- limits of earlier operators --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1, 3, 9, 40])
+def test_tables_of_frequent_sequences_find_a_limit(spark, most):
+    counts = {k: n for k, n in enumerate([1, 1, 2, 7, 999, 1000, 1001, 1999, 2000, 5000, 10**6, 10**6, 10**9, 3 * 10**9])}
+    keys, n = toxicity.entries(spark.createDataFrame(list(counts.items()), "key bigint, n bigint"), most)
+    assert list(keys) == sorted(keys) and len(keys) <= most and all(counts[k] == x for k, x in zip(keys.tolist(), n.tolist(), strict=True))
+    # The most frequent ones stay, all of a power of two or none.
+    assert len(keys) == len(counts) or min(n, default=10**10) > max([x for k, x in counts.items() if k not in keys], default=0)
+
+
+def test_places_of_phrases_and_notices_in_one_text():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    text = " ".join(["a CC BY licence"] * 300 + ["released under teh mit license; üm"] * 40 + ["all rights reserved"])
+    out, words = scanner.scan(text), licenses.words_of(text)
+    at = lambda phrase: [i for i in range(len(words)) if [w.decode() for w in words[i : i + len(phrase)]] == phrase]
+    assert out["n_base"] == 301 and (out["first_word"], out["last_word"]) == (1, at(["all", "rights", "reserved"])[0])
+    mit = [s for s in out["spans"] if s["label"] == "mit"]
+    assert [s["start"] for s in sorted(mit, key=lambda s: s["start"])] == at(["released", "under", "teh"]) and {s["end"] - s["start"] for s in mit} == {5}
