@@ -231,12 +231,34 @@ def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return small.unionByName(pairs_of(wide, "node", "lead")).distinct()
 
 
-def cell_counts(nodes: DataFrame) -> Broadcast:
-    """How many elements of nodes (elements) fall into each of CELLS cells: at most CELLS rows reach the driver."""
-    found = nodes.select(F.explode("elements").alias("e")).groupBy(F.pmod("e", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("n")).toArrow()
+def cell_counts(sets: DataFrame, column: str) -> Broadcast:
+    """How many elements of the sets fall into each of CELLS cells. Tasks count what they have; at most CELLS rows reach the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for e in batch[column]:
+                np.add.at(sums, np.asarray(e) % CELLS, 1)
+        yield pd.DataFrame({"cell": np.flatnonzero(sums), "n": sums[sums > 0]})
+
+    found = sets.select(column).mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return nodes.sparkSession.sparkContext.broadcast(counts)
+    return sets.sparkSession.sparkContext.broadcast(counts)
+
+
+def prefixes(each: DataFrame, rarity: Broadcast, similarity: float, wanted: Broadcast | None = None) -> DataFrame:
+    """node, label, outside, size, prefix, at: the elements of each node that a near set must share one of, rarest first, and the places of
+    those that may be shared; without `wanted` all, else of inside nodes those whose cell an outside node's prefix has."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.asarray(e) for e in batch["elements"]]
+            parts = [e[np.lexsort((e, rarity.value[e % CELLS]))][: len(e) - math.ceil(similarity * len(e) - 1e-9) + 1] for e in sets]
+            at = [np.arange(len(p)) if wanted is None or outside else np.flatnonzero(wanted.value[p % CELLS]) for p, outside in zip(parts, batch["outside"], strict=True)]
+            yield batch[["node", "label", "outside"]].assign(size=[len(e) for e in sets], prefix=parts, at=at)
+
+    return each.mapInPandas(cut, "node binary, label binary, outside boolean, size int, prefix array<int>, at array<int>")
 
 
 def prefix_pairs(buckets: DataFrame, label: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -244,23 +266,18 @@ def prefix_pairs(buckets: DataFrame, label: DataFrame, known: DataFrame, similar
 
     Sets with a Jaccard similarity of s share an element among the first n - ceil(s n) + 1 of each in one order; with the rarest
     first, few others do. How rare an element is comes from counts in CELLS cells: any order gives all pairs, so a table of fixed size does,
-    and elements are neither counted one by one nor joined with their counts. One side of each pair lies outside the largest class of a bucket.
+    and elements are neither counted one by one nor joined with their counts. One side of each pair lies outside the largest class of a bucket, so
+    the nodes inside list only elements of a cell that an outside node's prefix has.
     """
     inside = buckets.where(F.col("n") > SMALL).join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     most = inside.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("k", "label")).alias("top")).where("classes > 1").select("bucket", F.col("top.label").alias("top"))
     nodes = materialise(inside.join(most, "bucket").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("outside")), "neardup-outside")
-    each = known.join(nodes.select("node"), "node", "left_semi")
-    rarity = cell_counts(each)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [np.asarray(e) for e in batch["elements"]]
-            ordered = [e[np.lexsort((e, rarity.value[e % CELLS]))] for e in sets]
-            yield pd.DataFrame({"node": batch["node"], "size": [len(e) for e in sets], "prefix": [e[: len(e) - math.ceil(similarity * len(e) - 1e-9) + 1] for e in ordered]})
-
+    each = materialise(known.join(nodes, "node").select("node", "label", "outside", "elements"), "neardup-settled")
+    rarity = cell_counts(each, "elements")
+    wanted = cell_counts(prefixes(each.where("outside"), rarity, similarity), "prefix")
     # Each row knows its node's prefix and its place there: two nodes meet at the first element they share alone.
-    cuts = each.select("node", "elements").mapInPandas(cut, "node binary, size int, prefix array<int>").join(nodes, "node")
-    placed = materialise(cuts.select("*", F.posexplode("prefix").alias("place", "element")), "neardup-prefixes")
+    cuts = prefixes(each, rarity, similarity, wanted).where(F.size("at") > 0).withColumn("place", F.explode("at")).withColumn("element", F.get("prefix", F.col("place")))
+    placed = materialise(cuts.drop("at"), "neardup-prefixes")
     side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place", "prefix")])
     pairs = side("x").where("outside").drop("outside").join(side("y").drop("outside"), "element").where("label_x != label_y")
     sizes = F.col("size_x"), F.col("size_y")
