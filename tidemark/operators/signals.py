@@ -61,23 +61,32 @@ def low_novelty(runs: DataFrame, segments: DataFrame, share: float = 0.6, least_
 
 def local_pace(runs: DataFrame, words: DataFrame, least_words: int = 50) -> DataFrame:
     """run_id, t, wpm, usual: words per speaking minute within ten seconds of t (gaps between words count up to half a second), and the
-    run's median; for runs of at least least_words words. One sliding window over words and seconds."""
+    run's median; for runs of at least least_words words."""
     w = Window.partitionBy(RUN)
     timed = words.where("start_ms is not null").withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least_words)
     gap = F.greatest(F.lit(0), F.least(F.lit(500), F.lead("start_ms").over(w.orderBy("start_ms", "end_ms")) - F.col("end_ms")))
-    timed = timed.select(RUN, F.col("start_ms").alias("at"), (F.col("end_ms") - F.col("start_ms")).alias("len"), F.coalesce(gap, F.lit(0)).alias("gap"), F.lit(None).cast("int").alias("t"))
-    points = seconds(runs.join(timed.select(RUN).distinct(), RUN, "left_semi")).select(RUN, (F.col("t") * 1000).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("len"), F.lit(None).cast("bigint").alias("gap"), "t")
-    near = w.orderBy("at").rangeBetween(-REACH_MS, REACH_MS - 1)
-    x = timed.unionByName(points).withColumns({"n": F.count("len").over(near), "speak": F.sum("len").over(near) + F.sum("gap").over(near) - F.last("gap", ignorenulls=True).over(near)})
-    x = x.where("t is not null").select(RUN, "t", F.when((F.col("speak") > 4000) & (F.col("n") >= 8), 60_000 * F.col("n") / F.col("speak")).alias("wpm")).where("wpm is not null")
+    timed = timed.select(RUN, F.floor(F.col("start_ms") / 1000).cast("int").alias("t"), F.struct("start_ms", "end_ms").alias("at"), (F.col("end_ms") - F.col("start_ms")).alias("len"), F.coalesce(gap, F.lit(0)).alias("gap"))
+    said = timed.groupBy(RUN, "t").agg(F.count("*").alias("n"), F.sum(F.col("len") + F.col("gap")).alias("spoken"), F.max_by("gap", "at").alias("last"))
+    # Every second up to the last word, even beyond the run's end.
+    span = said.groupBy(RUN).agg(F.max("t").alias("_last")).join(runs, RUN).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("duration_ms") / 1000)).cast("int"))
+    d = span.select(RUN, "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.col("_last")))).alias("t")).join(said, [RUN, "t"], "left")
+    # Sums around a second are differences of running sums; the last word's gap is the last one up to the frame's end.
+    upto, ahead, behind = w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0), REACH_MS // 1000 - 1, REACH_MS // 1000 + 1
+    d = d.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(upto) for c in ("n", "spoken")} | {"last": F.last("last", ignorenulls=True).over(upto)})
+    around = lambda c: F.coalesce(F.lead(c, ahead).over(w.orderBy("t")), F.max_by(c, "t").over(w)) - F.lag(c, behind, 0).over(w.orderBy("t"))
+    last = F.coalesce(F.lead("last", ahead).over(w.orderBy("t")), F.max_by("last", "t").over(w))
+    x = d.select(RUN, "t", "_n", around("n").alias("n"), (around("spoken") - last).alias("speak")).where("t < _n")
+    x = x.select(RUN, "t", F.when((F.col("speak") > 4000) & (F.col("n") >= 8), 60_000 * F.col("n") / F.col("speak")).alias("wpm")).where("wpm is not null")
     return x.withColumn("usual", F.median("wpm").over(w))
 
 
 def pace(local: DataFrame) -> DataFrame:
     """slow_pace and fast_pace: under 0.8 and over 1.2 of the run's usual pace."""
     x, usual = F.col("wpm"), F.col("usual")
-    slow = feature(local.where(x < 0.8 * usual), "slow_pace", clip((0.8 * usual - x) / (0.3 * usual)))
-    return slow.unionByName(feature(local.where(x > 1.2 * usual), "fast_pace", clip((x - 1.2 * usual) / (0.3 * usual))))
+    slow, fast = x < 0.8 * usual, x > 1.2 * usual
+    value = F.when(slow, clip((0.8 * usual - x) / (0.3 * usual))).otherwise(clip((x - 1.2 * usual) / (0.3 * usual)))
+    out = local.where(slow | fast).select(RUN, F.col("t").cast("int").alias("t"), F.when(slow, "slow_pace").otherwise("fast_pace").alias("feature"), value.cast("double").alias("value"))
+    return out
 
 
 def quiet_share(gaps: DataFrame, rms: DataFrame, limit: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ FEATURES = " union all ".join(f"select * from ({SQL[n]})" for n in ("e01_setup",
 
 def found_features(r: Run):
     """The features whose runs are findings (long sentences from 12 words on, as the texts' sentences are short)."""
-    local, quiet = signals.local_pace(r.runs, r.words), signals.pauses(r.runs, r.speech, r.silence, r.rms)
-    level, dead = signals.levels(r.runs, r.loudness, r.speech), signals.dead_air(r.runs, quiet)
+    local, quiet = r.keep("local", lambda: signals.local_pace(r.runs, r.words)), r.keep("pauses", lambda: signals.pauses(r.runs, r.speech, r.silence, r.rms))
+    level, dead = r.keep("levels", lambda: signals.levels(r.runs, r.loudness, r.speech)), r.keep("dead", lambda: signals.dead_air(r.runs, quiet))
     parts = [
         signals.setup(r.runs, r.structure), signals.no_hook(r.runs, r.structure), signals.low_novelty(r.runs, r.segments), signals.pace(local), dead, signals.dense_text(r.tracks, local),
         signals.loudness_drop(level, dead), signals.flat_low_energy(level, r.pitch), features.long_sentences(r.runs, r.segments, least=12), features.static_shots(r.shots),
@@ -42,7 +42,7 @@ def _shown(df):
 
 
 def _feature_findings(r: Run):
-    return rules.feature_findings(found_features(r), r.runs, r.segments, r.structure, r.shots)
+    return rules.feature_findings(r.keep("features", lambda: found_features(r)), r.runs, r.segments, r.structure, r.shots)
 
 
 FF = f"""{RUN}, f as (select run_id, t, feature, value from ({FEATURES} union all select run_id, t, feature, round(value, 6) from ({LONG}) union all select run_id, t, feature, round(value, 6) from (with {STATIC})) where value > 0), k as (select *, t - row_number() over (partition by run_id, feature order by t) as k from f),
@@ -76,7 +76,7 @@ RISK = """bn as (select run_id, t, unnest(range((t + 4999) // 5000)) as bin from
 
 @query(f"with {FF} select * from ff")
 def r01_feature_findings(spark, d):
-    return _shown(_feature_findings(Run(spark, d)))
+    return _shown(_feature_findings(Run(spark, d, stored=True)))
 
 
 @query(f"with {SF} select * from sf")
@@ -114,7 +114,8 @@ def r04_unconfirmed_promises(spark, d):
 
 
 def _all(r: Run):
-    return _feature_findings(r).unionByName(rules.structure_findings(r.runs, r.segments, r.structure, r.promises, r.spans))
+    told = r.keep("structure", lambda: r.structure), r.keep("promises", lambda: r.promises), r.keep("spans", lambda: r.spans)
+    return r.keep("findings", lambda: _feature_findings(r).unionByName(rules.structure_findings(r.runs, r.segments, *told)))
 
 
 AF = f"{FF}, {SF[len(RUN) + 2:]}, af as (select * from ff union all select * from sf), {RISK}"
@@ -122,14 +123,14 @@ AF = f"{FF}, {SF[len(RUN) + 2:]}, af as (select * from ff union all select * fro
 
 @query(f"with {AF} select * from tr")
 def a04_text_risk(spark, d):
-    r = Run(spark, d)
+    r = Run(spark, d, stored=True)
     x = rules.text_risk(_all(r), r.runs)
     return x.select("run_id", "bin", "start_ms", "end_ms", F.round("risk", 2).alias("risk"), "top_finding", F.size("findings").alias("n_findings"))
 
 
 @query(f"with {AF} select sec.run_id, sec.t::int as t, risk from sec join tr on tr.run_id = sec.run_id and tr.bin = sec.t // 5")
 def a05_risk_per_second(spark, d):
-    r = Run(spark, d)
+    r = Run(spark, d, stored=True)
     return rules.risk_per_second(signals.seconds(r.runs).select("run_id", "t"), rules.text_risk(_all(r), r.runs)).withColumn("risk", F.round("risk", 2))
 
 
@@ -139,7 +140,7 @@ def a05_risk_per_second(spark, d):
  j as (select mg.run_id, s * 1000 as start_ms, e * 1000 as end_ms, fid, rank, case when feature = mf then 0 when cause_group = grp then 1 end as lev from mg left join (select fr2.*, cause_group, feature from fr2 join cat using (rule)) f on f.run_id = mg.run_id and f.start_ms < e * 1000 and f.end_ms > s * 1000)
  select run_id, start_ms, end_ms, coalesce(string_agg(fid, ',' order by rank), '') as finding_ids, arg_min(fid, lev * 1000000 + rank) filter (lev is not null) as best_finding from j group by 1, 2, 3""")
 def j16_attached_findings(spark, d):
-    r = Run(spark, d)
+    r = Run(spark, d, stored=True)
     k = F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor(F.col("duration_ms") / 20_000))).alias("k")
     m = r.runs.where("duration_ms >= 20000").select("run_id", "duration_ms", k)
     m = m.select("run_id", (F.col("k") * 20).alias("start_s"), F.least(F.col("k") * 20 + 10, F.floor(F.col("duration_ms") / 1000)).alias("end_s"), seconds.pick(("dead_air", "slow_pace", "outro", "payoff_pending"), (F.col("run_id") + F.col("k")) % 4).alias("feature")).where("end_s > start_s")
@@ -150,8 +151,9 @@ def j16_attached_findings(spark, d):
 @query()
 def r27_full_analysis(spark, d):
     """All findings of all rules, ranked; duplicates point to what they repeat."""
-    r = Run(spark, d)
-    every = _all(r).unionByName(rules.relation_findings(r.runs, r.segments, r.promises)).dropDuplicates(["run_id", "finding_id"])
+    r = Run(spark, d, stored=True)
+    related = rules.relation_findings(r.runs, r.segments, r.keep("promises", lambda: r.promises), r.keep("sentences", lambda: st.sentences(r.segments)))
+    every = r.keep("every", lambda: _all(r).unionByName(related).dropDuplicates(["run_id", "finding_id"]))
     ranked = merges.rank_findings(every.select("run_id", "finding_id", "cause_group", "severity", "evidence_strength", "safe_edit", "start_ms", "end_ms"), rules.first_payoff(r.promises, r.structure))
     return every.select("run_id", "finding_id", "rule", "severity", "start_ms", "end_ms").join(ranked, ["run_id", "finding_id"])
 

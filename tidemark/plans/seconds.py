@@ -10,6 +10,7 @@ from tidemark.operators import features, signals
 from tidemark.plans.inputs import TALK, WORDS, talk
 from tidemark.plans.queries import CONTENT
 from tidemark.plans.registry import query
+from tidemark.sources.working import written
 
 STATUSES = ("fulfilled", "partial", "unaddressed", "uncertain")
 KINDS = ("cta", "sponsor", "outro", "recap", "viewer_question", "open_loop", "tangent_candidate", "greeting")
@@ -20,11 +21,20 @@ def pick(values, index):
 
 
 class Run:
-    """The inputs of a run, from the lines of a document."""
-
-    def __init__(self, spark, sf_dir):
-        self.segments = talk(spark, sf_dir)
-        self.runs = self.segments.groupBy("run_id").agg(F.max("end_ms").alias("duration_ms"))
+    """The inputs of a run, from the lines of a document. For plans that use them many times, they are written once (stored=True)."""
+
+    def __init__(self, spark, sf_dir, stored=False):
+        self.kept = {} if stored else None
+        self.segments = self.keep("segments", lambda: talk(spark, sf_dir))
+        self.runs = self.keep("runs", lambda: self.segments.groupBy("run_id").agg(F.max("end_ms").alias("duration_ms")))
+
+    def keep(self, name, make) -> DataFrame:
+        """make(), or of a stored run what it wrote under this name before."""
+        if self.kept is None:
+            return make()
+        if name not in self.kept:
+            self.kept[name] = written(make(), f"run-{name}")
+        return self.kept[name]
 
     @property
     def words(self) -> DataFrame:
