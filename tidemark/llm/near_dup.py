@@ -231,31 +231,37 @@ def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return small.unionByName(pairs_of(wide, "node", "lead")).distinct()
 
 
-def cell_counts(sets: DataFrame, column: str) -> Broadcast:
-    """How many elements of the sets fall into each of CELLS cells. Tasks count what they have; at most CELLS rows reach the driver."""
+def prefix(e: np.ndarray, rarity: np.ndarray, similarity: float) -> np.ndarray:
+    """The elements of a set that a near set must share one of, rarest first."""
+    return e[np.lexsort((e, rarity[e % CELLS]))][: len(e) - math.ceil(similarity * len(e) - 1e-9) + 1]
+
+
+def cell_counts(sets: DataFrame, rarity: Broadcast | None = None, similarity: float = SIMILARITY) -> Broadcast:
+    """How many elements of the sets (with a rarity, of their prefixes) fall into each of CELLS cells. Tasks count what they have; at most CELLS rows
+    reach the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for e in batch[column]:
-                np.add.at(sums, np.asarray(e) % CELLS, 1)
+            for e in map(np.asarray, batch["elements"]):
+                np.add.at(sums, (e if rarity is None else prefix(e, rarity.value, similarity)) % CELLS, 1)
         yield pd.DataFrame({"cell": np.flatnonzero(sums), "n": sums[sums > 0]})
 
-    found = sets.select(column).mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    found = sets.select("elements").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int32)
+    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
     return sets.sparkSession.sparkContext.broadcast(counts)
 
 
-def prefixes(each: DataFrame, rarity: Broadcast, similarity: float, wanted: Broadcast | None = None) -> DataFrame:
-    """node, label, outside, size, prefix, at: the elements of each node that a near set must share one of, rarest first, and the places of
-    those that may be shared; without `wanted` all, else of inside nodes those whose cell an outside node's prefix has."""
+def prefixes(each: DataFrame, rarity: Broadcast, wanted: Broadcast, similarity: float) -> DataFrame:
+    """node, label, outside, size, prefix, at: the prefix of each node, and the places of what may be shared: all for outside nodes, for inside ones
+    those whose cell an outside node's prefix has."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [np.asarray(e) for e in batch["elements"]]
-            parts = [e[np.lexsort((e, rarity.value[e % CELLS]))][: len(e) - math.ceil(similarity * len(e) - 1e-9) + 1] for e in sets]
-            at = [np.arange(len(p)) if wanted is None or outside else np.flatnonzero(wanted.value[p % CELLS]) for p, outside in zip(parts, batch["outside"], strict=True)]
+            parts = [prefix(e, rarity.value, similarity) for e in sets]
+            at = [np.arange(len(p)) if outside else np.flatnonzero(wanted.value[p % CELLS]) for p, outside in zip(parts, batch["outside"], strict=True)]
             yield batch[["node", "label", "outside"]].assign(size=[len(e) for e in sets], prefix=parts, at=at)
 
     return each.mapInPandas(cut, "node binary, label binary, outside boolean, size int, prefix array<int>, at array<int>")
@@ -273,10 +279,10 @@ def prefix_pairs(buckets: DataFrame, label: DataFrame, known: DataFrame, similar
     most = inside.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("k", "label")).alias("top")).where("classes > 1").select("bucket", F.col("top.label").alias("top"))
     nodes = materialise(inside.join(most, "bucket").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("outside")), "neardup-outside")
     each = materialise(known.join(nodes, "node").select("node", "label", "outside", "elements"), "neardup-settled")
-    rarity = cell_counts(each, "elements")
-    wanted = cell_counts(prefixes(each.where("outside"), rarity, similarity), "prefix")
+    rarity = cell_counts(each)
+    wanted = cell_counts(each.where("outside"), rarity, similarity)
     # Each row knows its node's prefix and its place there: two nodes meet at the first element they share alone.
-    cuts = prefixes(each, rarity, similarity, wanted).where(F.size("at") > 0).withColumn("place", F.explode("at")).withColumn("element", F.get("prefix", F.col("place")))
+    cuts = prefixes(each, rarity, wanted, similarity).where(F.size("at") > 0).withColumn("place", F.explode("at")).withColumn("element", F.get("prefix", F.col("place")))
     placed = materialise(cuts.drop("at"), "neardup-prefixes")
     side = lambda x: placed.select("element", "outside", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "place", "prefix")])
     pairs = side("x").where("outside").drop("outside").join(side("y").drop("outside"), "element").where("label_x != label_y")
