@@ -12,7 +12,7 @@ from tidemark.operators.signals import seconds
 from tidemark.plans.inputs import ISS, WORDS, issues, runs, spans, table, turns
 from tidemark.plans.linked import MOMENTS, _moments
 from tidemark.plans.queries import RISK, RUNS, TOPIC
-from tidemark.plans.registry import query
+from tidemark.plans.registry import SQL, query
 from tidemark.plans.seconds import RUN, Run
 from tidemark.sources.packages import active_runs, orphans
 
@@ -200,6 +200,14 @@ def w24_sampling_plan(spark, d):
     return s.sampling_plan(r.runs, fr, r.cuts, 60).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query(SQL["w24_sampling_plan"].replace("where k <= 60", ""))
+def w25_sampling_reasons(spark, d):
+    """Every sampled frame with all of its reasons."""
+    r = Run(spark, d)
+    fr = r.runs.select("run_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("duration_ms") / 700))).alias("k")).select("run_id", (F.col("k") * 700).alias("at_ms"))
+    return s.sampling_plan(r.runs, fr, r.cuts, 2**31 - 1).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query(f"""with {RUN}, wx as (select wd.run_id, start_ms as a, end_ms as b, (start_ms // 100) % 7 = 0 as e from wd), so as (select *, sum(coalesce(lag_e, true)::int) over (partition by run_id order by a, b) as sn from (select *, lag(e) over (partition by run_id order by a, b) as lag_e from wx)), ss as (select *, min(a) over (partition by run_id, sn) as s from so),
  sp3 as (select run_id, seg_idx as span, start_ms + 330 as x0, end_ms - 170 as x1 from talk where seg_idx % 3 = 0 and end_ms - start_ms > 1000), q as (select sp3.*, (select max({{'a': a, 'e': e, 's': s}}) from ss where ss.run_id = sp3.run_id and a < x0) as p0, (select min(a) from ss where ss.run_id = sp3.run_id and a >= x0) as n0, (select max({{'a': a, 'b': b, 'e': e}}) from ss where ss.run_id = sp3.run_id and a < x1) as p1, (select min({{'a': a, 'b': b}}) from ss where ss.run_id = sp3.run_id and a >= x1 and e) as e1 from sp3),
  z as (select *, case when p0 is not null and not p0.e then p0.s when n0 is not null then n0 else x0 end as y0 from q)

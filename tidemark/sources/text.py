@@ -90,6 +90,16 @@ def unpack_series(df: DataFrame, t: str = "t_ms", v: str = "v") -> DataFrame:
     return df.select("run_id", F.explode(F.arrays_zip(F.col(t).alias("t"), F.col(v).alias("v"))).alias("p")).select("run_id", F.col("p.t").alias(t), F.col("p.v").alias(v))
 
 
+def caption_text(segments: DataFrame, kind: str = "srt") -> DataFrame:
+    """run_id, value: a run's segments as one srt, vtt or txt file. A recording's segments are few enough for one text."""
+    time = lambda c: cue_time(F.col(c)) if kind == "srt" else F.replace(cue_time(F.col(c)), F.lit(","), F.lit("."))
+    span = F.concat(time("start_ms"), F.lit(" --> "), time("end_ms"), F.lit("\n"), F.col("text"))
+    block = {"srt": F.concat((F.col("seg_idx") + 1).cast("string"), F.lit("\n"), span), "vtt": span, "txt": F.col("text")}[kind]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", block.alias("b")))), lambda x: x.b)
+    body = F.array_join(rows, "\n" if kind == "txt" else "\n\n")
+    return segments.groupBy("run_id").agg(F.concat(F.lit("WEBVTT\n\n" if kind == "vtt" else ""), body, F.lit("\n")).alias("value"))
+
+
 def arrivals(known: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, conflicts): rows whose package_sha256 is not known yet, and rows that bring other bytes for a known run_id."""
     fresh = new.join(known.select("package_sha256"), "package_sha256", "left_anti")
