@@ -22,6 +22,12 @@ KEY_FEATURES = {
     "wpm": ("F40", "speech", "speech_rate", "words/min"), "clip": ("F42", "audio", "clipped_share", "fraction"), "pause": ("F39", "audio", "pause", "ms"),
     "black": ("F06", "visual", "black", "ms"), "static": ("F11", "visual", "low_motion_shot", "ms"),
 }
+# Measured spans (feature, modality, name) and series (feature, modality, unit).
+SPAN_MEASURES = {"black": ("F06", "visual", "black"), "freeze": ("F07", "visual", "freeze"), "silence": ("F39", "audio", "waveform_silence")}
+SERIES_MEASURES = {
+    "motion_energy": ("F11", "visual", "mean abs frame diff (0-1)"), "luma_mean": ("F23", "visual", "0-1"), "saturation_mean": ("F24", "visual", "0-1"),
+    "blur_laplacian_var": ("F26", "visual", "variance"), "short_term_loudness": ("F41", "audio", "LUFS"),
+}
 SIGNAL = [RUN, "signal_id", "feature_id", "start_ms", "end_ms", "modality", "name", "value", "unit", "validity"]
 
 
@@ -181,3 +187,29 @@ def key_signals(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
 def selected(signals: DataFrame, features: list[str], names: list[str]) -> DataFrame:
     """Signals of the features, or with the names."""
     return signals.where(F.col("feature_id").isin(features) | F.col("name").isin(names))
+
+
+def speech_signals(fillers: DataFrame, switches: DataFrame) -> DataFrame:
+    """Signals of filler rates (run_id, start_ms, end_ms, count; those with any) and of language switches (run_id, at_ms, previous, language)."""
+    per_min = F.round(F.col("count") * 60_000 / F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms")), 1)
+    out = signals(fillers.where("count > 0"), F.lit("F52"), F.lit("filler_rate"), F.to_json(F.struct("count", per_min.alias("per_min"))), unit="fillers/min", validity="measured")
+    at = switches.withColumns({"start_ms": F.col("at_ms"), "end_ms": F.col("at_ms") + 1})
+    return out.unionByName(signals(at, F.lit("F47"), F.lit("language_switch"), F.to_json(F.struct(F.col("previous").alias("from"), F.col("language").alias("to")))))
+
+
+def measured_signals(runs: DataFrame, cuts: DataFrame, spans: dict[str, DataFrame], series: dict[str, DataFrame], width: int = 10_000) -> DataFrame:
+    """Signals of measurements: cuts (run_id, at_ms) in windows of `width`, zeros too; spans (black, freeze, silence: run_id, start_ms, end_ms) with their
+    length; and series (name: run_id, t_ms, v) of a whole run as one value of two arrays. runs: run_id, end_ms."""
+    grid = runs.where("end_ms > 0").select(RUN, "end_ms", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end_ms") - 1, F.lit(width).cast("bigint"))).alias("start_ms"))
+    n = cuts.groupBy(RUN, (F.floor(F.col("at_ms") / width) * width).alias("start_ms")).agg(F.count("*").alias("n"))
+    windows = grid.select(RUN, "start_ms", F.least("end_ms", F.col("start_ms") + width).alias("end_ms")).join(n, [RUN, "start_ms"], "left")
+    out = signals(windows, F.lit("F01"), F.lit("cuts_per_10s"), F.coalesce("n", F.lit(0)).cast("string"), "visual", "count", "measured")
+    for name, rows in spans.items():
+        feature, modality, shown = SPAN_MEASURES[name]
+        out = out.unionByName(signals(rows, F.lit(feature), F.lit(shown), (F.col("end_ms") - F.col("start_ms")).cast("string"), modality, "ms", "measured"))
+    for name, rows in series.items():
+        feature, modality, unit = SERIES_MEASURES[name]
+        packed = rows.groupBy(RUN).agg(F.array_sort(F.collect_list(F.struct("t_ms", "v"))).alias("s")).join(runs, RUN).withColumn("start_ms", F.lit(0).cast("bigint"))
+        value = F.to_json(F.struct(F.col("s.t_ms").alias("t_ms"), F.col("s.v").alias("v")))
+        out = out.unionByName(signals(packed, F.lit(feature), F.lit(name), value, modality, unit, "measured"))
+    return out

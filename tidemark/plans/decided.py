@@ -149,3 +149,25 @@ def k14_structure_signals(spark, d):
 @query(f"""with {REC}, {_SPAN_ROWS}, {_at('sp', 'loc')} select run_id, kind as name, loc.start_ms, loc.end_ms from sp join loc using (run_id, k) where kind in ('sponsor', 'outro', 'greeting') union all select run_id, 'time_to_substance', 0, greatest(1, start_ms) from ch where chunk = 1""")
 def p07_selected_signals(spark, d):
     return dc.selected(_signals(spark, d), ["F62", "F59"], ["outro"]).select("run_id", "name", "start_ms", "end_ms")
+
+
+@query(f"""with {REC}, f as (select run_id, start_ms, end_ms, chunk % 4 as n from ch where chunk % 4 > 0) select run_id, 'F52' as feature_id, 'filler_rate' as name, '{{"count":' || n || ',"per_min":' || round(n * 60000 / (end_ms - start_ms), 1)::double || '}}' as value, start_ms, end_ms from f
+ union all select run_id, 'F47', 'language_switch', '{{"from":"' || case when seg_idx % 2 = 0 then 'hi' else 'en' end || '","to":"' || case when seg_idx % 2 = 0 then 'en' else 'hi' end || '"}}', start_ms, start_ms + 1 from sg where seg_idx % 9 = 8""")
+def k15_speech_signals(spark, d):
+    _, chunks, s = recorded(spark, d)
+    even = F.col("seg_idx") % 2 == 0
+    switches = s.where("seg_idx % 9 = 8").select("run_id", F.col("start_ms").alias("at_ms"), F.when(even, "hi").otherwise("en").alias("previous"), F.when(even, "en").otherwise("hi").alias("language"))
+    return dc.speech_signals(chunks.withColumn("count", F.col("chunk") % 4), switches).select("run_id", "feature_id", "name", "value", "start_ms", "end_ms")
+
+
+@query(f"""with {REC}, r as (select run_id, max(end_ms) as t from talk group by 1), w as (select run_id, t, unnest(range(0, t, 10000)) as a from r), n as (select run_id, start_ms // 10000 * 10000 as a, count(*) as n from sg where seg_idx % 2 = 0 group by 1, 2)
+ select w.run_id, 'F01' as feature_id, 'cuts_per_10s' as name, coalesce(n, 0)::varchar as value, w.a as start_ms, least(t, w.a + 10000) as end_ms from w left join n on n.run_id = w.run_id and n.a = w.a
+ union all select run_id, 'F06', 'black', (end_ms - start_ms)::varchar, start_ms, end_ms from sg where seg_idx % 5 = 1 union all select run_id, 'F39', 'waveform_silence', (end_ms - start_ms)::varchar, start_ms, end_ms from sg where seg_idx % 7 = 3
+ union all select run_id, 'F11', 'motion_energy', '{{"t_ms":[' || string_agg(start_ms, ',' order by start_ms) || '],"v":[' || string_agg(seg_idx % 13, ',' order by start_ms) || ']}}', 0, max(end_ms) from sg group by 1""")
+def k16_measured_signals(spark, d):
+    _, _, s = recorded(spark, d)
+    runs = s.groupBy("run_id").agg(F.max("end_ms").alias("end_ms"))
+    spans = {"black": s.where("seg_idx % 5 = 1"), "silence": s.where("seg_idx % 7 = 3")}
+    series = {"motion_energy": s.select("run_id", F.col("start_ms").alias("t_ms"), (F.col("seg_idx") % 13).alias("v"))}
+    x = dc.measured_signals(runs, s.where("seg_idx % 2 = 0").select("run_id", F.col("start_ms").alias("at_ms")), spans, series)
+    return x.select("run_id", "feature_id", "name", "value", "start_ms", "end_ms")
