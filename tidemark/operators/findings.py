@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import ADVANCE, RECAP, REPLAY, edges
 from tidemark.operators.intervals import RUN, islands, overlap_ms, remap, to_bins, union
+from tidemark.operators.passes import batches  # noqa: F401 (part of this module's interface)
 from tidemark.operators.sequences import fold, novelty
 
 # Per feature how strong (or, for dead air, how many seconds long) a stretch must be for medium and for high severity, and

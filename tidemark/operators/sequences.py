@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_runs, content_words, upper_median, word_count
+from tidemark.functions.text import content_runs, content_words, word_count
+from tidemark.operators.passes import paragraphs  # noqa: F401 (part of this module's interface)
 
 RUN = "run_id"
 
