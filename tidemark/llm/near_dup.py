@@ -38,7 +38,7 @@ SMALL, ROUNDS = 32, 3
 #: Cells in which elements are counted for their order in the prefix-filter join.
 CELLS = 1 << 20
 #: Shingles that are signed at once in a task.
-CHUNK = 400_000
+CHUNK = 100_000
 
 _U = np.uint64
 
