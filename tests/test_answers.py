@@ -110,3 +110,24 @@ def test_scripts_have_no_speech_signals(spark, kind, names):
     d = spark.createDataFrame([(n, "speech") for n in ("hook", "filler_rate", "speech_rate")], "name string, modality string")
     out = policies.script_signals(d, kind).collect()
     assert [r.name for r in out] == names and {r.modality for r in out} == {"text" if kind == "script" else "speech"}
+
+
+def test_terms_before_their_definition_equal_a_scan(spark):
+    import re
+
+    from tidemark.operators import sentences
+
+    rng, words, rows = random.Random(2), ["grid", "grid-lock", "o'er", "flow", "flow state", "big-o"], []
+    for r in range(6):
+        for i in range(30):
+            t = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 6)))
+            rows.append((r, i, i * 1000, i * 1000 + 900, (f"It is called {rng.choice(words)} {rng.choice(words)}, really." if rng.random() < 0.3 else t).capitalize()))
+    d = spark.createDataFrame(rows, "run_id int, sent int, start_ms bigint, end_ms bigint, text string")
+    want = []
+    for x in d.select("run_id", "sent", F.explode(F.regexp_extract_all("text", F.lit(ft.edges(ft.DEFINITION)), F.lit(1))).alias("t")).collect():
+        term = x.t.lower().strip()
+        used = [k for r, k, _, _, t in rows if r == x.run_id and k < x.sent and re.search(rf"\b{term}\b", t.lower())]
+        if used and 2 <= len(term.split()) <= 4:
+            want.append((x.run_id, term, x.sent, min(used)))
+    got = sorted((x.run_id, x.term, x.explained, x.used) for x in sentences.term_dependencies(d).collect())
+    assert got == sorted(want) and len(got) > 10
