@@ -21,6 +21,7 @@ move the similarity of a pair by one element.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 64, 4
 SMALL, ROUNDS = 32, 3
 #: Cells in which elements are counted for their order in the prefix-filter join.
-CELLS = 1 << 20
+CELLS, BLOCKS = 1 << 20, 256
 #: Shingles that are signed at once in a task.
 CHUNK = 100_000
 
@@ -237,20 +238,29 @@ def prefix(e: np.ndarray, rarity: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def cell_counts(sets: DataFrame, rarity: Broadcast | None = None, similarity: float = SIMILARITY) -> Broadcast:
-    """How many elements of the sets (with a rarity, of their prefixes) fall into each of CELLS cells. Tasks count what they have; at most CELLS rows
-    reach the driver."""
+    """How many elements of the sets (with a rarity, of their prefixes) fall into each of CELLS cells. Tasks count what they have; their tables are added
+    up in BLOCKS pieces, and one table of CELLS numbers reaches the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(CELLS, np.int64)
         for batch in batches:
             for e in map(np.asarray, batch["elements"]):
                 np.add.at(sums, (e if rarity is None else prefix(e, rarity.value, similarity)) % CELLS, 1)
-        yield pd.DataFrame({"cell": np.flatnonzero(sums), "n": sums[sums > 0]})
-
-    found = sets.select("elements").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int32)
-    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
-    return sets.sparkSession.sparkContext.broadcast(counts)
+        pieces = sums.reshape(BLOCKS, -1)
+        used = np.flatnonzero(pieces.any(axis=1))
+        yield pd.DataFrame({"block": used, "counts": [zlib.compress(pieces[b].tobytes(), 1) for b in used]})
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(CELLS // BLOCKS, np.int64)
+        for raw in parts["counts"]:
+            total += np.frombuffer(zlib.decompress(raw), np.int64)
+        return pd.DataFrame({"block": parts["block"][:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    kind = "block bigint, counts binary"
+    counts = np.zeros((BLOCKS, CELLS // BLOCKS), np.int32)
+    for r in sets.select("elements").mapInPandas(count, kind).groupBy("block").applyInPandas(add, kind).collect():  # BLOCKS rows at most
+        counts[r.block] = np.minimum(np.frombuffer(zlib.decompress(r.counts), np.int64), 2**31 - 1)
+    return sets.sparkSession.sparkContext.broadcast(counts.ravel())
 
 
 def prefixes(each: DataFrame, rarity: Broadcast, wanted: Broadcast, similarity: float) -> DataFrame:
