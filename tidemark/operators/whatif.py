@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import risk, scoring
@@ -43,11 +43,16 @@ def bounds(bins: DataFrame, **assumed) -> DataFrame:
     )
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """x, not negative, rounded in doubles: F.round goes by the decimal text, so that 261.715 (just under it in binary) becomes 261.72."""
+    return F.floor(x * 10**digits + 0.5) / 10**digits
+
+
 def scenario_summary(bounded: DataFrame) -> DataFrame:
     """run_id, seconds, least and most watched seconds and share, end share, complete: the last bin's values."""
     last = bounded.groupBy(RUN).agg(F.max_by(F.struct("end_ms", "lower_end", "upper_end", "central_end", "lower_watched", "upper_watched"), "bin").alias("b"))
     s = F.col("b.end_ms") / 1000
-    return last.select(RUN, s.alias("seconds"), F.round("b.lower_watched", 2).alias("least_watched_s"), F.round("b.upper_watched", 2).alias("most_watched_s"), F.round(100 * F.col("b.lower_watched") / s, 2).alias("least_viewed_pct"), F.round(100 * F.col("b.upper_watched") / s, 2).alias("most_viewed_pct"), F.round(100 * F.col("b.lower_end"), 2).alias("least_end_pct"), F.round(100 * F.col("b.upper_end"), 2).alias("most_end_pct"), F.col("b.central_end").isNotNull().alias("complete"))
+    return last.select(RUN, s.alias("seconds"), half_up(F.col("b.lower_watched"), 2).alias("least_watched_s"), half_up(F.col("b.upper_watched"), 2).alias("most_watched_s"), half_up(100 * F.col("b.lower_watched") / s, 2).alias("least_viewed_pct"), half_up(100 * F.col("b.upper_watched") / s, 2).alias("most_viewed_pct"), half_up(100 * F.col("b.lower_end"), 2).alias("least_end_pct"), half_up(100 * F.col("b.upper_end"), 2).alias("most_end_pct"), F.col("b.central_end").isNotNull().alias("complete"))
 
 
 def scenarios(bins: DataFrame, assumptions: dict[str, dict]) -> DataFrame:

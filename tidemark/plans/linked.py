@@ -177,7 +177,7 @@ def m12_bounds(spark, d):
 @query(f"with {RISK}, {bounds_sql(0.7, 0.3, 0.5)} select * from sm")
 def m15_user_scenario(spark, d):
     x = whatif.scenarios(_bins(spark, d), {"user": {"at_30s": 0.7, "at_end": 0.3, "kappa": 0.5}})
-    return x.select("run_id", "seconds", "least_watched_s", "most_watched_s", F.round("least_viewed_pct", 1).alias("least_viewed_pct"), "most_end_pct", "complete")
+    return x.select("run_id", "seconds", "least_watched_s", "most_watched_s", whatif.half_up(F.col("least_viewed_pct"), 1).alias("least_viewed_pct"), "most_end_pct", "complete")
 
 
 @query()
