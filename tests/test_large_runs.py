@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tests import oracle
 from tidemark.operators import sentences as st
-from tidemark.plans.registry import QUERIES, SQL
+from tidemark.operators import whatif
+from tidemark.plans.catalogue import QUERIES, SQL
 
 
 def over(spark, tmp_path, name, **tables):
@@ -23,3 +24,28 @@ def test_concreteness_rounds_in_doubles(spark):
     text = " ".join(f"{k} zz" for k in range(9)) + " zz" * 62
     x = st.concreteness(spark.createDataFrame([(1, 0, 0, 1000, text, False)], "run_id long, sent long, start_ms long, end_ms long, text string, punctuated boolean"))
     assert x.select("markers", F.col("score").cast("string")).collect() == [(9, "0.68")]
+
+
+def test_summary_rounds_in_doubles(spark):
+    kind = "run_id long, bin long, end_ms long, lower_end double, upper_end double, central_end double, lower_watched double, upper_watched double"
+    x = whatif.scenario_summary(spark.createDataFrame([(1, 60, 610_000, 0.2, 0.3, None, 261.715, 295.65)], kind)).collect()[0]
+    assert (x.least_watched_s, x.most_watched_s, x.complete) == (261.71, 295.65, False)
+
+
+def long_documents():
+    return [{"doc_id": i, "text": "\n".join(["Line of words."] * 500), "lang": "en", "source": "a", "n_chars": 1} for i in range(1, 5)]
+
+
+def test_promises_of_long_runs(spark, tmp_path):
+    got, want = over(spark, tmp_path, "k13_promises", documents=long_documents())
+    assert got == want
+
+
+def test_structure_signals_of_long_runs(spark, tmp_path):
+    got, want = over(spark, tmp_path, "k14_structure_signals", documents=long_documents())
+    assert got == want
+
+
+def test_chapters_of_long_runs(spark, tmp_path):
+    got, want = over(spark, tmp_path, "k11_chapters", documents=long_documents())
+    assert got == want

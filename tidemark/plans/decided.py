@@ -10,17 +10,19 @@ from tidemark.plans.inputs import ISS, TALK, issues, talk
 from tidemark.plans.registry import query
 
 KINDS = list(dc.SPAN_FEATURES)
+#: Chunks that no run has, however long.
+GONE = 2**31 - 2
 LEDGER = "struct<obligation:int,status:string,setup:array<int>,partial:array<int>,fulfilled:array<int>>"
 
 
-def recorded(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """answers, chunks, segments."""
+def recorded(spark, d, far: int = 98) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """answers, chunks, segments. The last chapter has the chunks far and far + 1, which only long runs have, if any."""
     s = talk(spark, d).withColumn("chunk", F.floor(F.col("seg_idx") / 5).cast("int"))
     chunks = s.groupBy("run_id", "chunk").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     run, lit = F.col("run_id"), F.lit
     ints = lambda *v: F.array(*[lit(x) for x in v]).cast("array<int>")
     entry = lambda i, st, *a: F.struct(lit(i).alias("obligation"), lit(st).alias("status"), *[ints(*x).alias(n) for n, x in zip(("setup", "partial", "fulfilled"), a, strict=True)]).cast(LEDGER)
-    led = lambda i: F.when((run + i) % 4 == 1, entry(i, "fulfilled", [0], [2], [3])).when((run + i) % 4 == 2, entry(i, "partial", [], [4, 2], [])).when((run + i) % 4 == 3, entry(i, "fulfilled", [1], [], [99]))
+    led = lambda i: F.when((run + i) % 4 == 1, entry(i, "fulfilled", [0], [2], [3])).when((run + i) % 4 == 2, entry(i, "partial", [], [4, 2], [])).when((run + i) % 4 == 3, entry(i, "fulfilled", [1], [], [GONE]))
     # Part of what one line says; lines of one word have no quote.
     part = F.substring("text", 3, 20)
     head = s.groupBy("run_id").agg(F.max(F.when(F.col("seg_idx") == 1, part)).alias("second"))
@@ -30,7 +32,7 @@ def recorded(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     answer = F.struct(
         F.struct(F.when(run % 4 == 0, "none").otherwise("cold_open").alias("kind"), lit(0).alias("chunk"), F.when(run % 3 != 0, F.col("second")).otherwise("never said so").alias("quote")).alias("hook"), lit(1).alias("first_substance_chunk"),
         F.array(*[F.struct(lit(f"promise {i}").alias("obligation"), lit(f"title {i}").alias("title_quote")) for i in range(3)]).alias("obligations"), F.array_compact(F.array(led(0), led(1), led(2))).alias("ledger"),
-        F.array(chapter(0, 1), chapter(2, 4), chapter(98, 99)).alias("chapters"), "spans",
+        F.array(chapter(0, 1), chapter(2, 4), chapter(far, far + 1)).alias("chapters"), "spans",
     )
     return head.join(spans, "run_id").select("run_id", answer.alias("answer")), chunks, s
 
@@ -133,7 +135,7 @@ def k17_key_signals(spark, d):
 
 
 def _signals(spark, d) -> DataFrame:
-    answers, chunks, segments = recorded(spark, d)
+    answers, chunks, segments = recorded(spark, d, GONE)
     rates = chunks.select("run_id", "start_ms", "end_ms", (100 + F.col("chunk") % 50).alias("wpm"), F.when(F.col("chunk") % 3 == 0, "word").otherwise("segment").alias("precision"))
     return dc.structure_signals(dc.structure(answers, chunks, segments), dc.chapters(answers, chunks), dc.spans(answers, chunks, segments), rates)
 
