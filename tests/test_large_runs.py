@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from tests import oracle
+from tidemark.operators import links, whatif
 from tidemark.operators import sentences as st
-from tidemark.operators import whatif
 from tidemark.plans.catalogue import QUERIES, SQL
 
 
@@ -49,3 +49,36 @@ def test_structure_signals_of_long_runs(spark, tmp_path):
 def test_chapters_of_long_runs(spark, tmp_path):
     got, want = over(spark, tmp_path, "k11_chapters", documents=long_documents())
     assert got == want
+
+
+def spread(df) -> list[str]:
+    """What the explode steps of a plan put out: the names of the columns that each of their rows carries."""
+    found, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate" and "explode" in node.generator().toString():
+            found += [node.output().apply(i).name() for i in range(node.output().size())]
+    return found
+
+
+def test_quotes_spread_no_texts(spark):
+    q = spark.createDataFrame([(1, 0, "said a lot here"), (1, 1, "lot he"), (1, 2, "x"), (1, 3, "end and then"), (1, 4, " "), (2, 0, "lot")], "run_id int, quote_id int, quote string")
+    s = spark.createDataFrame([(1, 0, "We said  a LOT here"), (1, 1, "the end"), (1, 2, "and then x"), (1, 3, None)], "run_id int, seg_idx int, text string")
+    spoken = links.spoken_quotes(q, s)
+    assert {(r.run_id, r.quote_id): (r.seg_idx, r.across) for r in spoken.collect()} == {(1, 0): (0, False), (1, 1): (0, False), (1, 2): (2, False), (1, 3): (1, True), (1, 4): (None, False), (2, 0): (None, False)}
+    assert not {"_t", "_two", "text"} & set(spread(spoken) + spread(links.exact_quotes(q, s)))
+
+
+def test_located_quotes_spread_no_texts(spark):
+    q = spark.createDataFrame([(1, 0, 5, "seven words were spoken about the river"), (1, 1, 1, "seven words were spoken about the river"), (1, 2, 9, "river boats")], "run_id int, quote_id int, passage int, quote string")
+    p = spark.createDataFrame([(1, 0, "seven words were spoken about the river"), (1, 1, "other things"), (1, 2, "river"), (1, 3, "the river boats")], "run_id int, passage int, text string")
+    x = links.located_quotes(q, p)
+    assert {r.quote_id: (r.at_passage, r.ratio) for r in x.collect()} == {0: (0, 1.0), 1: (0, 1.0), 2: (3, 1.0)}
+    assert "text" not in spread(x)
+
+
+def test_terms_spread_no_texts(spark):
+    x = st.term_dependencies(spark.createDataFrame([(1, 0, 0, 1, "A neural net helps", True), (1, 1, 1, 2, "This is a neural net, you see.", True)], "run_id int, sent int, start_ms int, end_ms int, text string, punctuated boolean"))
+    assert [(r.term, r.explained, r.used) for r in x.collect()] == [("neural net", 1, 0)]
+    assert not {"_low", "text"} & set(spread(x))
