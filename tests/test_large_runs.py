@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests import oracle
-from tidemark.operators import links, whatif
+from tidemark.operators import links, scoring, signals, whatif
 from tidemark.operators import sentences as st
 from tidemark.plans.catalogue import QUERIES, SQL
 
@@ -82,3 +82,38 @@ def test_terms_spread_no_texts(spark):
     x = st.term_dependencies(spark.createDataFrame([(1, 0, 0, 1, "A neural net helps", True), (1, 1, 1, 2, "This is a neural net, you see.", True)], "run_id int, sent int, start_ms int, end_ms int, text string, punctuated boolean"))
     assert [(r.term, r.explained, r.used) for r in x.collect()] == [("neural net", 1, 0)]
     assert not {"_low", "text"} & set(spread(x))
+
+
+def test_novelty_lists_no_words_per_stretch(spark):
+    runs = spark.createDataFrame([(1, 60_000), (2, 60_000)], "run_id int, duration_ms long")
+    lines = ["alpha beta gamma", "beta delta gamma", "alpha epsilon", "zeta beta", "alpha alpha eta"]
+    # The second run has a long segment that outlasts the one after it: its stretches skip numbers.
+    rows = [(1, i, i * 4000, i * 4000 + 4000, x) for i, x in enumerate(lines)] + [(2, i, i * 4000, 40_000 if i == 1 else i * 4000 + 4000, x) for i, x in enumerate(lines)]
+    x = signals.window_novelty(runs, spark.createDataFrame(rows, "run_id int, seg_idx int, start_ms long, end_ms long, text string"), 1)
+    words = {(r, i): set(x.split()) for r, i, _, _, x in rows}
+    want = {}
+    for r, t in ((r, t) for r in (1, 2) for t in range(60)):
+        segs = [i for q, i, a, b, _ in rows if q == r and b > t * 1000 - 10_000 and a < t * 1000 + 10_000]
+        said = set().union(*[words[r, i] for i in segs])
+        if said:
+            want[r, t] = round(len(said - set().union(*[words[r, i] for i in range(segs[0])])) / len(said), 9)
+    assert {(r.run_id, r.t): round(r.novelty, 9) for r in x.collect()} == want
+    # Stretches are spread as ranges of segments.
+    assert "lo" in spread(x)
+
+
+def test_endings_are_laid_out_once(spark):
+    runs = spark.createDataFrame([(1, 100_000)], "run_id int, duration_ms long")
+    s = spark.createDataFrame([(1, "outro", k * 1000 + 500, k * 1000 + 900) for k in range(90)] + [(1, "cta", 2000, 3000), (1, "sponsor", 90_000, 91_000)], "run_id int, kind string, start_ms long, end_ms long")
+    got = {(r.feature, r.t): r.value for r in signals.interruptions(runs, s).collect()}
+    assert got == {("cta_or_sponsor", 2): 1.0} | {("outro", t): 0.5 if t == 0 else 1.0 for t in range(100)}
+    ends = signals.interruptions(runs, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(start_ms" in ends
+
+
+def test_curve_is_dealt_out(spark):
+    """Adaptive execution joins small parts to one, but not those dealt by number."""
+    runs = spark.createDataFrame([(k, 60_000) for k in range(50)], "run_id int, duration_ms long")
+    f = spark.createDataFrame([(k, 5, "dead_air", 1.0) for k in range(50)], "run_id int, t int, feature string, value double")
+    x = scoring.curve(runs, f)
+    assert x.count() == 3000 and x._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 4

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import RUN
+from tidemark.operators.intervals import RUN, dealt
 from tidemark.operators.sequences import spaced_top
 
 # Log-hazard weights of features by cause group (in order), and of protective features.
@@ -55,6 +55,7 @@ def baseline(t: Column, length: Column, a: Assumptions) -> Column:
 
 def weigh(features: DataFrame) -> DataFrame:
     """run_id, t, feature, part, place: each cause group's strongest feature; where a second has none, its strongest protective one, capped."""
+    features = dealt(features, RUN, "t")
     rows = [(f, w, g, i) for i, (g, fs) in enumerate(GROUPS.items()) for f, w in fs.items()] + [(f, w, "protective", 99) for f, w in PROTECTIVE.items()]
     dim = features.sparkSession.createDataFrame([(f, w, g, i, j) for j, (f, w, g, i) in enumerate(rows)], "feature string, weight double, cause string, place int, nth int")
     x = features.join(F.broadcast(dim), "feature").withColumn("part", F.col("weight") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value")))).where("part != 0")
@@ -75,10 +76,11 @@ def curve(runs: DataFrame, features: DataFrame, a: Assumptions = Assumptions(),
     """
     if a.problems():
         raise ValueError("; ".join(a.problems()))
-    r = runs.where("duration_ms >= 10000").select(RUN, (F.col("duration_ms") / 1000).alias("length_s"))
+    r = dealt(runs.where("duration_ms >= 10000").select(RUN, (F.col("duration_ms") / 1000).alias("length_s")), RUN)
     s = r.select(RUN, "length_s", F.explode(F.sequence(F.lit(0), F.ceil("length_s").cast("int") - 1)).alias("t"))
     parts = weigh(features).groupBy(RUN, "t").agg(F.sum("part").alias("lp"))
-    x = s.join(parts, [RUN, "t"], "left").withColumn("dt", F.least(F.lit(1.0), F.col("length_s") - F.col("t")))
+    x = dealt(s, RUN, "t").join(parts, [RUN, "t"], "left")
+    x = dealt(x, RUN).withColumn("dt", F.least(F.lit(1.0), F.col("length_s") - F.col("t")))
     t = F.col("t").cast("double")
     x = x.withColumn("h0", (baseline(t + F.col("dt"), F.col("length_s"), a) - baseline(t, F.col("length_s"), a)) / F.col("dt"))
     x = x.withColumn("h", F.col("h0") * F.exp(F.coalesce("lp", F.lit(0.0)) * scale))
