@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_runs, word_count
-from tidemark.operators.intervals import RUN, overlap_join, to_bins
+from tidemark.operators.intervals import RUN, dealt, overlap_join, to_bins
 
 # Statuses that end a job, the least length of scripts (words, seconds) and the range of recordings (seconds).
 ENDED = ("complete", "partial", "failed", "cancelled")
@@ -192,13 +192,21 @@ def sampling_plan(runs: DataFrame, frames: DataFrame, cuts: DataFrame, most: int
 
     frames and cuts: run_id, at_ms. One sort per run finds the frames on either side.
     """
-    ticks = runs.select(RUN, F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(1), F.ceil(F.col("duration_ms") / 1000)) - 1)).alias("t")).select(RUN, (F.col("t") * 1000).alias("at_ms"), F.lit("grid").alias("why"))
-    both = frames.select(RUN, "at_ms", F.lit(None).cast("string").alias("why")).unionByName(ticks).unionByName(cuts.select(RUN, "at_ms", F.lit("cut").alias("why")))
-    shown = F.when(F.col("why").isNull(), F.col("at_ms"))
-    w = Window.partitionBy(RUN).orderBy("at_ms")
-    x = both.withColumns({"_at": F.max(shown).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_before": F.max(shown).over(w.rangeBetween(Window.unboundedPreceding, -1)), "_after": F.min(shown).over(w.rangeBetween(0, Window.unboundedFollowing))}).where("why is not null")
-    picks = F.when(F.col("why") == "grid", F.array(F.struct(F.col("_at").alias("at_ms"), F.lit(2).alias("p"), F.lit("grid").alias("why")))).otherwise(F.array(F.struct(F.col("_before").alias("at_ms"), F.lit(1).alias("p"), F.lit("before cut").alias("why")), F.struct(F.col("_after").alias("at_ms"), F.lit(0).alias("p"), F.lit("after cut").alias("why"))))
-    x = x.select(RUN, F.inline(picks)).where("at_ms is not null").groupBy(RUN, "at_ms").agg(F.min("p").alias("p"), F.array_sort(F.collect_set("why")).alias("reasons"))
+    ticks = runs.select(RUN, F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(1), F.ceil(F.col("duration_ms") / 1000)) - 1)).alias("t"))
+    # At one time a cut stands before the frame, a second behind it: rows before and after are then what the cut and the second ask for.
+    both = cuts.select(RUN, "at_ms", F.lit(0).alias("side")).unionByName(frames.select(RUN, "at_ms", F.lit(1).alias("side"))).unionByName(ticks.select(RUN, (F.col("t") * 1000).alias("at_ms"), F.lit(2).alias("side")))
+    both = dealt(both, RUN, times=4).withColumn("shown", F.when(F.col("side") == 1, F.col("at_ms")))
+    before = F.last("shown", ignorenulls=True).over(Window.partitionBy(RUN).orderBy("at_ms", "side").rowsBetween(Window.unboundedPreceding, 0))
+    # Spark scans a frame up to the partition's end anew for each row; lead() goes on from row to row.
+    after = F.expr(f"lead(shown) ignore nulls over (partition by {RUN} order by at_ms, side)")
+    x = both.withColumns({"_before": before, "_after": after}).where("side <> 1")
+    grid = F.col("side") == 2
+    picks = F.array(F.struct(F.col("_before").alias("at_ms"), F.when(grid, 2).otherwise(1).alias("p")), F.struct(F.when(~grid, F.col("_after")).alias("at_ms"), F.lit(0).alias("p")))
+    is_ = lambda p: F.max(F.col("p") == p)
+    x = x.select(RUN, F.inline(picks)).where("at_ms is not null").groupBy(RUN, "at_ms").agg(F.min("p").alias("p"), is_(0).alias("_0"), is_(1).alias("_1"), is_(2).alias("_2"))
+    x = x.withColumn("reasons", F.array_compact(F.array(*[F.when(F.col(f"_{p}"), F.lit(why)) for p, why in enumerate(("after cut", "before cut", "grid"))]))).drop("_0", "_1", "_2")
+    if most >= 2**31 - 1:
+        return x.drop("p")
     return x.withColumn("_k", F.row_number().over(Window.partitionBy(RUN).orderBy("p", "at_ms"))).where(F.col("_k") <= most).drop("_k", "p")
 
 
@@ -206,20 +214,22 @@ def snapped(spans: DataFrame, words: DataFrame, reach_ms: int = 15_000) -> DataF
     """spans (run_id, span, start_ms, end_ms) moved to sentence ends by word times (run_id, start_ms, end_ms, text): the start back to the word
     after the sentence end before it, the end on to the next sentence end within reach_ms, or back to the last word inside. Spans of runs
     without words stay."""
-    w = Window.partitionBy(RUN).orderBy("start_ms", "end_ms")
     ends = F.rtrim(F.regexp_replace("text", r"[\"')”]+$", "")).rlike(r"[.?!]$")
     t = words.where("start_ms is not null").select(RUN, F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), ends.alias("e"))
-    o = Window.partitionBy(RUN).orderBy("a", "b")
-    new = F.coalesce(F.lag("e").over(o), F.lit(True))
-    # Of each word the start of its sentence.
-    t = t.withColumn("s", F.last(F.when(new, F.col("a")), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)))
     none = lambda k, n: F.lit(None).cast(k).alias(n)
-    ask = lambda c, side: spans.select(RUN, F.col(c).alias("a"), none("bigint", "b"), none("boolean", "e"), none("bigint", "s"), "span", F.lit(side).alias("side"))
-    both = t.select(RUN, "a", "b", "e", "s", none(dict(spans.dtypes)["span"], "span"), none("string", "side")).unionByName(ask("start_ms", "start")).unionByName(ask("end_ms", "end"))
-    word = F.when(F.col("side").isNull(), F.struct("a", "b", "e", "s"))
-    v = Window.partitionBy(RUN).orderBy("a")
-    stop = F.when(F.col("side").isNull() & F.col("e"), F.struct("a", "b"))
-    x = both.withColumns({"prev": F.last(word, ignorenulls=True).over(v.rangeBetween(Window.unboundedPreceding, -1)), "next": F.first(word, ignorenulls=True).over(v.rangeBetween(0, Window.unboundedFollowing)), "stop": F.first(stop, ignorenulls=True).over(v.rangeBetween(0, Window.unboundedFollowing))}).where("side is not null")
+    ask = lambda c, side: spans.select(RUN, F.col(c).alias("a"), none("bigint", "b"), none("boolean", "e"), "span", F.lit(side).alias("side"))
+    both = t.select(RUN, "a", "b", "e", none(dict(spans.dtypes)["span"], "span"), none("string", "side")).unionByName(ask("start_ms", "start")).unionByName(ask("end_ms", "end"))
+    # An asked time stands before the words of that time, so one sort serves all.
+    both = dealt(both, RUN, times=4).withColumn("at", F.when(F.col("side").isNull(), 1).otherwise(0))
+    o = Window.partitionBy(RUN).orderBy("a", "at", "b")
+    upto, is_word = o.rowsBetween(Window.unboundedPreceding, 0), F.col("side").isNull()
+    new = is_word & F.coalesce(F.last("e", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    # Of each word the start of its sentence.
+    both = both.withColumn("new", new).withColumn("s", F.last(F.when(F.col("new"), F.col("a")), ignorenulls=True).over(upto))
+    both = both.withColumns({"word": F.when(is_word, F.struct("a", "b", "e", "s")), "ended": F.when(is_word & F.col("e"), F.struct("a", "b"))})
+    # Spark scans a frame up to the partition's end anew for each row; lead() goes on from row to row.
+    later = lambda c: F.expr(f"lead({c}) ignore nulls over (partition by {RUN} order by a, at, b)")
+    x = both.withColumns({"prev": F.last("word", ignorenulls=True).over(upto), "next": later("word"), "stop": later("ended")}).where("side is not null")
     one = lambda side: x.where(F.col("side") == side).select(RUN, "span", F.col("prev").alias(f"p_{side}"), F.col("next").alias(f"n_{side}"), F.col("stop").alias(f"e_{side}"))
     y = spans.join(one("start"), [RUN, "span"]).join(one("end"), [RUN, "span"])
     start = F.when(F.col("p_start").isNotNull() & ~F.col("p_start.e"), F.col("p_start.s")).when(F.col("n_start").isNotNull(), F.col("n_start.a")).otherwise(F.col("start_ms"))
