@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests import oracle
-from tidemark.operators import links, scoring, selects, signals, whatif
+from tidemark.operators import contracts, links, scoring, selects, signals, whatif
 from tidemark.operators import sentences as st
 from tidemark.plans.catalogue import QUERIES, SQL
 
@@ -161,3 +161,14 @@ def test_snapping_goes_once_over_a_run(spark):
         want[k] = (y0, last[0][1] if inside and last[0][2] == "end." else stops[0] if inside and stops and stops[0] - b <= 15_000 else b)
     assert {r.span: (r.start_ms, r.end_ms) for r in x.collect()} == want
     assert frames_to_the_end(x) == 0
+
+
+def test_shortenings_spread_no_texts(spark, tmp_path):
+    """Quotes that end within their fourth word count as held, too."""
+    long = "abcdefghijklmnopqrstuvw bcdefghijklmnopqrstuvwx cdefghij defghijkl"
+    say = [long, "short", long, "one two three four five six", "nothing of that kind is here", "one two three four five six", None]
+    got, want = over(spark, tmp_path, "d23_shortenings", conversations=[{"conv_id": 1, "turn": i, "role": "user", "text": x} for i, x in enumerate(say)])
+    assert got == want
+    d = spark.createDataFrame([(1, 2, 20, "a b c d e", "x", "x y")], "run_id int, passage int, start_ms int, quote string, draft string, original string")
+    x = contracts.shortening_problems(d, spark.createDataFrame([(1, 0, "so a b c d e f"), (1, 30, "a b c d e")], "run_id int, start_ms int, text string"))
+    assert x.count() == 0 and not {"_t", "text"} & set(spread(x))

@@ -132,18 +132,23 @@ def routed(choices: DataFrame, least: float = CONFIDENCE) -> DataFrame:
 def shortening_problems(drafts: DataFrame, passages: DataFrame, words: int = SHARED_WORDS) -> DataFrame:
     """Drafts (run_id, passage, start_ms, quote, draft, original) without an earlier passage that holds a quote of `words` words, or not shorter.
 
-    The quote's first words find candidate passages by an equi-join on the run and those words; then the whole quote is compared.
+    A passage that holds a quote has the words inside the quote's first and last one as they are. Passages and quotes of a run meet on hashes of up to
+    four of these; texts join the pairs of different texts once, to be compared whole. words is 4 at least.
     """
-    lead = lambda c: F.array_join(F.slice(F.split(plain(c), " "), 1, words), " ")
-    toks = F.split(plain(F.col("text")), " ")
-    n = F.greatest(F.size(toks) - words + 1, F.lit(0))
-    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, words), " "))).otherwise(F.array().cast("array<string>"))
-    said = passages.select(RUN, F.col("start_ms").alias("_s"), plain(F.col("text")).alias("_t"), F.explode(F.array_distinct(grams)).alias("_lead"))
-    d = drafts.withColumns({"_lead": lead(F.col("quote")), "_q": plain(F.col("quote"))})
-    held = d.join(said, [RUN, "_lead"]).where((F.col("_s") < F.col("start_ms")) & F.contains("_t", F.col("_q"))).select(RUN, "passage").distinct().withColumn("_held", F.lit(True))
-    x = d.join(held, [RUN, "passage"], "left")
-    rules = {"earlier support": (word_count(F.col("quote")) < words) | F.col("_held").isNull(), "shorter": word_count(F.col("draft")) >= word_count(F.col("original"))}
-    broken = F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]), lambda r: r.isNotNull())
+    gram = lambda toks, at, n: F.xxhash64(F.array_join(F.slice(toks, at, n), " "))
+    texts = passages.select(RUN, F.col("start_ms").alias("_s"), plain(F.col("text")).alias("_t")).where("_t is not null").groupBy(RUN, F.unhex(F.sha2("_t", 256)).alias("_text")).agg(F.min("_s").alias("_s"), F.first("_t").alias("_t"))
+    grams = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: gram(F.col("_w"), i, F.lit(n)))).otherwise(F.array().cast("array<bigint>"))
+    said = texts.withColumn("_w", F.split("_t", " ")).select(RUN, "_text", "_s", F.explode(F.array_distinct(F.concat(*[grams(n) for n in (2, 3, 4)]))).alias("_gram"))
+    rules = {"shorter": word_count(F.col("draft")) >= word_count(F.col("original")), "few": word_count(F.col("quote")) < words}
+    d = drafts.select(RUN, "passage", "start_ms", *[c.alias(n) for n, c in rules.items()], F.when(~rules["few"], plain(F.col("quote"))).alias("_q")).withColumn("_quote", F.unhex(F.sha2("_q", 256)))
+    quotes = d.where("_q is not null").groupBy(RUN, "_quote").agg(F.first("_q").alias("_q"), F.max("start_ms").alias("_last")).withColumn("_w", F.split("_q", " "))
+    asked = quotes.select(RUN, "_quote", "_last", gram(F.col("_w"), F.lit(2), F.least(F.lit(4), F.size("_w") - 2)).alias("_gram"))
+    # Sizes are guessed from packed files and shuffles, so what is small there is not sent to all tasks.
+    pairs = asked.join(said.hint("merge"), [RUN, "_gram"]).where("_s < _last").select(RUN, "_quote", "_text", "_s")
+    held = pairs.join(quotes.select(RUN, "_quote", "_q").hint("merge"), [RUN, "_quote"]).join(texts.select(RUN, "_text", "_t").hint("merge"), [RUN, "_text"]).where(F.contains("_t", F.col("_q"))).groupBy(RUN, "_quote").agg(F.min("_s").alias("_s"))
+    x = d.drop("_q").join(held.hint("merge"), [RUN, "_quote"], "left")
+    supported = ~F.col("few") & F.coalesce(F.col("_s") < F.col("start_ms"), F.lit(False))
+    broken = F.array_compact(F.array(F.when(~supported, F.lit("earlier support")), F.when(F.col("shorter"), F.lit("shorter"))))
     return x.select(RUN, F.lit("drafts").alias("table"), F.explode(broken).alias("rule"), F.col("passage").cast("string").alias("row_key"))
 
 
