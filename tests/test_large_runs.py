@@ -8,6 +8,7 @@ from tests import oracle
 from tidemark.operators import contracts, links, scoring, selects, signals, whatif
 from tidemark.operators import sentences as st
 from tidemark.plans.catalogue import QUERIES, SQL
+from tidemark.sources.working import written
 
 
 def over(spark, tmp_path, name, **tables):
@@ -172,3 +173,16 @@ def test_shortenings_spread_no_texts(spark, tmp_path):
     d = spark.createDataFrame([(1, 2, 20, "a b c d e", "x", "x y")], "run_id int, passage int, start_ms int, quote string, draft string, original string")
     x = contracts.shortening_problems(d, spark.createDataFrame([(1, 0, "so a b c d e f"), (1, 30, "a b c d e")], "run_id int, start_ms int, text string"))
     assert x.count() == 0 and not {"_t", "text"} & set(spread(x))
+
+
+def test_tables_of_seconds_are_not_broadcast(spark):
+    """Packed they look small; written features are planned by their files' sizes."""
+    data = lambda rows, cols: written(spark.createDataFrame(rows, cols), "test")
+    runs = data([(1, 60_000)], "run_id int, duration_ms long")
+    loud = data([(1, t * 1000, -20.0 - 15 * (t >= 40)) for t in range(60)], "run_id int, t_ms long, lufs double")
+    level = signals.levels(runs, loud, data([(1, 0, 60_000)], "run_id int, start_ms long, end_ms long"))
+    x = signals.loudness_drop(level, data([(1, 41)], "run_id int, t int"))
+    assert sorted(r.t for r in x.collect()) == [42, 43, 44] and "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
+    local = data([(1, t, 150.0, 140.0) for t in range(60)], "run_id int, t int, wpm double, usual double")
+    y = signals.micro_variation(runs, local, loud, data([(1, 5000), (1, 30_000)], "run_id int, at_ms long"))
+    assert y.count() > 0 and frames_to_the_end(y) == 0
