@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests import oracle
-from tidemark.operators import contracts, links, scoring, selects, signals, whatif
+from tidemark.operators import contracts, links, scoring, selects, signals, whatif, wording
 from tidemark.operators import sentences as st
 from tidemark.plans.catalogue import QUERIES, SQL
 from tidemark.sources.working import written
@@ -186,3 +186,11 @@ def test_tables_of_seconds_are_not_broadcast(spark):
     local = data([(1, t, 150.0, 140.0) for t in range(60)], "run_id int, t int, wpm double, usual double")
     y = signals.micro_variation(runs, local, loud, data([(1, 5000), (1, 30_000)], "run_id int, at_ms long"))
     assert y.count() > 0 and frames_to_the_end(y) == 0
+
+
+def test_spans_go_once_over_a_run(spark):
+    script = [(1, k, "ok" if k not in (3, 5, 9) else "sub", k, k, f"r{k}", k * 10, f"h{k}", k * 10) for k in range(12)]
+    d = spark.createDataFrame(script, "run_id int, k int, op string, i int, j int, ref_word string, ref_ms int, hyp_word string, hyp_ms int")
+    x = wording.spans(d.withColumn("t_ms", F.col("ref_ms")))
+    assert sorted((r.t_ms, r.reference, r.ours) for r in x.collect()) == [(30, "r3 r4 r5", "h3 h4 h5"), (90, "r9", "h9")]
+    assert frames_to_the_end(x) == 0
