@@ -7,6 +7,7 @@ import zipfile
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,15 @@ def test_places_of_phrases_and_notices_in_one_text():
     assert out["n_base"] == 301 and (out["first_word"], out["last_word"]) == (1, at(["all", "rights", "reserved"])[0])
     mit = [s for s in out["spans"] if s["label"] == "mit"]
     assert [s["start"] for s in sorted(mit, key=lambda s: s["start"])] == at(["released", "under", "teh"]) and {s["end"] - s["start"] for s in mit} == {5}
+
+
+def test_tokens_without_evidence_are_not_decoded(monkeypatch):
+    rng = random.Random(5)
+    grams = {k: (np.array([ord(c) for c in "abdilost"]), np.full(8, 9)) for k in ("one", "heads")} | {k: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for k in ("three", "two", "pairs")}
+    reader = toxicity.Reader(toxicity.CharModel(grams), {"=idiot": 0.9, "=ass": 0.8, "=b": 0.7, "stoo": 0.6, "lost": 0.5})
+    tokens = {"".join(rng.choice("abdiloosst1!@.ßI") for _ in range(rng.randrange(1, 9))) for _ in range(20_000)} | {"idiiot", "asss!", "(bb,", "stool", "Stoool", "LLoosst"}
+    silent = {t for t in tokens if reader.silent(t)}
+    assert len(silent) > 1000 and not any(reader.best(toxicity.restore(reader.model, t)) for t in silent)
+    assert all(reader.evidence(t) for t in ("idiiot", "stool", "bb,"))
+    monkeypatch.setattr(toxicity, "restore", lambda *_: 1 / 0)
+    assert toxicity.Reader(reader.model, reader.weight).evidence("Total doom, cool: dull") == {}

@@ -129,6 +129,7 @@ def viterbi(model: CharModel, token: str, breaks: bool = False, whole: bool = Fa
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡–—"
 _EDGE_NO_LEET = "".join(c for c in _EDGE if c not in LEET)
 _DOUBLE = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+")
 
 
 def restore(model: CharModel, token: str) -> tuple[str, ...]:
@@ -165,6 +166,9 @@ class Reader:
     def __init__(self, model: CharModel, weight: dict[str, float] | None = None, most: int = 50_000) -> None:
         self.model, self.most = model, most
         self.weight = weight or {}
+        # The first four letters of every word that can have evidence, and these with their runs of a letter as one.
+        self.heads = {h for f in self.weight for h in ({f[1:5], f[:4]} if f.startswith("=") else {f[:4]})}
+        self.squeezed = {_RUN.sub(r"\1", h) for h in self.heads}
         self.known: dict[str, tuple[str, ...]] = {}
         self.seen: set[str] = set()
         self.telling: dict[str, tuple[tuple[str, ...], float]] = {}
@@ -198,6 +202,19 @@ class Reader:
     def best(self, words: tuple[str, ...]) -> float:
         return max((self.weight.get(f, 0.0) for f in features(words)), default=0.0)
 
+    def silent(self, token: str) -> bool:
+        """Whether a token of letters, whose readings differ in the lengths of their runs only, has no evidence: none begins like a word that has."""
+        low = token.lower()
+        word = low.rstrip(_EDGE)
+        if not word.isalpha():
+            return False
+        if _DOUBLE.search(word) is None:
+            return word[:4] not in self.heads
+        if low[len(word) : len(word) + 1] in LEET:
+            return False
+        short = _RUN.sub(r"\1", word)
+        return not any(short[:k] in self.squeezed for k in range(1, 5))
+
     def evidence(self, text: str | None) -> dict[tuple[str, ...], float]:
         """The text's distinct restored words with evidence, and how strong it is."""
         raw = (text or "").split()
@@ -206,6 +223,8 @@ class Reader:
             self.telling.clear()
         own = set(raw)
         for t in own - self.seen:
+            if self.silent(t):
+                continue
             words = restore(self.model, t)
             if x := self.best(words):
                 self.telling[t] = (words, x)
