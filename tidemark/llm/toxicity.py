@@ -22,16 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyarrow import parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, held_out, materialise
+from tidemark.llm.common import free_name, held_out, materialise, new_folder
 
 #: Bound on labelled rows that are learned from (a sample by hash). All their features are tested, and all that pass are kept.
 SAMPLE = 16_000
-#: Most entries of a table of character counts that is sent to the tasks (16 bytes each). Beyond it the rarest entries are read by the shorter
-#: contexts, which count them all.
-ENTRIES = 4_000_000
+#: Most entries of a table of character counts that is sent to the tasks (16 bytes each). The rarer ones beyond it are written to the shared
+#: folder in buckets of about BUCKET entries, of which a process holds BUCKETS at a time.
+ENTRIES, BUCKET, BUCKETS = 4_000_000, 250_000, 16
 THRESHOLD = 0.3
 #: Least share of toxic documents among those with a word, or a beginning of words, for it to be evidence.
 PRECISION, PRECISION_PART = 0.7, 0.9
@@ -47,24 +50,58 @@ READ, DROP_LEET, DROP, STAR, DROP_SECOND, DROP_LATER, BREAK = 0.7, 7.0, 0.3, 1.2
 _BITS = 21  # of a code point
 
 
+def _find(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
+    keys, n = table
+    at = int(keys.searchsorted(key))
+    return int(n[at]) if at < len(keys) and keys[at] == key else 0
+
+
+@dataclass
+class Rest:
+    """The entries of a table that are not sent to the tasks: a folder by bucket, read as they are asked for. total: of their counts."""
+
+    folder: str
+    buckets: int
+    total: int
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def count(self, key: int) -> int:
+        b = key % self.buckets
+        if (table := self.held.pop(b, None)) is None:
+            store, root = arrow_fs.FileSystem.from_uri(f"{self.folder}/bucket={b}")
+            t = parquet.read_table(root, filesystem=store, columns=["key", "n"], partitioning=None) if store.get_file_info(root).type == arrow_fs.FileType.Directory else None
+            table = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if t is None else _sorted(t)
+            while len(self.held) >= BUCKETS:
+                del self.held[next(iter(self.held))]
+        self.held[b] = table  # the last one asked stands last
+        return _find(table, key)
+
+
 @dataclass
 class CharModel:
     """Interpolated character trigrams; 0 is the border of a word. tables: sorted keys and their counts, for trigrams (three), their first two
-    (two) and last two characters (pairs), the middle one (heads) and the last one (one)."""
+    (two) and last two characters (pairs), the middle one (heads) and the last one (one); rest: what a table is too large to hold."""
 
     tables: dict[str, tuple[np.ndarray, np.ndarray]]
+    rest: dict[str, Rest] = field(default_factory=dict)
     seen: dict[tuple[str, str, str], float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.total = int(self.tables["one"][1].sum())
+        self.total = int(self.tables["one"][1].sum()) + (self.rest["one"].total if "one" in self.rest else 0)
 
     def __getstate__(self) -> dict:
-        return {"tables": self.tables, "total": self.total, "seen": {}}
+        return {"tables": self.tables, "rest": self.rest, "total": self.total, "seen": {}}
 
     def count(self, table: str, key: int) -> int:
-        keys, n = self.tables[table]
-        at = int(keys.searchsorted(key))
-        return int(n[at]) if at < len(keys) and keys[at] == key else 0
+        n = _find(self.tables[table], key)
+        if n or table not in self.rest:
+            return n
+        if table == "three" and not (self.count("two", key >> _BITS) and self.count("pairs", key & ((1 << 2 * _BITS) - 1))):
+            return 0  # no trigram without its parts: most of those asked for are found out here
+        return self.rest[table].count(key)
 
     def log(self, a: str, b: str, c: str) -> float:
         g = (a, b, c)
@@ -245,8 +282,14 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() and not 0xD800 <= c < 0xE000 for c in range(0x110000)])
 
 
-def entries(counts: DataFrame, most: int = ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of (key, n): all, or beyond `most` those above the least count that leaves no more."""
+def _sorted(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = t["key"].to_numpy(), t["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least count from which no more than `most` of (key, n) are left."""
     # Counts from 1,000 on are told apart by powers of two: a limit is found for any corpus.
     power = F.floor(F.log2(F.col("n") / 1000))
     step = F.when(F.col("n") < 1000, F.col("n")).otherwise((1000 * F.pow(F.lit(2.0), power)).cast("bigint"))
@@ -257,14 +300,34 @@ def entries(counts: DataFrame, most: int = ENTRIES) -> tuple[np.ndarray, np.ndar
             break
         left -= by_n[n]
         least = n + 1 if n < 1000 else 2 * n
-    t = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    keys, n = t["key"].to_numpy(), t["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    return least
+
+
+def entries(counts: DataFrame, most: int = ENTRIES, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of (key, n): all, or beyond `most` those from the least count on that leaves no more."""
+    least = least_count(counts, most) if least is None else least
+    return _sorted(counts.where(F.col("n") >= least).select("key", "n").toArrow())
+
+
+def rest(counts: DataFrame, least: int) -> Rest | None:
+    """The entries under `least`, written by bucket."""
+    few = counts.where(F.col("n") < least).select("key", "n")
+    rows, total = few.agg(F.count("*"), F.sum("n")).first() if least > 1 else (0, 0)
+    if not rows:
+        return None
+    buckets = 2 * (rows // (2 * BUCKET)) + 1  # odd, so that all characters of a key tell
+    folder = new_folder(counts.sparkSession, "toxic-rest")
+    few.withColumn("bucket", F.col("key") % buckets).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    return Rest(folder, buckets, total)
 
 
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Counts of the character trigrams of all words of letters in all documents, and of the shorter contexts, for CharModel."""
+    """The tables that are held whole by char_model()."""
+    return char_model(docs, text_col).tables
+
+
+def char_model(docs: DataFrame, text_col: str = "text", most: int = ENTRIES) -> CharModel:
+    """Counts of the character trigrams of all words of letters in all documents, and of the shorter contexts; at most `most` of a table in memory."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letter = letters()
@@ -285,8 +348,14 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[n
     rows = materialise(rows, "toxic-trigrams")
     low = lambda bits: F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
     contexts = {"two": F.shiftright("key", _BITS), "pairs": low(2 * _BITS), "heads": F.shiftright(low(2 * _BITS), _BITS), "one": low(_BITS)}
-    short = {name: entries(rows.groupBy(c.alias("key")).agg(F.sum("n").alias("n"))) for name, c in contexts.items()}
-    return {"three": entries(rows), **short}
+    tables, others = {}, {}
+    for name, c in {"three": F.col("key"), **contexts}.items():
+        counts = rows if name == "three" else rows.groupBy(c.alias("key")).agg(F.sum("n").alias("n"))
+        least = least_count(counts, most)
+        tables[name] = entries(counts, most, least)
+        if (x := rest(counts, least)) is not None:
+            others[name] = x
+    return CharModel(tables, others)
 
 
 @dataclass
@@ -299,7 +368,7 @@ class Evidence:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Evidence:
     """Learn from labelled rows that are not held out; several labels of one document count as toxic if one does."""
     spark = docs.sparkSession
-    chars = CharModel(count_trigrams(docs, text_col))
+    chars = char_model(docs, text_col)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("toxic"))
     n = known.count()
     if not n:
