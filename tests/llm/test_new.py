@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import pickle
 import random
 import zipfile
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, merkle, spelling, toxicity, warc
+from tidemark.llm import licenses, merkle, spelling, token_shards, toxicity, warc
 
 
 # -- spelling ---------------------------------------------------------------------------------------------------------------------
@@ -238,6 +239,33 @@ def test_tables_of_frequent_sequences_find_a_limit(spark, most):
     assert len(keys) == len(counts) or min(n, default=10**10) > max([x for k, x in counts.items() if k not in keys], default=0)
 
 
+def test_rare_sequences_beyond_the_table_are_counted_exactly(spark):
+    """A table that holds few entries gives the counts of one that holds all."""
+    texts = [("the idiot and the stupid moron " * 3,), ("ein Löwe, straße; 漢字 漢語 字漢",), ("pathetic scum, ids", )]
+    whole, small = (toxicity.char_model(spark.createDataFrame(texts, "text string"), most=n) for n in (10**6, 5))
+    assert not whole.rest and set(small.rest) == set(small.tables) and all(len(k) <= 5 for k, _ in small.tables.values())
+    small = pickle.loads(pickle.dumps(small))
+    assert small.total == whole.total
+    for name, (keys, n) in whole.tables.items():
+        assert [small.count(name, k) for k in keys.tolist()] == n.tolist() and small.count(name, 7) == 0
+    for gram in ("idi", "^th", "漢語$", "Lxz", "aße"):
+        assert small.log(*gram[:3]) == whole.log(*gram[:3])
+
+
+def test_frames_of_a_shard_are_opened_one_by_one():
+    """No frame is asked for before the one before it is given out, and no frame is held whole."""
+    asked = []
+
+    def frames():
+        for k in range(3):
+            asked.append(k)
+            yield k, token_shards.squeeze([(k, i, None, b"%d" % i) for i in range(1200)])
+
+    for n, (shard, slot, start, doc_id, raw) in enumerate(token_shards.open_frames(frames())):
+        assert asked[-1] == shard == slot == n // 1200 and (start, doc_id, raw) == (n % 1200, None, b"%d" % start)
+    assert n == 3599 and list(token_shards.unsqueeze(token_shards.squeeze([]))) == []
+
+
 def test_places_of_phrases_and_notices_in_one_text():
     scanner = licenses.Scanner(licenses.NOTICES)
     text = " ".join(["a CC BY licence"] * 300 + ["released under teh mit license; üm"] * 40 + ["all rights reserved"])

@@ -19,12 +19,13 @@ empty manifest; a null id stays null in the manifest; very long texts run over m
 from __future__ import annotations
 
 import base64
+import io
 import json
 import pickle
 import sys
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ import zstandard
 from pyarrow import fs as arrow_fs
 from pyarrow import parquet
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, new_folder, running
@@ -44,6 +45,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 65_536, 20_240_601, 6
 #: Rows that one bucket of a running sum holds on average, and bytes of tokens that are framed at once in a task.
 BUCKET_ROWS, FRAME_BYTES = 4000, 32 << 20
+#: Pieces of a frame that are held at once when it is opened.
+OPENED = 500
 _U = np.uint64
 
 
@@ -113,12 +116,18 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+def squeeze(pieces: list[tuple]) -> bytes:
+    """A frame: the pieces, pickled OPENED at a time."""
+    c = zstandard.ZstdCompressor(level=3).compressobj()
+    return b"".join([*(c.compress(pickle.dumps(pieces[k : k + OPENED], 5)) for k in range(0, len(pieces), OPENED)), c.flush()])
 
 
-def unsqueeze(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+def unsqueeze(frame: bytes) -> Iterator[tuple]:
+    """The pieces of a frame; no more than OPENED are held at once."""
+    with zstandard.ZstdDecompressor().stream_reader(frame) as raw:
+        f = io.BufferedReader(raw)
+        while f.peek(1):
+            yield from pickle.load(f)
 
 
 def tokenised(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,12 +169,13 @@ def cut_pieces(tokens: DataFrame, places: str, total: int, vocabulary: Vocabular
     end = np.array([vocabulary.end], dtype="<u2" if width == 2 else "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _ENCODERS.clear()  # the worker may be one that has encoded; from here on none is needed
         store, root = arrow_fs.FileSystem.from_uri(places)
         held: dict[int, list] = {}
         size, part, place = 0, None, None
 
         def frames() -> pd.DataFrame:
-            out = [(shard, squeeze(pickle.dumps(pieces, 5))) for shard, pieces in held.items()]
+            out = [(shard, squeeze(pieces)) for shard, pieces in held.items()]
             held.clear()
             return pd.DataFrame(out, columns=["shard", "frame"])
 
@@ -198,14 +208,11 @@ def cut_pieces(tokens: DataFrame, places: str, total: int, vocabulary: Vocabular
     return tokens.select("part", "pos", "doc_id", "tokens").mapInPandas(cut, "shard int, frame binary")
 
 
-def open_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for shard, frame in zip(batch["shard"], batch["frame"], strict=True):
-            pieces = pickle.loads(unsqueeze(frame))
-            for k in range(0, len(pieces), 5000):
-                out = pd.DataFrame(pieces[k : k + 5000], columns=["slot", "start", "doc_id", "tokens"])
-                out.insert(0, "shard", shard)
-                yield out
+def open_frames(rows: Iterable[Row]) -> Iterator[tuple]:
+    """shard, slot, start, doc_id, tokens of the pieces in rows of shard, frame; one frame at a time."""
+    for shard, frame in rows:
+        for piece in unsqueeze(frame):
+            yield shard, *piece
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -227,6 +234,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary_path: st
         f.write(json.dumps({"length": length, "width": vocabulary.width, "per_shard": per_shard, "sequences": n_slots}).encode())
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _ENCODERS.clear()
         store, path = arrow_fs.FileSystem.from_uri(folder)
         open_shard, stream, made = None, None, ""
         slot, raw, ids, starts, rows = None, [], [], [], []
@@ -267,7 +275,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary_path: st
         close()
 
     pieces = cut_pieces(tokens, f"{folder}/places", total, vocabulary, length, per_shard, key).repartitionById(max(1, -(-n_slots // per_shard)), "shard")
-    ordered = pieces.mapInPandas(open_frames, "shard int, slot bigint, start int, doc_id string, tokens binary").sortWithinPartitions("shard", "slot", "start")
+    # Rows of an RDD come by their size; an Arrow batch would hold all frames of a shard at once.
+    opened = docs.sparkSession.createDataFrame(pieces.rdd.mapPartitions(open_frames), "shard int, slot bigint, start int, doc_id string, tokens binary", verifySchema=False)
+    ordered = opened.sortWithinPartitions("shard", "slot", "start")
     manifest = materialise(ordered.mapInPandas(write, "slot bigint, shard int, n_tokens int, doc_ids array<bigint>, starts array<int>"), "manifest", f"{folder}/manifest")
     where = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
     return manifest.select("slot", "shard", (F.col("slot") % per_shard * stride).alias("byte_offset"), "n_tokens", "doc_ids", "starts", where.alias("path"))
