@@ -168,12 +168,17 @@ def decode_gaps(frames: DataFrame, times: float = 3.0, least_ms: int = 250) -> D
 
 def repeated_runs(pairs: DataFrame, segments: DataFrame, share: float = 0.5, least: int = 2) -> DataFrame:
     """run_id, earlier, later, first, last: the longest run (ties: the first) of the later paragraph's segments whose runs of three content words
-    mostly occur in the earlier paragraph. pairs: run_id, earlier, later; segments carry their paragraph."""
-    g = segments.select(RUN, "paragraph", "seg_idx", F.explode(content_runs(F.col("text"))).alias("g"))
-    later = pairs.join(g.withColumnRenamed("paragraph", "later"), [RUN, "later"])
-    old = pairs.join(g.select(RUN, F.col("paragraph").alias("earlier"), "g").distinct(), [RUN, "earlier"]).select(RUN, "earlier", "later", "g").withColumn("_old", F.lit(1))
-    x = later.join(old, [RUN, "earlier", "later", "g"], "left").groupBy(RUN, "earlier", "later", "seg_idx").agg(F.avg(F.coalesce("_old", F.lit(0))).alias("_s")).where(F.col("_s") >= share)
+    mostly occur in the earlier paragraph. pairs: run_id, earlier, later; segments carry their paragraph.
+
+    Texts meet by pair of paragraphs, and their runs of words are made there: these, many times the text, are not moved. A row holds two paragraphs."""
     keys = [RUN, "earlier", "later"]
+    p = pairs.select(*keys).distinct()
+    sides = p.select(RUN, F.col("later").alias("paragraph"), F.struct("earlier", "later", F.lit(False).alias("old")).alias("p")).unionByName(p.select(RUN, F.col("earlier").alias("paragraph"), F.struct("earlier", "later", F.lit(True).alias("old")).alias("p")))
+    d = segments.select(RUN, "paragraph", "seg_idx", "text").join(sides.groupBy(RUN, "paragraph").agg(F.collect_list("p").alias("ps")), [RUN, "paragraph"]).select(RUN, "seg_idx", "text", F.inline("ps"))
+    d = d.groupBy(*keys).agg(F.collect_list(F.when(F.col("old"), F.col("text"))).alias("olds"), F.collect_list(F.when(~F.col("old"), F.struct("seg_idx", "text"))).alias("news"))
+    d = d.select(*keys, F.array_distinct(F.flatten(F.transform("olds", content_runs))).alias("had"), "news").select(*keys, "had", F.inline("news")).withColumn("g", content_runs(F.col("text")))
+    # A segment number that comes twice is one segment.
+    x = d.groupBy(*keys, "seg_idx").agg((F.sum(F.size(F.array_intersect("g", "had"))) / F.nullif(F.sum(F.size("g")), F.lit(0))).alias("_s")).where(F.col("_s") >= share)
     x = x.withColumn("_k", F.col("seg_idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("seg_idx")))
     x = x.groupBy(*keys, "_k").agg(F.min("seg_idx").alias("first"), F.max("seg_idx").alias("last"), F.count("*").alias("_n")).where(F.col("_n") >= least)
     return x.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), "first", "last")).alias("b")).select(*keys, "b.first", "b.last")
