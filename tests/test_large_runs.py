@@ -5,8 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from tests import oracle
-from tidemark.operators import contracts, links, scoring, selects, signals, whatif, wording
+from tidemark.operators import contracts, findings, links, scoring, selects, sequences, signals, whatif, wording
 from tidemark.operators import sentences as st
+from tidemark.operators.intervals import dealt
 from tidemark.plans.catalogue import QUERIES, SQL
 from tidemark.sources.working import written
 
@@ -194,3 +195,62 @@ def test_spans_go_once_over_a_run(spark):
     x = wording.spans(d.withColumn("t_ms", F.col("ref_ms")))
     assert sorted((r.t_ms, r.reference, r.ours) for r in x.collect()) == [(30, "r3 r4 r5", "h3 h4 h5"), (90, "r9", "h9")]
     assert frames_to_the_end(x) == 0
+
+
+def moved(df) -> list[str]:
+    """By what the rows of a plan are dealt out."""
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0])
+
+
+def by_run(spark, rows, schema):
+    return dealt(spark.createDataFrame(rows, schema), "run_id")
+
+
+def lines(spark):
+    say = ["alpha beta gamma delta", "epsilon zeta eta theta", "alpha beta gamma delta", "alpha beta gamma delta iota", "", "the of"]
+    return by_run(spark, [(r, i, i * 4000, i * 4000 + 4000, x) for r in (1, 2) for i, x in enumerate(say[r - 1 :])], "run_id int, seg_idx int, start_ms bigint, end_ms bigint, text string")
+
+
+def test_documents_are_dealt_out_once(spark):
+    from tests.oracle import DATA
+    from tidemark.plans import inputs
+
+    for x in (inputs.talk(spark, DATA, True), inputs.segments(spark, DATA, True)):
+        assert len(moved(x)) == 1 and "REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pace_joins_no_seconds(spark):
+    """Words before the run's start, and beyond its end, and long silences."""
+    words = [(1, 20_000 + 300 * i, 20_250 + 300 * i) for i in range(60)] + [(1, 70_000 + 400 * i, 70_350 + 400 * i) for i in range(40)] + [(2, 100 * i, 100 * i + 50) for i in range(49)]
+    w = by_run(spark, words, "run_id int, start_ms bigint, end_ms bigint")
+    x = signals.local_pace(by_run(spark, [(1, 80_000), (2, 80_000)], "run_id int, duration_ms bigint"), w)
+    want, own = {}, sorted((a, b) for r, a, b in words if r == 1)
+    for t in range(80):
+        near = [(a, b, max(0, min(500, own[i + 1][0] - b)) if i + 1 < len(own) else 0) for i, (a, b) in enumerate(own) if (t - 10) * 1000 <= a < (t + 10) * 1000]
+        speak = sum(b - a + g for a, b, g in near) - (near[-1][2] if near else 0)
+        if speak > 4000 and len(near) >= 8:
+            want[t] = round(60_000 * len(near) / speak, 6)
+    assert {r.t: round(r.wpm, 6) for r in x.collect()} == want and 40 < len(want) < 80
+    assert all(k.startswith("run_id") and "," not in k for k in moved(x))
+
+
+def test_new_words_are_counted_without_windows(spark):
+    x = sequences.novelty(lines(spark))
+    assert {(r.run_id, r.seg_idx): (r.n_words, round(r.new_share, 6), r.reused_share) for r in x.collect() if r.run_id == 1} == {(1, 0): (4, 1.0, 0.0), (1, 1): (4, 1.0, 0.0), (1, 2): (4, 0.0, 1.0), (1, 3): (5, 0.2, round(2 / 3, 17)), (1, 4): (0, 1.0, 0.0), (1, 5): (2, 1.0, 0.0)}
+    assert "Window" not in x._jdf.queryExecution().optimizedPlan().toString() and not [k for k in moved(x) if "item" in k]
+    assert "text" not in findings.repetition_runs(lines(spark))._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
+
+
+def test_repeated_runs_move_no_word_runs(spark):
+    sg = lines(spark).withColumn("paragraph", F.floor(F.col("seg_idx") / 2))
+    x = selects.repeated_runs(spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 0, 1)], "run_id int, earlier int, later int"), sg)
+    assert [tuple(r) for r in x.collect()] == [(1, 0, 1, 2, 3)]
+    assert not [k for k in moved(x) if re.search(r"\bg#", k)]
+
+
+def test_dense_text_joins_no_seconds(spark):
+    local = by_run(spark, [(1, t, 200.0 if t > 5 else 100.0, 150.0) for t in range(10)], "run_id int, t int, wpm double, usual double")
+    tracks = spark.createDataFrame([(1, 0, 8000, "w " * 18, 0.9), (1, 6000, 7000, "two words", 0.9)], "run_id int, start_ms bigint, end_ms bigint, text string, confidence double")
+    x = signals.dense_text(tracks, local)
+    assert {r.t: r.value for r in x.collect()} == {6: 20 / 24, 7: 18 / 24}
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()

@@ -177,7 +177,7 @@ def w07_decode_gaps(spark, d):
  k as (select *, seg_idx - row_number() over (partition by run_id, earlier, later order by seg_idx) as k from x where s >= 0.5), r2 as (select run_id, earlier, later, min(seg_idx) as first, max(seg_idx) as last, count(*) as n from k group by run_id, earlier, later, k having count(*) >= 2)
  select run_id, earlier, later, first, last from (select *, row_number() over (partition by run_id, earlier, later order by n desc, first) as z from r2) where z = 1""")
 def w18_repeated_runs(spark, d):
-    t = Run(spark, d).segments
+    t = Run(spark, d, spread=True).segments
     again = F.lag("text", 8).over(Window.partitionBy("run_id").orderBy("seg_idx"))
     sg = t.select("run_id", F.floor(F.col("seg_idx") / 4).alias("paragraph"), "seg_idx", F.when((F.col("seg_idx") >= 8) & (F.col("seg_idx") % 4 < 3), again).otherwise(F.col("text")).alias("text"))
     pairs = sg.where("paragraph >= 2").select("run_id", (F.col("paragraph") - 2).alias("earlier"), F.col("paragraph").alias("later")).distinct()
