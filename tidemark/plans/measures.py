@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as ft
-from tidemark.operators import features, intervals, merges, risk
+from tidemark.operators import features, intervals, merges, risk, whole
+from tidemark.plans import series
 from tidemark.plans.inputs import ISS, PLAIN, SEG, STEP_MS, WORDS, issues, runs, segments, spans, table, turns, union_sql
 from tidemark.plans.queries import RISK, RUNS
 from tidemark.plans.registry import query
@@ -125,7 +126,8 @@ def a08_window_statistics(spark, d):
  n as (select run_id, seg_idx, count(*) as n from t group by 1, 2), p as (select x.run_id, x.seg_idx, y.seg_idx as earlier, count(*) as k from t x join t y on x.run_id = y.run_id and x.g = y.g and y.seg_idx < x.seg_idx group by 1, 2, 3),
  q as (select p.*, k / n as share, row_number() over (partition by run_id, seg_idx order by k desc, earlier) as rank from p join n using (run_id, seg_idx)) select run_id, seg_idx, earlier, round(share, 6) as share from q where rank = 1""")
 def j08_best_earlier(spark, d):
-    return features.best_earlier(segments(spark, d)).withColumn("share", F.round("share", 6))
+    x = whole.per_run(segments(spark, d, spread=True), ("tokens",), "seg_idx int, earlier int, share double", series.best_earlier)
+    return x.withColumn("share", F.round("share", 6))
 
 
 @query(f"""with {ISS} select run_id, event_type, start_ms // 60000 as win, array_to_string(list_sort(list_distinct(list(cause_group))), ',') as causes, array_to_string(list_sort(list(issue_id)), ',') as ids, max(value) as worst from iss group by 1, 2, 3""")
