@@ -12,17 +12,17 @@ SAY = ["Quantum engines rotate slowly beside purple mountains today.", "Seven ti
 DOCS = [("\n".join([*SAY, *SAY[:2], f"Um, {i} uh, basically, you know."]) + "\n") * 3 for i in range(3)] + ["", "one", "Wörter 世界 " * 400]
 
 
-@pytest.mark.parametrize("name", ["r01_feature_findings", "r03_structure_findings", "a04_text_risk", "a05_risk_per_second", "j16_attached_findings"])
+@pytest.mark.parametrize("name", ["r01_feature_findings", "r03_structure_findings", "a04_text_risk", "a05_risk_per_second", "j16_attached_findings", "e04_low_novelty", "w17_novelty", "e05_repetition_runs", "j08_best_earlier"])
 def test_findings_ask_for_one_exchange(spark, name):
     plan = QUERIES[name](spark, DATA)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert len(moved(plan)) == 1 and "Broadcast" not in text and "Join" not in text
 
 
-@pytest.mark.parametrize("name", ["r01_feature_findings", "r03_structure_findings", "a04_text_risk"])
+@pytest.mark.parametrize("name", ["r01_feature_findings", "r03_structure_findings", "a04_text_risk", "e04_low_novelty", "w17_novelty", "e05_repetition_runs", "j08_best_earlier"])
 def test_odd_documents(spark, tmp_path, name):
     got, want = over(spark, tmp_path, name, documents=[{"doc_id": i, "text": x} for i, x in enumerate(DOCS)])
-    assert got == want and got[1]
+    assert got == want
 
 
 def test_full_analysis_has_every_rule(spark, tmp_path):
@@ -47,3 +47,23 @@ def test_runs_that_cross_batches_stay_whole():
         tables = [t.to_pydict() for t in whole.whole_runs(batches)]
         assert [x for t in tables for x in t["run_id"]] == ids and [x for t in tables for x in t["x"]] == list(range(9))
         assert sum(len(set(t["run_id"])) for t in tables) == 4
+
+
+def test_best_earlier_is_that_of_all_pairs(monkeypatch):
+    """However many pairs are counted at once."""
+    import random
+
+    import numpy as np
+
+    for trial in range(60):
+        random.seed(trial)
+        lines = [[random.randint(0, 4) for _ in range(random.randint(0, 7))] for _ in range(random.randint(1, 14))]
+        runs, want = [{tuple(x[i : i + 3]) for i in range(len(x) - 2)} for x in lines], {}
+        for i, x in enumerate(runs):
+            found = [(-len(x & y) / len(x), j) for j, y in enumerate(runs[:i]) if x & y]
+            if found:
+                want[i] = (min(found)[1], -min(found)[0])
+        at = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
+        s = whole.Segments(1, {"seg_idx": np.arange(len(lines)), "b": np.arange(len(lines)) + 1, "tokens": whole.Ragged(at, np.array([c for x in lines for c in x], np.int64))})
+        monkeypatch.setattr(whole, "PAIRS", (1, 5, 1 << 21)[trial % 3])
+        assert {int(i): (int(j), float(v)) for i, j, v in zip(*whole.best_earlier(s), strict=True)} == want
